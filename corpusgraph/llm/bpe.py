@@ -242,8 +242,7 @@ def encode_decode(docs: DataFrame, ranks: str | None = None, digests: bool = Fal
     path = ranks_path(ranks)
     docs = docs.select(docs[id_col].cast("long").alias("doc_id"), docs[text_col].cast("string").alias("text"))
     words = docs.mapInArrow(_distinct_words, "word binary, block long")
-    n = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    encoded = words.repartition(n, "word").sortWithinPartitions("word").mapInArrow(_encode_words(path), "block long, hashes binary, sizes binary, wide binary, ids binary")
+    encoded = words.repartition("word").sortWithinPartitions("word").mapInArrow(_encode_words(path), "block long, hashes binary, sizes binary, wide binary, ids binary")
     packed = docs.mapInArrow(_packed, "block long, docs binary")
     run = _reassemble(path)
 

@@ -25,6 +25,7 @@ _LOWER[65:91] += 32
 
 _BASE = np.uint64(0x9E3779B97F4A7C15 | 1)
 _BASE_INVERSE = np.uint64(pow(int(_BASE), -1, 1 << 64))
+_PLACES = np.arange(1, 65, dtype=np.uint64) * np.uint64(0xA0761D6478BD642F)
 _powers = {"n": 0}
 
 
@@ -161,7 +162,7 @@ def shingles(words: np.ndarray, first: np.ndarray, size: int) -> tuple[np.ndarra
     row_of = np.repeat(np.arange(len(n)), n)
     total = np.zeros(len(words), dtype=np.uint64)
     for k in range(size):
-        total[: len(words) - k] += mix(words[k:] + np.uint64(k + 1) * np.uint64(0xA0761D6478BD642F))
+        total[: len(words) - k] += mix(words[k:] + _PLACES[k])
     whole = np.arange(len(words)) + size <= first[1:][row_of] if len(words) else np.zeros(0, bool)
     at = np.flatnonzero(whole)
     rows, hashes = row_of[at], mix(total[at])
@@ -170,7 +171,7 @@ def shingles(words: np.ndarray, first: np.ndarray, size: int) -> tuple[np.ndarra
         parts = np.zeros(len(few), dtype=np.uint64)
         for k in range(size - 1):
             has = n[few] > k
-            parts[has] += mix(words[first[few[has]] + k] + np.uint64(k + 1) * np.uint64(0xA0761D6478BD642F))
+            parts[has] += mix(words[first[few[has]] + k] + _PLACES[k])
         parts = mix(parts + n[few].astype(np.uint64) * np.uint64(0xE7037ED1A0B428DB))
         rows, hashes, at = np.concatenate([rows, few]), np.concatenate([hashes, parts]), np.concatenate([at, first[few]])
         order = np.argsort(rows, kind="stable")

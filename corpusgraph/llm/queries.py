@@ -1,6 +1,12 @@
 """The registered queries of this subpackage and their DuckDB SQL."""
 
 from .bpe import op8_bpe
+from .line_dedup import OP10_SQL, op10_line_dedup
+from .minhash import op9_minhash
 
-QUERIES = {"op8_bpe": op8_bpe}
-ORACLE: dict[str, str] = {}
+QUERIES = {
+    "op8_bpe": op8_bpe,
+    "op9_minhash": op9_minhash,
+    "op10_line_dedup": op10_line_dedup,
+}
+ORACLE = {"op10_line_dedup": OP10_SQL}
