@@ -1,12 +1,14 @@
 """The registered queries of this subpackage and their DuckDB SQL."""
 
 from .bpe import op8_bpe
+from .decontaminate import OP2_SQL, op2_decontaminate
 from .line_dedup import OP10_SQL, op10_line_dedup
 from .minhash import op9_minhash
 
 QUERIES = {
+    "op2_decontaminate": op2_decontaminate,
     "op8_bpe": op8_bpe,
     "op9_minhash": op9_minhash,
     "op10_line_dedup": op10_line_dedup,
 }
-ORACLE = {"op10_line_dedup": OP10_SQL}
+ORACLE = {"op2_decontaminate": OP2_SQL, "op10_line_dedup": OP10_SQL}
