@@ -2,11 +2,13 @@
 
 from .bpe import op8_bpe
 from .decontaminate import OP2_SQL, op2_decontaminate
+from .language import op5_language
 from .line_dedup import OP10_SQL, op10_line_dedup
 from .minhash import op9_minhash
 
 QUERIES = {
     "op2_decontaminate": op2_decontaminate,
+    "op5_language": op5_language,
     "op8_bpe": op8_bpe,
     "op9_minhash": op9_minhash,
     "op10_line_dedup": op10_line_dedup,
