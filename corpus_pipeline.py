@@ -20,7 +20,7 @@ def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 def dedup_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Repeated lines stay in the first document that holds them; text and n_chars follow."""
     found = line_dedup.drop_repeated_lines(docs)
-    text = F.when(F.col("text").isNotNull(), F.decode("_kept", F.lit("UTF-8")))
+    text = F.when(F.col("text").isNotNull(), F.decode("_kept", "UTF-8"))
     found = found.withColumn("text", text)
     if "n_chars" in docs.columns:
         found = found.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
