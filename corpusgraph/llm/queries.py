@@ -2,15 +2,19 @@
 
 from .bpe import op8_bpe
 from .decontaminate import OP2_SQL, op2_decontaminate
+from .embedding_dedup import OP1_SQL, op1_embedding_dedup
 from .language import op5_language
 from .line_dedup import OP10_SQL, op10_line_dedup
 from .minhash import op9_minhash
+from .quality import op3_quality
 
 QUERIES = {
+    "op1_embedding_dedup": op1_embedding_dedup,
     "op2_decontaminate": op2_decontaminate,
+    "op3_quality": op3_quality,
     "op5_language": op5_language,
     "op8_bpe": op8_bpe,
     "op9_minhash": op9_minhash,
     "op10_line_dedup": op10_line_dedup,
 }
-ORACLE = {"op2_decontaminate": OP2_SQL, "op10_line_dedup": OP10_SQL}
+ORACLE = {"op1_embedding_dedup": OP1_SQL, "op2_decontaminate": OP2_SQL, "op10_line_dedup": OP10_SQL}
