@@ -7,11 +7,13 @@ from .language import op5_language
 from .line_dedup import OP10_SQL, op10_line_dedup
 from .minhash import op9_minhash
 from .quality import op3_quality
+from .secrets import op4_secrets
 
 QUERIES = {
     "op1_embedding_dedup": op1_embedding_dedup,
     "op2_decontaminate": op2_decontaminate,
     "op3_quality": op3_quality,
+    "op4_secrets": op4_secrets,
     "op5_language": op5_language,
     "op8_bpe": op8_bpe,
     "op9_minhash": op9_minhash,
