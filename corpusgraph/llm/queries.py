@@ -6,6 +6,7 @@ from .embedding_dedup import OP1_SQL, op1_embedding_dedup
 from .language import op5_language
 from .line_dedup import OP10_SQL, op10_line_dedup
 from .minhash import op9_minhash
+from .ngram import op6_ngram
 from .quality import op3_quality
 from .secrets import op4_secrets
 
@@ -15,6 +16,7 @@ QUERIES = {
     "op3_quality": op3_quality,
     "op4_secrets": op4_secrets,
     "op5_language": op5_language,
+    "op6_ngram": op6_ngram,
     "op8_bpe": op8_bpe,
     "op9_minhash": op9_minhash,
     "op10_line_dedup": op10_line_dedup,
