@@ -1,6 +1,7 @@
 """The registered queries of this subpackage and their DuckDB SQL."""
 
 from .bpe import op8_bpe
+from .chat import op7_chat
 from .decontaminate import OP2_SQL, op2_decontaminate
 from .embedding_dedup import OP1_SQL, op1_embedding_dedup
 from .language import op5_language
@@ -17,6 +18,7 @@ QUERIES = {
     "op4_secrets": op4_secrets,
     "op5_language": op5_language,
     "op6_ngram": op6_ngram,
+    "op7_chat": op7_chat,
     "op8_bpe": op8_bpe,
     "op9_minhash": op9_minhash,
     "op10_line_dedup": op10_line_dedup,
