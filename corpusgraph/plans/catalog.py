@@ -1,5 +1,6 @@
-"""The registered queries and their SQL."""
+"""All registered queries of the library and their SQL."""
 
-FLAGSHIP = "distill_stats"
-QUERIES: dict = {}
-ORACLE: dict = {}
+from . import frame_queries  # noqa: F401
+from .registry import ORACLE, QUERIES  # noqa: F401
+
+FLAGSHIP = "builder_where_like"
