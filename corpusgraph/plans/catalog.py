@@ -1,6 +1,6 @@
 """All registered queries of the library and their SQL."""
 
-from . import frame_queries  # noqa: F401
+from . import corpus_queries, frame_queries  # noqa: F401
 from .registry import ORACLE, QUERIES  # noqa: F401
 
-FLAGSHIP = "builder_where_like"
+FLAGSHIP = "distill_stats"
