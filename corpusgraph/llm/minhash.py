@@ -1,10 +1,10 @@
 """MinHash near-dedup with odd sketches and exact confirmation.
 
 1. One pass over whole texts gives, for each document, its distinct 5-word shingles' count and digest,
-   BANDS band keys of ROWS MinHash values, and an odd sketch: all samples (i, value) are hashed to
-   SKETCH_BITS bits and a bit holds the parity of what fell on it. The XOR of two sketches has about
-   bits/2 * (1 - (1 - 2/bits)**d) ones for d differing samples, so its population count estimates
-   high similarities closely.
+   BANDS band keys of ROWS MinHash values, and an odd sketch: the MinHash samples of BINS bins are
+   hashed to SKETCH_BITS bits and a bit holds the parity of what fell on it. The XOR of two sketches
+   has about bits/2 * (1 - exp(-2d/bits)) ones for d differing samples, so its population count
+   estimates high similarities closely.
 2. Documents with equal shingle sets are one class; only its smallest id goes on.
 3. Round 0 pairs each class with one leader of each of its buckets. Later rounds look at buckets that
    still hold several components: there, every class meets the classes of other components, keeps its
@@ -23,7 +23,6 @@ from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -43,9 +42,13 @@ from .common import (
 )
 
 WORDS, PERCENT = 5, 75
-BANDS, ROWS, SKETCH_BITS = 32, 4, 512
-#: A pair goes on to exact confirmation if its estimate is at least this: five standard errors below 0.75.
-LEAST_ESTIMATE = 0.53
+BANDS, ROWS = 32, 4
+#: An odd sketch folds the samples of one permutation, one for each of BINS bins, into SKETCH_BITS bits.
+BINS, SKETCH_BITS = 1024, 2048
+#: A pair goes on to exact confirmation unless its estimate is this many standard errors below the threshold.
+DEVIATIONS = 5
+#: Bits of the filter over ids that spares texts the way to a join; beyond it more texts pass, never fewer.
+FILTER_BITS = 1 << 24
 #: Rows of a bucket that one task compares; larger buckets are dealt out in blocks of this size.
 BLOCK = 4096
 
@@ -53,14 +56,6 @@ _SAMPLES = BANDS * ROWS
 _MULTIPLIERS = mix(np.arange(1, _SAMPLES + 1, dtype=np.uint64)) | np.uint64(1)
 
 
-def _most_differing(bits: int, samples: int, least: float) -> int:
-    """The largest population count of a XOR that still means an estimate of `least`."""
-    return int(np.ceil(bits / 2 * (1 - (1 - 2 / bits) ** (2 * samples * (1 - least)))))
-
-
-MOST_DIFFERING = _most_differing(SKETCH_BITS, _SAMPLES, LEAST_ESTIMATE)
-
-
 def samples_of(hashes: np.ndarray, bounds: np.ndarray) -> np.ndarray:
     """MinHash samples of the sets hashes[bounds[i]:bounds[i + 1]] (none empty), one row each."""
     out = np.empty((len(bounds) - 1, _SAMPLES), np.uint64)
@@ -77,12 +72,33 @@ def band_keys(samples: np.ndarray) -> np.ndarray:
     return mix(keys + np.arange(BANDS, dtype=np.uint64) * np.uint64(0x9FB21C651E98DF25))
 
 
-def odd_sketches(samples: np.ndarray) -> np.ndarray:
-    """Parity bitmaps of SKETCH_BITS bits as rows of 64-bit words."""
-    place = mix(samples + np.arange(_SAMPLES, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)) % np.uint64(SKETCH_BITS)
-    row = np.arange(len(samples))[:, None] * SKETCH_BITS
-    count = np.bincount((row + place.astype(np.int64)).ravel(), minlength=len(samples) * SKETCH_BITS)
-    return np.packbits((count & 1).astype(np.uint8).reshape(len(samples), SKETCH_BITS), axis=1).view(np.uint64)
+def odd_sketches(rows: np.ndarray, hashes: np.ndarray, n_rows: int) -> tuple[np.ndarray, np.ndarray]:
+    """(parity bitmaps as rows of 64-bit words, number of samples) of distinct (row, hash)."""
+    x = mix(hashes ^ np.uint64(0x2545F4914F6CDD1D))
+    slot = rows * BINS + (x >> np.uint64(54)).astype(np.int64)
+    order = np.lexsort((x, slot))
+    first = order[np.concatenate([[True], slot[order][1:] != slot[order][:-1]])] if len(order) else order
+    place = rows[first] * SKETCH_BITS + (mix(x[first]) >> np.uint64(53)).astype(np.int64)
+    count = np.bincount(place, minlength=n_rows * SKETCH_BITS)
+    bits = np.packbits((count & 1).astype(np.uint8).reshape(n_rows, SKETCH_BITS), axis=1).view(np.uint64)
+    return bits, np.bincount(rows[first], minlength=n_rows)
+
+
+def may_link(apart: np.ndarray, samples: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """Whether pairs may reach the threshold, from their XOR counts, summed samples and summed set sizes.
+
+    At the threshold t the union has sizes / (1 + t) members, which fill `bins` bins, and t * bins samples
+    agree; the spread comes from sampling without replacement and from collisions in the bitmap.
+    """
+    t = PERCENT / 100
+    union = sizes / (1 + t)
+    bins = -BINS * np.expm1(union * np.log1p(-1 / BINS))
+    differing = -SKETCH_BITS / 2 * np.log1p(-2 * np.minimum(apart, SKETCH_BITS * 0.49) / SKETCH_BITS)
+    d = np.maximum(samples - 2 * t * bins, 0)
+    away = np.exp(-4 * d / SKETCH_BITS)
+    noise = (SKETCH_BITS * (1 - away) / 4 - d * away) / away / 4
+    spread = np.sqrt(t * (1 - t) * bins * np.maximum(1 - bins / np.maximum(union, 1), 0) + np.maximum(noise, 0) + 1)
+    return (samples - differing) / 2 >= t * bins - DEVIATIONS * spread
 
 
 def _signatures(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -95,28 +111,53 @@ def _signatures(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bounds = np.concatenate([[0], np.cumsum(n[full])])
         digest = np.zeros((part.num_rows, 2), np.uint64)
         keys = np.zeros((part.num_rows, BANDS), np.uint64)
-        sketch = np.zeros((part.num_rows, SKETCH_BITS // 64), np.uint64)
+        sketch, samples_in = odd_sketches(rows, hashes, part.num_rows)
         if len(full):
             samples = samples_of(hashes, bounds)
             digest[full, 0] = np.add.reduceat(mix(hashes), bounds[:-1])
             digest[full, 1] = np.add.reduceat(mix(hashes ^ np.uint64(0x5851F42D4C957F2D)), bounds[:-1])
-            keys[full], sketch[full] = band_keys(samples), odd_sketches(samples)
+            keys[full] = band_keys(samples)
         offsets = pa.array(np.arange(part.num_rows + 1) * BANDS, pa.int32())
-        sketch_offsets = pa.array(np.arange(part.num_rows + 1) * (SKETCH_BITS // 64), pa.int32())
         yield pa.record_batch(
-            [part.column("doc_id"), pa.array(n, pa.int64()), binary_rows(digest), pa.ListArray.from_arrays(offsets, pa.array(keys.ravel().view(np.int64))), pa.ListArray.from_arrays(sketch_offsets, pa.array(sketch.ravel().view(np.int64)))],
-            ["doc_id", "n_shingles", "digest", "keys", "sketch"],
+            [part.column("doc_id"), pa.array(n, pa.int64()), binary_rows(digest), pa.ListArray.from_arrays(offsets, pa.array(keys.ravel().view(np.int64))), binary_rows(sketch), pa.array(samples_in, pa.int64())],
+            ["doc_id", "n_shingles", "digest", "keys", "sketch", "samples"],
         )
 
 
-def _sets(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Sorted distinct shingle hashes of each text, as 64-bit words."""
-    for part in slices(batches, "text"):
-        words, first = hashed_words(part.column("text"))
-        rows, hashes, _ = shingles(words, first, WORDS)
-        rows, hashes = distinct_by_row(rows, hashes)
-        ends = np.concatenate([[0], np.cumsum(np.bincount(rows, minlength=part.num_rows))]) * 8
-        yield pa.record_batch([part.column("doc_id"), pa.Array.from_buffers(pa.binary(), part.num_rows, [None, pa.py_buffer(ends.astype(np.int32)), pa.py_buffer(hashes)])], ["doc_id", "shingles"])
+def _sets(filter_of):
+    """Sorted distinct shingle hashes of the texts whose id the filter has, as 64-bit words."""
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bits = np.zeros(FILTER_BITS // 8, np.uint8)
+        for bucket, part in filter_of.value:
+            bits[bucket * len(part) : (bucket + 1) * len(part)] = np.frombuffer(part, np.uint8)
+        for batch in batches:
+            at = _filter_place(batch.column("doc_id").to_numpy())
+            batch = batch.filter(pa.array((bits[at >> 3] >> (at & 7).astype(np.uint8)) & 1 == 1))
+            for part in slices([batch], "text"):
+                words, first = hashed_words(part.column("text"))
+                rows, hashes, _ = shingles(words, first, WORDS)
+                rows, hashes = distinct_by_row(rows, hashes)
+                ends = np.concatenate([[0], np.cumsum(np.bincount(rows, minlength=part.num_rows))]) * 8
+                yield pa.record_batch([part.column("doc_id"), pa.Array.from_buffers(pa.binary(), part.num_rows, [None, pa.py_buffer(ends.astype(np.int32)), pa.py_buffer(hashes)])], ["doc_id", "shingles"])
+
+    return run
+
+
+def _filter_place(ids: np.ndarray) -> np.ndarray:
+    return (mix(ids.view(np.uint64)) & np.uint64(FILTER_BITS - 1)).astype(np.int64)
+
+
+def _filter(needed: DataFrame) -> list[tuple[int, bytes]]:
+    """A bitmap over hashed ids in parts of 4 KB, FILTER_BITS / 8 bytes at most."""
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield pa.record_batch([pa.array(np.unique(_filter_place(batch.column("doc_id").to_numpy())))], ["at"])
+
+    places = needed.mapInArrow(run, "at long")
+    parts = places.groupBy((F.col("at") / 32768).cast("int").alias("bucket")).agg(F.bitmap_construct_agg(F.col("at") % 32768).alias("part"))
+    return [(r.bucket, bytes(r.part)) for r in parts.collect()]
 
 
 def _confirmed(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -134,33 +175,56 @@ def _confirmed(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.record_batch([batch.column("a").filter(pa.array(keep)), batch.column("b").filter(pa.array(keep))], ["a", "b"])
 
 
+def _numbers(table: pa.Table | pa.RecordBatch, prefix: str = "") -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(sketches, samples, set sizes) of rows."""
+    packed = b"".join(table.column(f"{prefix}sketch").to_pylist())
+    return np.frombuffer(packed, np.uint64).reshape(-1, SKETCH_BITS // 64), table.column(f"{prefix}samples").to_numpy(), table.column(f"{prefix}n_shingles").to_numpy()
+
+
+def _similar(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Pairs whose odd sketches allow the wanted similarity."""
+    for batch in batches:
+        if batch.num_rows:
+            (x, m, n), (y, k, o) = _numbers(batch, "x_"), _numbers(batch, "y_")
+            good = pa.array(may_link(np.bitwise_count(x ^ y).sum(axis=1, dtype=np.int64), m + k, n + o))
+            yield pa.record_batch([batch.column("a").filter(good), batch.column("b").filter(good)], ["a", "b"])
+
+
 def _cross_pairs(width: int):
     """In each block of a bucket: for each row the best `width` rows of other components, by sketch."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for table in whole_groups(batches, "place"):
-            places = table.column("place").to_numpy()
             ids, parts, side = table.column("id").to_numpy(), table.column("part").to_numpy(), table.column("side").to_numpy()
-            sketch = pc.list_flatten(table.column("sketch")).to_numpy().view(np.uint64).reshape(len(ids), -1)
-            bounds = group_bounds(places)
+            sketch, samples, sizes = _numbers(table)
+            bounds = group_bounds(table.column("place").to_numpy())
             a, b, more = [], [], []
-            for lo, hi in zip(bounds[:-1], bounds[1:]):
-                if hi - lo < 2 or (parts[lo:hi] == parts[lo]).all():
-                    continue
-                # side 0: a block with itself; else rows of side 1 meet rows of side 2
-                left = lo + np.flatnonzero(side[lo:hi] < 2)
-                right = left if side[lo] == 0 else lo + np.flatnonzero(side[lo:hi] == 2)
-                for start in range(0, len(left), 256):
-                    own = left[start : start + 256]
-                    apart = np.bitwise_count(sketch[own, None, :] ^ sketch[None, right, :]).sum(axis=2, dtype=np.int32)
-                    apart[parts[own, None] == parts[None, right]] = SKETCH_BITS + 1
-                    good = apart <= MOST_DIFFERING
+
+            def meet(left: np.ndarray, right: np.ndarray):
+                for start in range(0, len(left), 16):
+                    own = left[start : start + 16]
+                    apart = np.bitwise_count(sketch[own, None, :] ^ sketch[None, right, :]).sum(axis=2, dtype=np.int64)
+                    good = may_link(apart, samples[own, None] + samples[None, right], sizes[own, None] + sizes[None, right]) & (parts[own, None] != parts[None, right])
                     n = good.sum(axis=1)
                     for k in np.flatnonzero(n):
-                        best = np.argsort(apart[k], kind="stable")[: min(width, n[k])]
+                        best = np.argsort(np.where(good[k], apart[k] / (sizes[own[k]] + sizes[right]), np.inf), kind="stable")[: min(width, n[k])]
                         a.append(np.full(len(best), ids[own[k]]))
                         b.append(ids[right[best]])
                         more.append(np.full(len(best), n[k] > width))
+
+            for lo, hi in zip(bounds[:-1], bounds[1:]):
+                names, inverse, n = np.unique(parts[lo:hi], return_inverse=True, return_counts=True)
+                if len(names) < 2:
+                    continue
+                # rows of the largest component meet the others only from the other side
+                small = inverse != n.argmax()
+                every = np.arange(lo, hi)
+                if side[lo] == 0:
+                    meet(every[small], every)
+                else:  # rows of side 1 meet rows of side 2
+                    one = side[lo:hi] == 1
+                    meet(every[small & one], every[~one])
+                    meet(every[small & ~one], every[one])
             if a:
                 a, b = np.concatenate(a), np.concatenate(b)
                 yield pa.record_batch([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b)), pa.array(np.concatenate(more))], ["a", "b", "more"])
@@ -170,7 +234,8 @@ def _cross_pairs(width: int):
 
 def _confirm(pairs: DataFrame, docs: DataFrame) -> DataFrame:
     needed = pairs.select(F.col("a").alias("doc_id")).union(pairs.select("b")).distinct()
-    sets = materialize(docs.join(needed, "doc_id", "left_semi").mapInArrow(_sets, "doc_id long, shingles binary").distinct(), "sets")
+    known = docs.sparkSession.sparkContext.broadcast(_filter(needed))
+    sets = materialize(docs.mapInArrow(_sets(known), "doc_id long, shingles binary").join(needed, "doc_id", "left_semi"), "sets")
     with_sets = pairs.join(sets.select(F.col("doc_id").alias("a"), F.col("shingles").alias("left")), "a").join(sets.select(F.col("doc_id").alias("b"), F.col("shingles").alias("right")), "b")
     return with_sets.select("a", "b", "left", "right").mapInArrow(_confirmed, "a long, b long")
 
@@ -191,36 +256,38 @@ def _dealt(rows: DataFrame) -> DataFrame:
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, n_shingles, component_id, kept), one row for each row with an id."""
     docs = docs.filter(docs[id_col].isNotNull()).select(docs[id_col].cast("long").alias("doc_id"), docs[text_col].cast("string").alias("text"))
-    signed = materialize(docs.mapInArrow(_signatures, "doc_id long, n_shingles long, digest binary, keys array<long>, sketch array<long>"), "signatures")
+    signed = materialize(docs.mapInArrow(_signatures, "doc_id long, n_shingles long, digest binary, keys array<long>, sketch binary, samples long"), "signatures")
     full = signed.filter("n_shingles > 0")
     classes = materialize(full.groupBy("digest", "n_shingles").agg(F.min("doc_id").alias("id")), "classes")
     members = materialize(full.select("doc_id", "digest", "n_shingles").join(classes, ["digest", "n_shingles"]).filter("doc_id <> id").select("doc_id", "id").distinct(), "members")
-    chosen = materialize(full.join(classes.select(F.col("id").alias("doc_id"), "digest"), ["doc_id", "digest"], "left_semi").select(F.col("doc_id").alias("id"), "keys", "sketch"), "chosen")
-    links = _links(docs, chosen)
-    components = connected_components(links.union(members))
+    chosen = materialize(full.join(classes.select(F.col("id").alias("doc_id"), "digest"), ["doc_id", "digest"], "left_semi").select(F.col("doc_id").alias("id"), "n_shingles", "keys", "sketch", "samples"), "chosen")
+    sizes = materialize(signed.select("doc_id", "n_shingles"), "sizes")
+    discard(signed)
+    # a repeated id with different texts belongs to several classes and joins them
+    several = members.groupBy("doc_id").agg(F.min("id").alias("x"), F.max("id").alias("y")).filter("x <> y").select("doc_id").union(chosen.select("id"))
+    bridges = members.join(several, "doc_id", "left_semi").toDF("b", "a").select("a", "b")
+    components = _components(docs, chosen, bridges)
+    by_class = members.join(components, "id", "left").groupBy("doc_id").agg(F.min(F.coalesce("component_id", "id")).alias("component_id"))
+    alone = components.withColumnRenamed("id", "doc_id").join(members, "doc_id", "left_anti")
     return (
-        signed.select("doc_id", "n_shingles")
-        .join(components.withColumnRenamed("id", "doc_id"), "doc_id", "left")
+        sizes
+        .join(by_class.union(alone), "doc_id", "left")
         .select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"))
         .withColumn("kept", F.col("doc_id") == F.col("component_id"))
     )
 
 
-def _similar(pairs: DataFrame, chosen: DataFrame) -> DataFrame:
-    """Pairs whose odd sketches allow the wanted similarity."""
-    sketches = chosen.select("id", "sketch")
-    both = pairs.join(sketches.toDF("a", "x"), "a").join(sketches.toDF("b", "y"), "b")
-    return both.filter(f"aggregate(zip_with(x, y, (p, q) -> bit_count(p ^ q)), 0, (n, k) -> n + k) <= {MOST_DIFFERING}").select("a", "b").distinct()
-
-
-def _links(docs: DataFrame, chosen: DataFrame) -> DataFrame:
-    """Confirmed pairs (a, b) that join whatever can be joined."""
+def _components(docs: DataFrame, chosen: DataFrame, bridges: DataFrame) -> DataFrame:
+    """(id, component_id) of the classes that are linked to others by confirmed pairs."""
     banded = chosen.select("id", F.explode("keys").alias("key"))
     leaders = materialize(banded.groupBy("key").agg(F.min("id").alias("leader"), F.max("id").alias("last")).filter("leader <> last").select("key", "leader"), "leaders")
     led = materialize(banded.join(leaders, "key").select("key", "id", "leader"), "led")
     pairs = led.filter("id <> leader").select(F.col("leader").alias("a"), F.col("id").alias("b")).distinct()
-    fresh = materialize(_similar(pairs, chosen), "fresh")
-    tried, found = fresh, materialize(_confirm(fresh, docs), "found")
+    numbers = ["id", "sketch", "samples", "n_shingles"]
+    sketches = chosen.select(numbers)
+    both = pairs.join(sketches.toDF("a", *[f"x_{c}" for c in numbers[1:]]), "a").join(sketches.toDF("b", *[f"y_{c}" for c in numbers[1:]]), "b")
+    fresh = materialize(both.mapInArrow(_similar, "a long, b long").distinct(), "fresh")
+    tried, found = fresh, materialize(_confirm(fresh, docs).union(bridges), "found")
     width = 1
     while True:
         components = materialize(connected_components(found), "components")
@@ -228,18 +295,17 @@ def _links(docs: DataFrame, chosen: DataFrame) -> DataFrame:
         mixed = materialize(labelled.groupBy("key").agg(F.min("part").alias("x"), F.max("part").alias("y")).filter("x <> y").select("key"), "mixed")
         rows = materialize(labelled.join(mixed, "key", "left_semi"), "rows")
         if rows.isEmpty():
-            return found
-        dealt = _dealt(rows).join(chosen.select("id", "sketch"), "id").select("place", "side", "id", "part", "sketch")
+            return components
+        dealt = _dealt(rows).join(sketches, "id").select("place", "side", "part", *numbers)
         crossed = materialize(dealt.repartition("place").sortWithinPartitions("place").mapInArrow(_cross_pairs(width), "a long, b long, more boolean"), "crossed")
         fresh = materialize(crossed.select("a", "b").distinct().join(tried, ["a", "b"], "left_anti"), "fresh")
         held_back = not crossed.filter("more").isEmpty()
-        if not fresh.isEmpty():
-            found = materialize(found.union(_confirm(fresh, docs)), "found")
-            tried = materialize(tried.union(fresh), "tried")
-        for old in (components, mixed, rows, crossed):
-            discard(old)
+        new = fresh if fresh.isEmpty() else materialize(_confirm(fresh, docs), "new")
+        if not held_back and new.isEmpty():
+            return components
+        found, tried = found.union(new.select("a", "b")), tried.union(fresh)
         if not held_back:
-            return found
+            return materialize(connected_components(found), "components")
         width *= 4
 
 
