@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame, SparkSession
 from .common import group_bounds, read, slices, span_hashes, text_bytes
 
 RANKS = "byte_bpe_multi_50k.tiktoken"
-BLOCK_BYTES = 16 << 20
+BLOCK_BYTES = 32 << 20
 SPACE, LETTER, NUMBER, OTHER = range(4)
 
 
@@ -177,7 +177,7 @@ def _packed(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Each block of documents as one compressed value."""
     for block, table in _blocks(batches):
         sink = pa.BufferOutputStream()
-        with pa.ipc.new_stream(sink, table.schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as w:
+        with pa.ipc.new_stream(sink, table.schema, options=pa.ipc.IpcWriteOptions(compression=pa.Codec("zstd", compression_level=6))) as w:
             w.write_table(table.combine_chunks())
         yield pa.record_batch([pa.array([block], pa.int64()), pa.array([sink.getvalue().to_pybytes()], pa.binary())], ["block", "docs"])
 
