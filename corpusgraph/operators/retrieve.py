@@ -58,9 +58,8 @@ def position_lookup(queries: DataFrame, positions: DataFrame, molecules: DataFra
 
 def byte_slice(text: Column, start: Column, end: Column) -> Column:
     """The text between two byte offsets; cut characters at the ends go."""
-    raw = F.encode(text, "UTF-8")
-    part = F.substring(raw, start.cast("int") + 1, (end - start).cast("int"))
-    return F.replace(F.decode(part, "UTF-8"), F.lit("�"), F.lit(""))
+    part = F.substring(F.encode(text, "UTF-8"), start.cast("int") + 1, (end - start).cast("int"))
+    return F.replace(F.make_valid_utf8(part.cast("string")), F.lit("�"), F.lit(""))
 
 
 def inflate_context(hits: DataFrame, documents: DataFrame, radius: int = 500) -> DataFrame:

@@ -199,12 +199,12 @@ def semantic_categories(t: Tables) -> DataFrame:
 
 # --- distillation -----------------------------------------------------------------------------------
 
-_NORM = r"lower(regexp_replace(regexp_replace(content, '^\s+|\s+$', '', 'g'), '\s+', ' ', 'g'))"
+NORM = r"lower(regexp_replace(regexp_replace(content, '^\s+|\s+$', '', 'g'), '\s+', ' ', 'g'))"
 for _p in (r"^user:\s*", r"^assistant:\s*", r"^\[?\d{4}-\d{2}-\d{2}[\st]\d{2}:\d{2}:\d{2}\]?\s*", r"^\[?\d{2}:\d{2}:\d{2}\]?\s*"):
-    _NORM = f"regexp_replace({_NORM}, '{_p}', '')"
+    NORM = f"regexp_replace({NORM}, '{_p}', '')"
 LINES = f"""blocks AS (SELECT * FROM documents QUALIFY row_number() OVER (PARTITION BY sha256(text) ORDER BY doc_id) = 1),
 raw_lines AS (SELECT doc_id, source, unnest(string_split(text, chr(10))) AS content, generate_subscripts(string_split(text, chr(10)), 1) - 1 AS line_no FROM blocks),
-lines AS (SELECT *, sha256(norm) AS hash FROM (SELECT *, {_NORM} AS norm FROM raw_lines) WHERE norm <> '')"""
+lines AS (SELECT *, sha256(norm) AS hash FROM (SELECT *, {NORM} AS norm FROM raw_lines) WHERE norm <> '')"""
 
 
 @query(f"""WITH {LINES} SELECT hash, arg_min(content, (doc_id, line_no)) AS content, string_agg(DISTINCT source, ',' ORDER BY source) AS sources, count(*) AS n, min(doc_id) AS first_doc FROM lines GROUP BY hash""")
