@@ -25,7 +25,7 @@ PATTERNS = [
 
 def shannon_entropy(text: Column) -> Column:
     """Bits for each character, over the characters of the text."""
-    n = F.length(text)
+    n = F.greatest(F.length(text), F.lit(1))
     share = lambda c: (n - F.length(F.replace(text, c, F.lit("")))) / n
     return F.coalesce(F.aggregate(F.array_distinct(F.split(text, "")), F.lit(0.0), lambda a, c: a - share(c) * F.log2(share(c))), F.lit(0.0))
 
