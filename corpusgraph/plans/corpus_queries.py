@@ -328,8 +328,8 @@ def merge_windows(t: Tables) -> DataFrame:
     return dedup.merge_windows(positions.select("compound_id", "byte_offset").distinct(), 500)
 
 
-@query(f"""WITH {MOLECULES} SELECT DISTINCT a.mol_id AS anchor_id, b.mol_id AS node_id FROM molecules a JOIN molecules b ON a.doc_id = b.doc_id AND b.end_byte >= a.start_byte - 500 AND b.start_byte <= a.end_byte + 500 WHERE a.seq % 50 = 7""")
+@query(f"""WITH {MOLECULES} SELECT DISTINCT a.mol_id AS anchor_id, b.mol_id AS node_id FROM molecules a JOIN molecules b ON a.doc_id = b.doc_id AND b.end_byte >= a.start_byte - 500 AND b.start_byte <= a.end_byte + 500 WHERE a.seq % 50 = 0""")
 def byte_range_join(t: Tables) -> DataFrame:
     rows = molecules(t).withColumnRenamed("mol_id", "node_id")
-    anchors = rows.filter("seq % 50 = 7").withColumnRenamed("node_id", "anchor_id")
+    anchors = rows.filter("seq % 50 = 0").withColumnRenamed("node_id", "anchor_id")
     return frame.byte_range_join(rows, anchors).select("anchor_id", "node_id")

@@ -120,11 +120,12 @@ def order_edges(t: Tables) -> DataFrame:
     return t.orders.select(F.concat(F.lit("c"), "o_custkey").alias("source_id"), F.concat(F.lit("o"), "o_orderkey").alias("target_id"), F.lit("placed").alias("relation"), F.col("o_totalprice").alias("weight"))
 
 
-def seeds(t: Tables, step: int = 3000) -> DataFrame:
-    return t.orders.filter(F.col("o_orderkey") % step == 0).select((F.col("o_orderkey") / step).cast("long").alias("query_id"), F.col("o_orderkey").alias("node_id"))
+def seeds(t: Tables) -> DataFrame:
+    """The query set: every order whose key is divisible by 50, dealt to four queries."""
+    return t.orders.filter("o_orderkey % 50 = 0").select((F.floor(F.col("o_orderkey") / 50) % 4).alias("query_id"), F.col("o_orderkey").alias("node_id"))
 
 
-SEEDS = "seeds AS (SELECT o_orderkey // 3000 AS query_id, o_orderkey AS node_id FROM orders WHERE o_orderkey % 3000 = 0)"
+SEEDS = "seeds AS (SELECT (o_orderkey // 50) % 4 AS query_id, o_orderkey AS node_id FROM orders WHERE o_orderkey % 50 = 0)"
 
 
 @query(f"WITH {PART_TAGS} SELECT a.tag AS a, b.tag AS b, count(DISTINCT a.node_id) AS n FROM part_tags a JOIN part_tags b ON a.node_id = b.node_id AND a.tag < b.tag GROUP BY ALL HAVING count(DISTINCT a.node_id) >= 2 ORDER BY n DESC, a, b LIMIT 100")
@@ -148,7 +149,7 @@ def bfs_tags(t: Tables) -> DataFrame:
 
 
 _EDGE_WALK = f"""WITH RECURSIVE {ORDER_EDGES}, strong AS (SELECT * FROM edges WHERE weight >= 100000), steps AS (SELECT source_id AS a, target_id AS b FROM strong UNION ALL SELECT target_id, source_id FROM strong), walk AS (
-    SELECT o_orderkey // 3000 AS query_id, 'o' || o_orderkey AS node_id, 0 AS hop FROM orders WHERE o_orderkey % 3000 = 0
+    SELECT (o_orderkey // 50) % 4 AS query_id, 'o' || o_orderkey AS node_id, 0 AS hop FROM orders WHERE o_orderkey % 50 = 0
     UNION SELECT w.query_id, s.b, w.hop + 1 FROM walk w JOIN steps s ON s.a = w.node_id WHERE w.hop < 3),
   nodes AS (SELECT query_id, node_id, min(hop)::INTEGER AS hop FROM walk GROUP BY ALL)"""
 
@@ -199,10 +200,11 @@ def order_nodes(t: Tables) -> DataFrame:
 
 
 def anchors(t: Tables) -> DataFrame:
-    return t.orders.filter("o_orderkey % 500 in (0, 7)").select((F.col("o_orderkey") / 500).cast("long").alias("query_id"), F.col("o_orderkey").alias("node_id"))
+    """The query set: orders whose key is divisible by 50, two anchors a query."""
+    return t.orders.filter("o_orderkey % 50 = 0").select(F.floor(F.col("o_orderkey") / 100).alias("query_id"), F.col("o_orderkey").alias("node_id"))
 
 
-_GRAVITY = f"""WITH {PART_TAGS}, d AS (SELECT DISTINCT node_id, tag FROM part_tags), anchors AS (SELECT o_orderkey // 500 AS query_id, o_orderkey AS anchor FROM orders WHERE o_orderkey % 500 IN (0, 7)),
+_GRAVITY = f"""WITH {PART_TAGS}, d AS (SELECT DISTINCT node_id, tag FROM part_tags), anchors AS (SELECT o_orderkey // 100 AS query_id, o_orderkey AS anchor FROM orders WHERE o_orderkey % 50 = 0),
   nodes AS (SELECT o_orderkey AS node_id, o_orderdate AS ts, o_orderkey * 2654435761 AS bits, o_custkey AS c, o_orderkey * 10 AS a, o_orderkey * 10 + 5 AS b FROM orders),
   shared AS (SELECT query_id, anchor, y.node_id, count(*) AS shared FROM anchors JOIN d x ON x.node_id = anchor JOIN d y ON y.tag = x.tag GROUP BY ALL),
   near AS (SELECT query_id, anchor, n.node_id FROM anchors JOIN nodes m ON m.node_id = anchor JOIN nodes n ON n.c = m.c AND n.b >= m.a - 1000 AND n.a <= m.b + 1000),
@@ -223,7 +225,7 @@ def link_labels(t: Tables) -> DataFrame:
     return graph.link_labels(graph.gravity_walk(anchors(t), order_nodes(t), part_tags(t), threshold=0.05)).select("query_id", "node_id", "label", "reason")
 
 
-@query(f"""WITH {PART_TAGS}, d AS (SELECT DISTINCT node_id, tag FROM part_tags), anchors AS (SELECT o_orderkey // 500 AS query_id, o_orderkey AS anchor FROM orders WHERE o_orderkey % 500 IN (0, 7)),
+@query(f"""WITH {PART_TAGS}, d AS (SELECT DISTINCT node_id, tag FROM part_tags), anchors AS (SELECT o_orderkey // 100 AS query_id, o_orderkey AS anchor FROM orders WHERE o_orderkey % 50 = 0),
   w AS (SELECT DISTINCT query_id, tag FROM anchors JOIN d ON node_id = anchor), f AS (SELECT query_id, node_id, count(*) AS shared FROM w JOIN d USING (tag) WHERE (query_id, node_id) NOT IN (SELECT (query_id, anchor) FROM anchors) GROUP BY ALL)
   SELECT query_id, node_id, shared, round(0.1 * shared, 4)::DOUBLE AS score FROM f QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY shared DESC, node_id) <= 50""")
 def walk_from_tags(t: Tables) -> DataFrame:
@@ -231,12 +233,12 @@ def walk_from_tags(t: Tables) -> DataFrame:
 
 
 def _results(t: Tables) -> DataFrame:
-    """Parts of a brand and size as the results of a query."""
-    p = t.part.filter("p_partkey % 20 = 0")
-    return p.select(F.col("p_brand").alias("query_id"), F.col("p_partkey").alias("node_id"), F.col("p_type").alias("source"), F.col("p_size").alias("seq"), F.split("p_name", " ").alias("tags"), F.array("p_type").alias("buckets"))
+    """Parts of a brand and a price step as the results of a query."""
+    p = t.part
+    return p.select(F.concat_ws(":", "p_brand", F.floor(F.col("p_retailprice") / 5).cast("string")).alias("query_id"), F.col("p_partkey").alias("node_id"), F.col("p_type").alias("source"), F.col("p_size").alias("seq"), F.split("p_name", " ").alias("tags"), F.array("p_type").alias("buckets"))
 
 
-_RESULTS = "results AS (SELECT p_brand AS query_id, p_partkey AS node_id, p_type AS source, p_size AS seq, string_split(p_name, ' ') AS tags, [p_type] AS buckets FROM part WHERE p_partkey % 20 = 0)"
+_RESULTS = "results AS (SELECT p_brand || ':' || floor(p_retailprice / 5)::BIGINT AS query_id, p_partkey AS node_id, p_type AS source, p_size AS seq, string_split(p_name, ' ') AS tags, [p_type] AS buckets FROM part)"
 
 
 @query(f"""WITH {_RESULTS}, p AS (SELECT a.query_id, a.node_id AS a, b.node_id AS b, (2 * len(list_intersect(a.buckets, b.buckets)) + len(list_intersect(a.tags, b.tags)) + CASE WHEN a.source = b.source THEN 5 ELSE 0 END
@@ -258,12 +260,12 @@ def themes(t: Tables) -> DataFrame:
 
 
 @query(f"""WITH q AS (SELECT item_id AS query_id, {WORDS.format('text')}[1:3] AS terms FROM benchmark), m AS (SELECT query_id, len(list_distinct(terms)) AS n, unnest(list_distinct(terms)) AS term FROM q),
-  w AS (SELECT DISTINCT doc_id AS node_id, unnest({WORDS.format('text')}) AS w FROM documents WHERE doc_id % 5 = 0),
+  w AS (SELECT DISTINCT doc_id AS node_id, unnest({WORDS.format('text')}) AS w FROM documents),
   hit AS (SELECT query_id, n, node_id, count(DISTINCT term) AS h FROM m JOIN w ON starts_with(w.w, m.term) AND length(m.term) >= 3 OR w.w = m.term OR (length(m.term) < 3 AND substr(w.w, 1, 3) = m.term) GROUP BY ALL)
   SELECT query_id, node_id FROM hit WHERE h = n QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY node_id) <= 20""")
 def seed_nodes(t: Tables) -> DataFrame:
     queries = t.benchmark.select(F.col("item_id").alias("query_id"), F.slice(T.words(F.col("text")), 1, 3).alias("terms"))
-    return graph.seed_nodes(queries, t.documents.filter("doc_id % 5 = 0").select(F.col("doc_id").alias("node_id"), F.col("text").alias("content")))
+    return graph.seed_nodes(queries, t.documents.select(F.col("doc_id").alias("node_id"), F.col("text").alias("content")))
 
 
 # --- mining -----------------------------------------------------------------------------------------

@@ -210,9 +210,10 @@ def context_window(t: Tables) -> DataFrame:
 # --- expressions over whole tables ------------------------------------------------------------------
 
 
-@query("SELECT doc_id, list_filter(string_split(lower(trim(regexp_replace(regexp_replace(text, '[^a-zA-Z0-9\\s]', ' ', 'g'), '\\s+', ' ', 'g'))), ' '), lambda w: w <> '')[1:5] AS first FROM documents".replace("AS first", "AS first_words"))
+@query(r"""SELECT doc_id, len(w) AS n, sha256(array_to_string(w, ' ')) AS tokens FROM (SELECT doc_id, list_filter(string_split(lower(trim(regexp_replace(regexp_replace(text, '[^a-zA-Z0-9\s]', ' ', 'g'), '\s+', ' ', 'g'))), ' '), lambda w: w <> '') AS w FROM documents)""")
 def fts_tokens(t: Tables) -> DataFrame:
-    return t.documents.select("doc_id", F.slice(T.fts_tokens(F.col("text")), 1, 5).alias("first_words"))
+    w = T.fts_tokens(F.col("text"))
+    return t.documents.select("doc_id", F.size(w).cast("long").alias("n"), F.sha2(F.array_join(w, " "), 256).alias("tokens"))
 
 
 @query("SELECT doc_id, CASE WHEN length(text) <= 300 THEN text ELSE CASE WHEN length(s) > 150 THEN s WHEN length(w) > 0 THEN w ELSE p END || '...' END AS short FROM (SELECT *, regexp_extract(p, '(?s)^(.*[.!?])', 1) AS s, regexp_extract(p, '(?s)^(.*)\\s', 1) AS w FROM (SELECT doc_id, text, substr(text, 1, 300) AS p FROM documents))")

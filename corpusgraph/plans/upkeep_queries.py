@@ -32,10 +32,10 @@ def sensitive_stats(t: Tables) -> DataFrame:
     return sensitive.sensitive_stats(sensitive.scan_sensitive(t.documents))
 
 
-@query("""WITH c AS (SELECT doc_id, unnest(string_split(substr(text, 1, 200), '')) AS c FROM documents), k AS (SELECT doc_id, c, count(*) AS k FROM c GROUP BY ALL), n AS (SELECT doc_id, sum(k) AS n FROM k GROUP BY 1)
+@query("""WITH c AS (SELECT doc_id, unnest(string_split(text, '')) AS c FROM documents), k AS (SELECT doc_id, c, count(*) AS k FROM c GROUP BY ALL), n AS (SELECT doc_id, sum(k) AS n FROM k GROUP BY 1)
   SELECT doc_id, round(-sum(k / n * log2(k / n)), 4) AS entropy FROM k JOIN n USING (doc_id) GROUP BY doc_id""")
 def entropy(t: Tables) -> DataFrame:
-    return t.documents.select("doc_id", F.round(sensitive.shannon_entropy(F.substring("text", 1, 200)), 4).alias("entropy"))
+    return t.documents.select("doc_id", F.round(sensitive.shannon_entropy(F.col("text")), 4).alias("entropy"))
 
 
 # --- lifecycle --------------------------------------------------------------------------------------
