@@ -82,6 +82,8 @@ def slices(batches: Iterable[pa.RecordBatch], column: str, limit: int = SLICE_BY
 
 def text_bytes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """(all bytes, row offsets); null counts as empty."""
+    if not len(column):
+        return np.zeros(0, np.uint8), np.zeros(1, np.int64)
     column = pc.fill_null(column, "").cast(pa.large_binary())
     offsets = np.frombuffer(column.buffers()[1], dtype=np.int64)[column.offset : column.offset + len(column) + 1]
     buffer = column.buffers()[2]
@@ -162,7 +164,7 @@ def shingles(words: np.ndarray, first: np.ndarray, size: int) -> tuple[np.ndarra
     row_of = np.repeat(np.arange(len(n)), n)
     total = np.zeros(len(words), dtype=np.uint64)
     for k in range(size):
-        total[: len(words) - k] += mix(words[k:] + _PLACES[k])
+        total[: max(0, len(words) - k)] += mix(words[k:] + _PLACES[k])
     whole = np.arange(len(words)) + size <= first[1:][row_of] if len(words) else np.zeros(0, bool)
     at = np.flatnonzero(whole)
     rows, hashes = row_of[at], mix(total[at])

@@ -73,7 +73,7 @@ def _sample(hashes: np.ndarray, multiplier: np.uint64) -> np.ndarray:
 def _candidates(index: Index, rows: np.ndarray, hashes: np.ndarray) -> set[tuple[int, int]]:
     """(row, item) pairs where a window of the row and the item share a MinHash value."""
     found: set[tuple[int, int]] = set()
-    if not len(rows):
+    if not len(rows) or not index.classes:
         return found
     n = np.bincount(rows)
     ends = np.cumsum(n)
