@@ -76,6 +76,15 @@ def vectorized(function: Callable[[pd.Series], pd.Series], returns: str):
     return F.pandas_udf(function, returns)
 
 
+def vectorized_agg(function: Callable[[pd.Series], object], returns: str):
+    """A Python aggregate over the values of a group of bounded size."""
+    @F.pandas_udf(returns, F.PandasUDFType.GROUPED_AGG)
+    def aggregate(values):
+        return function(values)
+
+    return aggregate
+
+
 def select_cols(df: DataFrame, columns: Mapping[str, Column | str]) -> DataFrame:
     return df.select(*[_column(c).alias(n) for n, c in columns.items()])
 

@@ -262,6 +262,14 @@ def memory_node(results: DataFrame, tokens: int = 1000, k: int = 10) -> DataFram
     return budget_prefix(rows, ["query_id"], [F.col("score").desc(), "node_id"], T.token_count(F.col("evidence")), tokens).select("query_id", "node_id", "evidence", F.col("used").cast("long").alias("used"))
 
 
+def enrich_tags(anchors: DataFrame, nodes: DataFrame, tags: DataFrame) -> DataFrame:
+    """anchors (query_id, node_id) with `tags`: the sorted tags of all nodes of the anchor's compound. nodes: node_id, compound_id."""
+    wanted = anchors.join(nodes.select("node_id", "compound_id"), "node_id")
+    own = tags.join(nodes.select("node_id", "compound_id"), "node_id").join(wanted.select("compound_id").distinct(), "compound_id", "left_semi")
+    merged = own.groupBy("compound_id").agg(F.array_sort(F.collect_set("tag")).alias("tags"))
+    return wanted.join(merged, "compound_id", "left").select("query_id", "node_id", F.coalesce("tags", F.array().cast("array<string>")).alias("tags"))
+
+
 def clean_mode(results: DataFrame, least: int = 40) -> DataFrame:
     """Results without artifacts and short texts; a query that would lose all keeps the raw ones."""
     cleaned = results.withColumn("clean", T.strip_artifacts(F.col("content"))).withColumn("good", (F.length("clean") >= least) & (F.col("clean") != "[REDACTED]"))

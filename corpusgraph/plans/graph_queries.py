@@ -4,7 +4,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import text as T
-from ..operators import dedup, graph, mining, tagstats
+from ..operators import dedup, frame, graph, mining, prepare, retrieve, tagstats
 from .corpus_queries import MOLECULES, TAGS, WORDS, molecules, tags
 from .registry import Tables, query
 
@@ -111,6 +111,31 @@ def graph_report(t: Tables) -> DataFrame:
     return tagstats.graph_report(tags(t), t.documents)
 
 
+@query(f"""WITH {TAGS}, k AS (SELECT doc_id, count(DISTINCT tag) AS k FROM tags JOIN molecules ON mol_id = node_id WHERE tag LIKE '%a%e%' GROUP BY doc_id)
+  SELECT doc_id FROM documents LEFT JOIN k USING (doc_id) WHERE length(text) > 500 AND coalesce(k, 0) < 2""")
+def under_tagged(t: Tables) -> DataFrame:
+    some = tags(t).filter("tag like '%a%e%'").join(molecules(t).select(F.col("mol_id").alias("node_id"), "doc_id"), "node_id")
+    own = some.groupBy("doc_id").agg(F.collect_set("tag").alias("tags"))
+    return frame.under_tagged(t.documents.join(own, "doc_id", "left"), "text").select("doc_id")
+
+
+@query("""WITH e AS (SELECT p_partkey, list_transform(string_split(p_name, ' '), lambda x: 'entity:' || x) AS tags, p_type FROM part)
+  SELECT p_partkey AS node_id, 'any' AS rule FROM e WHERE len(list_intersect(tags, ['entity:red', 'entity:ring'])) > 0 UNION ALL SELECT p_partkey, 'related' FROM e WHERE list_contains(tags, 'entity:red') AND list_contains(tags, 'entity:ring') AND p_type = 'ECONOMY'""")
+def filter_by_entities(t: Tables) -> DataFrame:
+    named = F.transform(F.split("p_name", " "), lambda x: F.concat(F.lit("entity:"), x))
+    marked = F.when(F.col("p_type") == "ECONOMY", F.array(F.lit("#Relationship"))).otherwise(F.array().cast("array<string>"))
+    rows = t.part.select(F.col("p_partkey").alias("node_id"), F.concat(named, marked).alias("tags"))
+    some, related = prepare.by_entities(rows, ["red", "ring"]), prepare.relationship_molecules(rows, ["red", "ring"])
+    return some.select("node_id", F.lit("any").alias("rule")).unionByName(related.select("node_id", F.lit("related").alias("rule")))
+
+
+@query(f"""WITH {PART_TAGS}, anchors AS (SELECT o_orderkey // 100 AS query_id, o_orderkey AS node_id, o_custkey FROM orders WHERE o_orderkey % 50 = 0),
+  m AS (SELECT o_custkey, string_agg(DISTINCT tag::VARCHAR, ',' ORDER BY tag::VARCHAR) AS tags FROM part_tags JOIN orders ON o_orderkey = node_id GROUP BY 1) SELECT query_id, node_id, coalesce(tags, '') AS tags FROM anchors LEFT JOIN m USING (o_custkey)""")
+def enrich_tags(t: Tables) -> DataFrame:
+    own = part_tags(t).withColumn("tag", F.col("tag").cast("string"))
+    return retrieve.enrich_tags(anchors(t), order_nodes(t), own).withColumn("tags", F.array_join("tags", ","))
+
+
 # --- walks ------------------------------------------------------------------------------------------
 
 ORDER_EDGES = "edges AS (SELECT 'c' || o_custkey AS source_id, 'o' || o_orderkey AS target_id, 'placed' AS relation, o_totalprice AS weight FROM orders)"

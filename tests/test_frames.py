@@ -36,6 +36,11 @@ def test_vectorized(spark):
     assert [r.y for r in frame.transform_cols(spark.range(3), {"y": double("id")}).orderBy("id").collect()] == [0, 2, 4]
 
 
+def test_vectorized_agg(spark):
+    spread = frame.vectorized_agg(lambda v: float(v.max() - v.min()), "double")
+    assert frame.agg_all(spark.range(5), {"s": spread("id")}).first().s == 4.0
+
+
 @pytest.mark.parametrize(
     "ranges, expected",
     [([(0, 50), (100, 150), (1000, 1050)], [(0, 150), (1000, 1050)]), ([(0, 900), (10, 20), (1000, 1050)], [(0, 1050)]), ([(0, 50), (551, 560)], [(0, 50), (551, 560)]), ([], [])],
