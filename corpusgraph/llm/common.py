@@ -16,7 +16,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-SLICE_BYTES = 2 << 20
+SLICE_BYTES, SLICE_ROWS = 2 << 20, 4096
 
 _SPACE = np.zeros(256, dtype=bool)
 _SPACE[[0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D]] = True
@@ -47,8 +47,13 @@ def shared_dir(spark: SparkSession) -> str:
     return context._jsc.sc().getCheckpointDir().get()
 
 
-def materialize(df: DataFrame, name: str = "table") -> DataFrame:
-    """Writes df as Parquet in the shared folder and reads it back: cuts lineage, survives lost executors."""
+def materialize(df: DataFrame, name: str = "table", few_files: bool = False) -> DataFrame:
+    """Writes df as Parquet in the shared folder and reads it back: cuts lineage, survives lost executors.
+
+    few_files: the last stage has a task for each core only; for tables of a few numbers a row.
+    """
+    if few_files:
+        df = df.coalesce(max(1, df.sparkSession.sparkContext.defaultParallelism))
     path = f"{shared_dir(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
     schema = df.schema
     df.write.parquet(path)
@@ -67,7 +72,7 @@ def discard(df: DataFrame) -> None:
 
 
 def slices(batches: Iterable[pa.RecordBatch], column: str, limit: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
-    """Cuts batches so that a slice holds about `limit` bytes of `column`, or one row."""
+    """Cuts batches so that a slice holds about `limit` bytes of `column` and SLICE_ROWS rows at most, or one row."""
     for batch in batches:
         if not batch.num_rows:
             continue
@@ -75,7 +80,7 @@ def slices(batches: Iterable[pa.RecordBatch], column: str, limit: int = SLICE_BY
         at = 0
         while at < batch.num_rows:
             done = size[at - 1] if at else 0
-            to = max(at + 1, int(np.searchsorted(size, done + limit, side="right")))
+            to = max(at + 1, min(at + SLICE_ROWS, int(np.searchsorted(size, done + limit, side="right"))))
             yield batch.slice(at, to - at)
             at = to
 
@@ -229,16 +234,16 @@ def connected_components(links: DataFrame, rounds: int = 60) -> DataFrame:
     hubs are summed by partial aggregation and joined by plain joins that adaptive execution can split,
     and every round is a table in the shared folder.
     """
-    edges = materialize(links.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).filter("u > v").distinct(), "links")
+    edges = materialize(links.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).filter("u > v").distinct(), "links", few_files=True)
     for _ in range(rounds):
         if _is_forest_of_stars(edges):
             break
         both = edges.union(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = materialize(both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m")), "least")
-        large = materialize(both.join(least, "u").filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct(), "large")
-        below = materialize(large.groupBy("u").agg(F.min("v").alias("m")), "below")
+        least = materialize(both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m")), "least", few_files=True)
+        large = materialize(both.join(least, "u").filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct(), "large", few_files=True)
+        below = materialize(large.groupBy("u").agg(F.min("v").alias("m")), "below", few_files=True)
         small = large.join(below, "u").select(F.when(F.col("v") == F.col("m"), F.col("u")).otherwise(F.col("v")).alias("u"), F.col("m").alias("v"))
-        after = materialize(small.filter("u > v").distinct(), "links")
+        after = materialize(small.filter("u > v").distinct(), "links", few_files=True)
         for old in (edges, least, large, below):
             discard(old)
         edges = after

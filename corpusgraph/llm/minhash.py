@@ -79,9 +79,9 @@ def odd_sketches(rows: np.ndarray, hashes: np.ndarray, n_rows: int) -> tuple[np.
     order = np.lexsort((x, slot))
     first = order[np.concatenate([[True], slot[order][1:] != slot[order][:-1]])] if len(order) else order
     place = rows[first] * SKETCH_BITS + (mix(x[first]) >> np.uint64(53)).astype(np.int64)
-    count = np.bincount(place, minlength=n_rows * SKETCH_BITS)
-    bits = np.packbits((count & 1).astype(np.uint8).reshape(n_rows, SKETCH_BITS), axis=1).view(np.uint64)
-    return bits, np.bincount(rows[first], minlength=n_rows)
+    bits = np.zeros(n_rows * SKETCH_BITS // 8, np.uint8)
+    np.bitwise_xor.at(bits, place >> 3, (1 << (place & 7)).astype(np.uint8))
+    return bits.view(np.uint64).reshape(n_rows, -1), np.bincount(rows[first], minlength=n_rows)
 
 
 def may_link(apart: np.ndarray, samples: np.ndarray, sizes: np.ndarray) -> np.ndarray:
@@ -286,27 +286,27 @@ def _components(docs: DataFrame, chosen: DataFrame, bridges: DataFrame) -> DataF
     numbers = ["id", "sketch", "samples", "n_shingles"]
     sketches = chosen.select(numbers)
     both = pairs.join(sketches.toDF("a", *[f"x_{c}" for c in numbers[1:]]), "a").join(sketches.toDF("b", *[f"y_{c}" for c in numbers[1:]]), "b")
-    fresh = materialize(both.mapInArrow(_similar, "a long, b long").distinct(), "fresh")
-    tried, found = fresh, materialize(_confirm(fresh, docs).union(bridges), "found")
-    width = 1
+    fresh = materialize(both.mapInArrow(_similar, "a long, b long").distinct(), "fresh", few_files=True)
+    tried, found = fresh, materialize(_confirm(fresh, docs).union(bridges), "found", few_files=True)
+    width = 4
     while True:
-        components = materialize(connected_components(found), "components")
+        components = materialize(connected_components(found), "components", few_files=True)
         labelled = led.join(components, "id", "left").select("key", "id", F.coalesce("component_id", "id").alias("part"))
-        mixed = materialize(labelled.groupBy("key").agg(F.min("part").alias("x"), F.max("part").alias("y")).filter("x <> y").select("key"), "mixed")
+        mixed = materialize(labelled.groupBy("key").agg(F.min("part").alias("x"), F.max("part").alias("y")).filter("x <> y").select("key"), "mixed", few_files=True)
         rows = materialize(labelled.join(mixed, "key", "left_semi"), "rows")
         if rows.isEmpty():
             return components
         dealt = _dealt(rows).join(sketches, "id").select("place", "side", "part", *numbers)
         crossed = materialize(dealt.repartition("place").sortWithinPartitions("place").mapInArrow(_cross_pairs(width), "a long, b long, more boolean"), "crossed")
-        fresh = materialize(crossed.select("a", "b").distinct().join(tried, ["a", "b"], "left_anti"), "fresh")
+        fresh = materialize(crossed.select("a", "b").distinct().join(tried, ["a", "b"], "left_anti"), "fresh", few_files=True)
         held_back = not crossed.filter("more").isEmpty()
-        new = fresh if fresh.isEmpty() else materialize(_confirm(fresh, docs), "new")
+        new = fresh if fresh.isEmpty() else materialize(_confirm(fresh, docs), "new", few_files=True)
         if not held_back and new.isEmpty():
             return components
         found, tried = found.union(new.select("a", "b")), tried.union(fresh)
         if not held_back:
-            return materialize(connected_components(found), "components")
-        width *= 4
+            return materialize(connected_components(found), "components", few_files=True)
+        width *= 16
 
 
 def op9_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
