@@ -30,32 +30,49 @@ def shannon_entropy(text: Column) -> Column:
     return F.coalesce(F.aggregate(F.array_distinct(F.split(text, "")), F.lit(0.0), lambda a, c: a - share(c) * F.log2(share(c))), F.lit(0.0))
 
 
-def matches(df: DataFrame, patterns=PATTERNS, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """(key, type, priority, start, end, found) of all pattern hits of enough entropy; positions in characters.
+_EMPTY = "array<struct<type:string,priority:int,start:bigint,end:bigint,found:string>>"
+
+
+def _with_hits(df: DataFrame, patterns, key: str, text: str) -> DataFrame:
+    """(key, hits): all pattern hits of enough entropy of a text as an array of structs, in one pass over the table.
 
     The pieces between matches, by the same pattern, give the positions.
     """
-    every = None
-    for order, (kind, pattern, group, least) in enumerate(patterns):
-        has = df.filter(F.col(text).rlike(pattern)).select(key, F.split(text, pattern, -1).alias("p"), F.regexp_extract_all(text, F.lit(pattern), F.lit(0)).alias("m"), F.regexp_extract_all(text, F.lit(pattern), F.lit(group)).alias("g"))
-        starts = F.transform("m", lambda _, i: F.aggregate(F.slice("p", 1, i + 1), F.lit(0), lambda a, x: a + F.length(x)) + F.aggregate(F.slice("m", 1, i), F.lit(0), lambda a, x: a + F.length(x)))
-        rows = has.select(key, F.explode(F.arrays_zip(F.col("m").alias("whole"), F.col("g").alias("found"), starts.alias("at"))).alias("r"))
-        inner = F.greatest(F.instr(F.col("r.whole"), F.col("r.found")) - 1, F.lit(0)) if group else F.lit(0)
-        rows = rows.select(key, F.lit(kind).alias("type"), F.lit(order).alias("priority"), (F.col("r.at") + inner).cast("long").alias("start"), F.col("r.found").alias("found"))
-        rows = rows.withColumn("end", F.col("start") + F.length("found"))
-        if least:
-            rows = rows.filter(shannon_entropy(F.col("found")) >= least)
-        every = rows if every is None else every.unionByName(rows)
-    return every
+    columns = {}
+    for i, (_, pattern, group, _) in enumerate(patterns):
+        has = F.col(text).rlike(pattern)
+        columns |= {f"p{i}": F.when(has, F.split(text, pattern, -1)), f"m{i}": F.when(has, F.regexp_extract_all(text, F.lit(pattern), F.lit(0))), f"g{i}": F.when(has, F.regexp_extract_all(text, F.lit(pattern), F.lit(group)))}
+    rows = df.select(key, text).withColumns(columns)
+    return rows.select(key, F.concat(*[_hits_of(i, kind, group, least) for i, (kind, _, group, least) in enumerate(patterns)]).alias("hits"))
+
+
+def _hits_of(i: int, kind: str, group: int, least: float) -> Column:
+    length = lambda array, n: F.aggregate(F.slice(array, F.lit(1), n), F.lit(0), lambda a, x: a + F.length(x))
+
+    def hit(whole: Column, n: Column) -> Column:
+        found = F.get(f"g{i}", n)
+        inner = F.greatest(F.instr(whole, found) - 1, F.lit(0)) if group else F.lit(0)
+        start = (length(f"p{i}", n + 1) + length(f"m{i}", n) + inner).cast("long")
+        return F.struct(F.lit(kind).alias("type"), F.lit(i).alias("priority"), start.alias("start"), (start + F.length(found)).alias("end"), found.alias("found"))
+
+    found = F.transform(f"m{i}", hit)
+    if least:
+        found = F.filter(found, lambda h: shannon_entropy(h["found"]) >= least)
+    return F.coalesce(found, F.array().cast(_EMPTY))
+
+
+def matches(df: DataFrame, patterns=PATTERNS, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """(key, type, priority, start, end, found) of all pattern hits; positions in characters."""
+    return _with_hits(df, patterns, key, text).select(key, F.explode("hits").alias("h")).select(key, "h.*")
 
 
 def scan_sensitive(df: DataFrame, patterns=PATTERNS, key: str = "doc_id", text: str = "text") -> DataFrame:
     """(key, type, start, end, hash, confidence): hits that no hit of higher priority overlaps."""
-    found = matches(df, patterns, key, text)
-    a, b = found.alias("a"), found.select(F.col(key).alias("_k"), F.col("priority").alias("_p"), F.col("start").alias("_s"), F.col("end").alias("_e")).alias("b")
-    beaten = a.join(b, (F.col(f"a.{key}") == F.col("_k")) & (F.col("_p") < F.col("priority")) & (F.col("_s") < F.col("end")) & (F.col("start") < F.col("_e")), "left_anti")
+    beats = lambda y, x: (y["priority"] < x["priority"]) & (y["start"] < x["end"]) & (x["start"] < y["end"])
+    kept = _with_hits(df, patterns, key, text).select(key, F.filter("hits", lambda x: ~F.exists("hits", lambda y: beats(y, x))).alias("hits"))
+    rows = kept.select(key, F.explode("hits").alias("h")).select(key, "h.*")
     confidence = F.when(F.col("type").isin("GENERIC_SECRET", "PASSWORD", "PHONE"), 0.7).otherwise(0.9)
-    return beaten.select(key, "type", "start", "end", F.substring(F.sha2("found", 256), 1, 16).alias("hash"), confidence.alias("confidence"))
+    return rows.select(key, "type", "start", "end", F.substring(F.sha2("found", 256), 1, 16).alias("hash"), confidence.alias("confidence"))
 
 
 def sensitive_stats(found: DataFrame) -> DataFrame:

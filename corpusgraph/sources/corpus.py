@@ -26,7 +26,7 @@ def read_corpus(spark: SparkSession, path: str) -> DataFrame:
     """(path, text) of the text files below a folder, each whole; empty ones and the engine's own mirror go."""
     files = spark.read.format("text").option("wholetext", True).option("recursiveFileLookup", True).option("pathGlobFilter", FILE_TYPES).load(path)
     files = files.select(F.input_file_name().alias("path"), F.col("value").alias("text"))
-    return files.filter(F.trim("text") != "").filter(~F.col("path").rlike("/(mirrored_brain|mirror)/"))
+    return files.filter(F.trim("text") != "").filter(~F.col("path").rlike("/mirror(ed)?[^/]*/"))
 
 
 def with_source_metadata(df: DataFrame, path: str = "path") -> DataFrame:
