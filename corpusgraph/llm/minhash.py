@@ -23,6 +23,7 @@ from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -197,20 +198,24 @@ def _cross_pairs(width: int):
         for table in whole_groups(batches, "place"):
             ids, parts, side = table.column("id").to_numpy(), table.column("part").to_numpy(), table.column("side").to_numpy()
             sketch, samples, sizes = _numbers(table)
+            bucket = table.column("key").to_numpy()
+            keys = pc.list_flatten(table.column("keys")).to_numpy().reshape(-1, BANDS)
             bounds = group_bounds(table.column("place").to_numpy())
             a, b, more = [], [], []
 
-            def meet(left: np.ndarray, right: np.ndarray):
+            def meet(left: np.ndarray, right: np.ndarray, band: int):
                 for start in range(0, len(left), 16):
                     own = left[start : start + 16]
                     apart = np.bitwise_count(sketch[own, None, :] ^ sketch[None, right, :]).sum(axis=2, dtype=np.int64)
                     good = may_link(apart, samples[own, None] + samples[None, right], sizes[own, None] + sizes[None, right]) & (parts[own, None] != parts[None, right])
-                    n = good.sum(axis=1)
-                    for k in np.flatnonzero(n):
-                        best = np.argsort(np.where(good[k], apart[k] / (sizes[own[k]] + sizes[right]), np.inf), kind="stable")[: min(width, n[k])]
+                    for k in np.flatnonzero(good.any(axis=1)):
+                        fit = np.flatnonzero(good[k])
+                        # a pair is seen in the first band that it shares only
+                        fit = fit[~(keys[right[fit], :band] == keys[own[k], :band]).any(axis=1)]
+                        best = fit[np.argsort(apart[k, fit] / (sizes[own[k]] + sizes[right[fit]]), kind="stable")[:width]]
                         a.append(np.full(len(best), ids[own[k]]))
                         b.append(ids[right[best]])
-                        more.append(np.full(len(best), n[k] > width))
+                        more.append(np.full(len(best), len(fit) > width))
 
             for lo, hi in zip(bounds[:-1], bounds[1:]):
                 names, inverse, n = np.unique(parts[lo:hi], return_inverse=True, return_counts=True)
@@ -219,12 +224,13 @@ def _cross_pairs(width: int):
                 # rows of the largest component meet the others only from the other side
                 small = inverse != n.argmax()
                 every = np.arange(lo, hi)
+                band = int(np.flatnonzero(keys[lo] == bucket[lo])[0])
                 if side[lo] == 0:
-                    meet(every[small], every)
+                    meet(every[small], every, band)
                 else:  # rows of side 1 meet rows of side 2
                     one = side[lo:hi] == 1
-                    meet(every[small & one], every[~one])
-                    meet(every[small & ~one], every[one])
+                    meet(every[small & one], every[~one], band)
+                    meet(every[small & ~one], every[one], band)
             if a:
                 a, b = np.concatenate(a), np.concatenate(b)
                 yield pa.record_batch([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b)), pa.array(np.concatenate(more))], ["a", "b", "more"])
@@ -248,8 +254,8 @@ def _dealt(rows: DataFrame) -> DataFrame:
     large = large.withColumn("blocks", blocks).withColumn("own", F.expr("pmod(xxhash64(id), blocks)").cast("int"))
     large = large.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     pair = [F.least("own", "other"), F.greatest("own", "other")]
-    large = large.select(F.xxhash64("key", *pair).alias("place"), F.when(F.col("own") == F.col("other"), 0).when(F.col("own") < F.col("other"), 1).otherwise(2).alias("side"), "id", "part")
-    small = rows.join(size, "key", "left_anti").select(F.xxhash64("key", F.lit(-1), F.lit(-1)).alias("place"), F.lit(0).alias("side"), "id", "part")
+    large = large.select(F.xxhash64("key", *pair).alias("place"), F.when(F.col("own") == F.col("other"), 0).when(F.col("own") < F.col("other"), 1).otherwise(2).alias("side"), "key", "id", "part")
+    small = rows.join(size, "key", "left_anti").select(F.xxhash64("key", F.lit(-1), F.lit(-1)).alias("place"), F.lit(0).alias("side"), "key", "id", "part")
     return small.union(large)
 
 
@@ -296,7 +302,7 @@ def _components(docs: DataFrame, chosen: DataFrame, bridges: DataFrame) -> DataF
         rows = materialize(labelled.join(mixed, "key", "left_semi"), "rows")
         if rows.isEmpty():
             return components
-        dealt = _dealt(rows).join(sketches, "id").select("place", "side", "part", *numbers)
+        dealt = _dealt(rows).join(chosen, "id").select("place", "side", "key", "part", "keys", *numbers)
         crossed = materialize(dealt.repartition("place").sortWithinPartitions("place").mapInArrow(_cross_pairs(width), "a long, b long, more boolean"), "crossed")
         fresh = materialize(crossed.select("a", "b").distinct().join(tried, ["a", "b"], "left_anti"), "fresh", few_files=True)
         held_back = not crossed.filter("more").isEmpty()
