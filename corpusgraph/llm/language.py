@@ -30,7 +30,7 @@ from .common import read, slices, span_hashes, text_bytes
 
 SAMPLE_DOCS, SAMPLE_CHARS = 400, 200_000
 PIECE_BYTES, LONG, ROUNDS, SMOOTHING = 12, 48, 4, 0.05
-BLOCK_BYTES = 12 << 20
+BLOCK_BYTES = 8 << 20
 #: The pipeline rejects a document if its best language has a smaller share than this.
 LEAST_SCORE = 0.5
 
@@ -230,7 +230,7 @@ def _predict(langs: list[str], table: np.ndarray, path: str | None, texts: list[
         plans.append((part, rows, number[inverse]))
     logs = np.zeros((len(words), max(1, len(langs))))
     if langs and words:
-        step = 60_000
+        step = 20_000
         by_size = sorted(range(len(words)), key=lambda i: len(words[i]))
         for a in range(0, len(words), step):
             own = by_size[a : a + step]
