@@ -128,6 +128,8 @@ PROFILES = {
     "max_recall": {"radius": 3, "gamma": 1.0, "rate": 0.0, "threshold": 0.0, "k": 1000, "byte_radius": 1000},
 }
 
+PARTS = 16
+
 
 def gravity(shared: Column, hop: Column, bonus: Column, hours: Column, bits: Column, gamma: float, rate: float) -> Column:
     """Pull of an anchor: shared tags damped by hops, plus closeness in the text, faded by time and differing bits."""
@@ -141,18 +143,27 @@ def gravity_walk(anchors: DataFrame, nodes: DataFrame, tags: DataFrame, profile:
     anchors: query_id, node_id; nodes: node_id, ts, simhash, compound_id, start_byte, end_byte.
     A node is scored against every anchor that shares a tag with it or lies near it in the text, and
     keeps its best. Nodes that are reached over further hops share no tag and score by closeness only.
+    Shared tags are counted once for an anchor, whatever number of queries has it, with the nodes of a tag dealt
+    out in PARTS; a pair that can't pass the threshold at its best goes before its query and its nodes are joined.
     """
     p = PROFILES[profile] | changed
     own = without_hubs(tags.select("node_id", "tag").distinct(), most_degree)
     starts = anchors.select("query_id", F.col("node_id").alias("anchor")).distinct()
-    hops = bfs_tags(anchors, tags, p["radius"], most_degree=most_degree)
-    shared = starts.join(own.withColumnRenamed("node_id", "anchor"), "anchor").join(own, "tag").groupBy("query_id", "anchor", "node_id").agg(F.count("*").alias("shared"))
+    asked = starts.select("anchor").distinct()
+    part = F.pmod(F.xxhash64("node_id"), F.lit(PARTS)).cast("int")
+    held = asked.join(own.withColumnRenamed("node_id", "anchor"), "anchor").withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(PARTS - 1))))
+    shared = held.join(own.withColumn("part", part), ["tag", "part"]).select("anchor", "node_id", F.lit(1).alias("shared"), F.lit(0).alias("bonus"))
     place = nodes.select(F.col("node_id").alias("anchor"), F.col("compound_id").alias("c"), F.col("start_byte").alias("a"), F.col("end_byte").alias("b"))
-    near = starts.join(place, "anchor").join(nodes.select("node_id", F.col("compound_id").alias("c"), "start_byte", "end_byte"), "c")
-    near = near.filter((F.col("end_byte") >= F.col("a") - p["byte_radius"]) & (F.col("start_byte") <= F.col("b") + p["byte_radius"])).select("query_id", "anchor", "node_id", F.lit(1).alias("bonus"))
-    met = shared.join(near, ["query_id", "anchor", "node_id"], "full").select("query_id", "anchor", "node_id", F.coalesce("shared", F.lit(0)).alias("shared"), F.coalesce("bonus", F.lit(0)).alias("bonus"))
+    near = asked.join(place, "anchor").join(nodes.select("node_id", F.col("compound_id").alias("c"), "start_byte", "end_byte"), "c")
+    near = near.filter((F.col("end_byte") >= F.col("a") - p["byte_radius"]) & (F.col("start_byte") <= F.col("b") + p["byte_radius"])).select("anchor", "node_id", F.lit(0).alias("shared"), F.lit(1).alias("bonus"))
+    met = shared.unionByName(near).groupBy("anchor", "node_id").agg(F.sum("shared").alias("shared"), F.max("bonus").alias("bonus"))
+    most = gravity(F.col("shared"), F.lit(1), F.col("bonus"), F.lit(0.0), F.lit(0), p["gamma"], p["rate"])  # no time apart, no differing bits
+    met = met.filter(F.round(most, 6) > p["threshold"]).join(starts, "anchor")
     met = met.join(anchors.select("query_id", "node_id").distinct(), ["query_id", "node_id"], "left_anti")
-    met = met.join(hops, ["query_id", "node_id"], "left").withColumn("hop", F.coalesce("hop", F.lit(1)))
+    if p["radius"] > 1:
+        met = met.join(bfs_tags(anchors, tags, p["radius"], most_degree=most_degree), ["query_id", "node_id"], "left").withColumn("hop", F.coalesce("hop", F.lit(1)))
+    else:
+        met = met.withColumn("hop", F.lit(1))  # all that share a tag are one hop away, and what only lies near counts as that
     met = met.join(nodes.select("node_id", "ts", "simhash"), "node_id").join(nodes.select(F.col("node_id").alias("anchor"), F.col("ts").alias("anchor_ts"), F.col("simhash").alias("anchor_bits")), "anchor")
     hours = (F.unix_micros(F.col("ts").cast("timestamp")) - F.unix_micros(F.col("anchor_ts").cast("timestamp"))) / 3.6e9
     score = gravity(F.col("shared"), F.col("hop"), F.col("bonus"), hours, T.hamming(F.col("simhash"), F.col("anchor_bits")), p["gamma"], p["rate"])

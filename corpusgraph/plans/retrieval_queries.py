@@ -105,7 +105,7 @@ def star_search(t: Tables) -> DataFrame:
     mols = molecules(t).withColumnRenamed("mol_id", "node_id")
     prints = dedup.simhash64(mols, "node_id", "content")
     n = mols.join(prints, "node_id").withColumn("ts", F.timestamp_add("DAY", (F.col("doc_id") % 1500).cast("int"), F.lit("2020-01-01").cast("timestamp")))
-    return retrieve.star_search(questions(t), retrieve.text_index(mols), n, tags(t), most_degree=2000)
+    return retrieve.star_search(questions(t), retrieve.text_index(mols), n, tags(t))
 
 
 @query()

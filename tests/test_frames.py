@@ -85,6 +85,42 @@ def test_walk_leaves_out_anchors(spark):
     assert graph.gravity_walk(anchors.limit(0), nodes, tags).count() == 0
 
 
+def test_walk_over_hubs(spark):
+    from types import SimpleNamespace
+
+    from corpusgraph.plans import retrieval_queries
+
+    docs = [(0, "zebra common shared", "s"), *[(i, f"common shared {'x' * (i % 7 + 1)}", "s") for i in range(1, 2101)]]
+    t = SimpleNamespace(documents=spark.createDataFrame(docs, "doc_id long, text string, source string"), benchmark=spark.createDataFrame([(1, "zebra")], "item_id long, text string"))
+    rows = retrieval_queries.star_search(t).collect()
+    assert [r.node_id for r in rows if r.via == "anchor"] == ["0:0"]
+    assert len([r for r in rows if r.via == "walk"]) == 10
+
+
+def test_walk_counts(spark):
+    import random
+
+    rng = random.Random(3)
+    own = {f"n{i}": {t for t in range(8) if rng.random() < 0.9 / (t + 1) + 0.1} for i in range(120)}
+    tags = spark.createDataFrame([(n, str(t)) for n, ts in own.items() for t in ts], "node_id string, tag string")
+    nodes = spark.createDataFrame([(n, dt.datetime(2024, 1, 1), 0, n[:2], i * 300, i * 300 + 5) for i, n in enumerate(own)], "node_id string, ts timestamp, simhash long, compound_id string, start_byte long, end_byte long")
+    starts = [(q, f"n{rng.randrange(120)}") for q in range(4) for _ in range(3)] + [(9, "n5"), (8, "n5")]
+    anchors = spark.createDataFrame(starts, "query_id int, node_id string")
+    at = {n: i * 300 for i, n in enumerate(own)}
+    for least in (0.0, 0.1):
+        want = {}
+        for q, a in sorted(set(starts)):
+            for n in own:
+                if (q, n) in starts:
+                    continue
+                both, close = len(own[a] & own[n]), n[:2] == a[:2] and abs(at[n] - at[a]) <= 1005
+                score = round(min(1.0, both / 10 * 0.85 + 0.1 * close), 6)
+                if score > least and score > want.get((q, n), (0,))[0]:
+                    want[q, n] = score, a, both
+        got = graph.gravity_walk(anchors, nodes, tags, threshold=least, k=1000)
+        assert {(r.query_id, r.node_id): (pytest.approx(r.score), r.best_anchor, r.shared) for r in got.collect()} == want
+
+
 def test_distill(spark):
     docs = spark.createDataFrame([(1, "User: Hi\n\nbye", "s"), (2, "hi", "t"), (3, " HI ", "u")], "doc_id long, text string, source string")
     rows = {r.content: r.n for r in distill.distill_lines(docs).collect()}
