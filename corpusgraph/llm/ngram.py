@@ -8,7 +8,8 @@ from sorted ranges of keys and that scoring tasks memory-map from the shared fol
 * successors: for each context a range given by monotone pointers. Within a range the successor numbers
   increase; adding the last value of the range before makes the whole level one monotone sequence. A
   successor is sought relative to its context: value(pointer - 1) + number + 1.
-Pairs seen once are left out of the trie (PAIR_LEAST), which needs only pairs of words seen twice.
+The query keeps every counted pair. `pair_least` leaves out pairs seen less often than that; at 2 only pairs of words
+seen twice are needed. Levels above the words get the counts of their words from the words' files, without a join.
 Probabilities are interpolated absolute discounting over smoothed single-word probabilities,
     p(w | c) = (n(c, w) - DISCOUNT) / n(c) + backoff(c) * p(w),
 stored as logarithms quantised to 16 bits between a file's extremes.
@@ -143,6 +144,14 @@ class Words(Level):
             count[at[hit]] = counts[k[hit]]
         return number, count
 
+    def counts(self, numbers: np.ndarray) -> np.ndarray:
+        """Counts of words by number."""
+        out, at = np.zeros(len(numbers), np.int64), np.searchsorted(self.base, numbers, "right") - 1
+        for f in np.unique(at):
+            here = np.flatnonzero(at == f)
+            out[here] = self.arrays(int(f), lambda a: (EliasFano.of(a, "hash"), a["count"]))[1][numbers[here] - self.base[f]]
+        return out
+
 
 class Contexts(Level):
     def find(self, numbers: np.ndarray) -> np.ndarray:
@@ -196,15 +205,22 @@ def _save_contexts(folder: str):
     return build
 
 
-def _save_successors(folder: str):
-    def build(k: np.ndarray, logs: np.ndarray) -> str:
+def _save_successors(folder: str, words, contexts, total: int):
+    """words, contexts: broadcast levels."""
+
+    def build(k: np.ndarray, n: np.ndarray) -> str:
         context, number = k >> 32, k & 0xFFFFFFFF
         first = int(context[0])
+        last = np.flatnonzero(np.append(context[1:] != context[:-1], True))
+        rank = np.cumsum(np.concatenate([[0], (context[1:] != context[:-1]).astype(np.int64)]))
+        own = context[last]
+        trie = Trie(words.value, contexts.value, Successors([]), total)
+        seen, back = trie.words.counts(own)[rank], trie.contexts.find(own)[rank]
+        logs = np.log10((n - DISCOUNT) / seen + 10 ** (back + trie.base_log(trie.words.counts(number))))
         sizes = np.bincount(context - first)
         pointer = np.concatenate([[0], np.cumsum(sizes)])
-        last = np.flatnonzero(np.append(context[1:] != context[:-1], True))
         gained = np.concatenate([[0], np.cumsum(number[last] + 1)])
-        value = gained[np.cumsum(np.concatenate([[0], (context[1:] != context[:-1]).astype(np.int64)]))] + number + 1
+        value = gained[rank] + number + 1
         code, scale = _quantised(logs)
         return save(folder, {"first": np.array([first]), "code": code, "scale": scale} | EliasFano.build(pointer).arrays("pointer") | EliasFano.build(value).arrays("value"))
 
@@ -216,8 +232,8 @@ def _ranges(rows: DataFrame, key: str) -> DataFrame:
     return rows.repartitionByRange(n, key).sortWithinPartitions(key)
 
 
-def train(docs: DataFrame) -> Trie:
-    """The trie of these texts."""
+def train(docs: DataFrame, pair_least: int = PAIR_LEAST) -> Trie:
+    """The trie of these texts, with the pairs seen `pair_least` times or more."""
     spark = docs.sparkSession
     context = spark.sparkContext
     folder = f"{shared_dir(spark).rstrip('/')}/trie"
@@ -238,7 +254,7 @@ def train(docs: DataFrame) -> Trie:
             hashes, first = _tokens(part)
             unique, inverse = np.unique(hashes, return_inverse=True)
             number, count = known.find(unique)
-            number[count < PAIR_LEAST] = -1
+            number[count < pair_least] = -1
             number = number[inverse]
             pair = (number[:-1] << 32) | number[1:]
             fine = (number[:-1] >= 0) & (number[1:] >= 0)
@@ -247,33 +263,19 @@ def train(docs: DataFrame) -> Trie:
 
         return find
 
-    pairs = texts.mapInArrow(_count(pair_keys), "k long, n long").groupBy("k").agg(F.sum("n").alias("n")).filter(F.col("n") >= PAIR_LEAST)
-    pairs = materialize(pairs, "pairs")
-    numbered = _numbered(spark, words)
-    split = pairs.withColumn("c", F.shiftright("k", 32)).withColumn("w", F.col("k").bitwiseAND(F.lit(0xFFFFFFFF)))
-    weights = split.groupBy("c").agg(F.sum(F.col("n") - DISCOUNT).alias("mass")).join(numbered.select(F.col("number").alias("c"), F.col("count").alias("of")), "c")
-    weights = materialize(weights.select("c", "of", (1 - F.col("mass") / F.col("of")).alias("weight")), "weights")
-    contexts = Contexts(_files(_ranges(weights.select("c", "weight"), "c"), _save_contexts(folder), ["c", "weight"]))
-    single = numbered.select(F.col("number").alias("w"), ((F.col("count") + ALPHA) / (total + ALPHA * (int(words.base[-1]) + 1))).alias("p"))
-    logs = split.join(weights, "c").join(single, "w").select("k", F.log10((F.col("n") - DISCOUNT) / F.col("of") + F.col("weight") * F.col("p")).alias("log"))
-    logs = materialize(logs, "logs")
-    successors = Successors(_files(_ranges(logs, "k"), _save_successors(folder), ["k", "log"]))
-    return Trie(words, contexts, successors, int(total))
-
-
-def _numbered(spark: SparkSession, words: Words) -> DataFrame:
-    """(number, count) of all words, read from their level's files by Spark tasks."""
-    files = spark.createDataFrame([(path, int(base)) for (path, *_), base in zip(words.files, words.base)], "path string, base long").repartition(max(1, len(words.files)))
+    pairs = texts.mapInArrow(_count(pair_keys), "k long, n long").groupBy("k").agg(F.sum("n").alias("n"))
+    pairs = materialize(pairs.filter(F.col("n") >= pair_least) if pair_least > 1 else pairs, "pairs")
 
-    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def weigh(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for path, base in zip(batch.column("path").to_pylist(), batch.column("base").to_pylist()):
-                count = load(path)["count"]
-                for a in range(0, len(count), 65536):
-                    part = count[a : a + 65536]
-                    yield pa.record_batch([pa.array(np.arange(a, a + len(part)) + base), pa.array(np.array(part))], ["number", "count"])
+            c = batch.column("c").to_numpy()
+            yield pa.record_batch([batch.column("c"), pa.array(1 - batch.column("mass").to_numpy() / shared.value.counts(c))], ["c", "weight"])
 
-    return materialize(files.mapInArrow(run, "number long, count long"), "numbered")
+    mass = pairs.groupBy(F.shiftright("k", 32).alias("c")).agg(F.sum(F.col("n") - DISCOUNT).alias("mass"))
+    weights = materialize(mass.mapInArrow(weigh, "c long, weight double"), "weights")
+    contexts = Contexts(_files(_ranges(weights, "c"), _save_contexts(folder), ["c", "weight"]))
+    successors = Successors(_files(_ranges(pairs, "k"), _save_successors(folder, shared, context.broadcast(contexts), int(total)), ["k", "n"]))
+    return Trie(words, contexts, successors, int(total))
 
 
 def score(docs: DataFrame, trie: Trie) -> DataFrame:
@@ -316,6 +318,6 @@ def score(docs: DataFrame, trie: Trie) -> DataFrame:
 def op6_ngram(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read(spark, sf_dir, "documents")
     remainder = F.crc32(F.col("doc_id").cast("string")) % 10
-    trie = train(docs.filter(remainder != 0))
+    trie = train(docs.filter(remainder != 0), 1)
     found = score(docs, trie)
     return found.select("doc_id", F.coalesce(remainder == 0, F.lit(False)).alias("held_out"), "n_tokens", "n_known", F.lit(trie.total).cast("long").alias("train_tokens"), "base_score", "score")
