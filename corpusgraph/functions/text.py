@@ -178,9 +178,9 @@ def lightweight_score(base: Column, term_share: Column, phrase: Column, tag_hits
     return F.least(F.lit(1.0), 0.3 * base + 0.5 * term_share + F.when(phrase, 0.3).otherwise(0.0) + 0.1 * tag_hits + recency)
 
 
-def first_date(text: Column, scan: int = 5000) -> Column:
-    """The first ISO, else US, else written date of the head of a text."""
-    part = F.substring(text, 1, scan)
+def first_date(text: Column, scan: int | None = 5000) -> Column:
+    """The first ISO, else US, else written date of the first `scan` characters of a text, or of all with None."""
+    part = text if scan is None else F.substring(text, 1, scan)
     found = []
     for pattern, template in ((r"\b(\d{4})[-/](\d{1,2})[-/](\d{1,2})\b", (1, 2, 3)), (r"\b(\d{1,2})[-/](\d{1,2})[-/](\d{4})\b", (3, 1, 2))):
         y, m, d = (F.regexp_extract(part, pattern, i) for i in template)

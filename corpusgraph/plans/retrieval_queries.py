@@ -226,7 +226,7 @@ def text_expressions(t: Tables) -> DataFrame:
     x = F.col("text")
     return t.documents.select(
         "doc_id", F.array_join(T.query_chunks(x), "|").alias("chunks"), F.array_join(T.key_terms(x), ",").alias("key_terms"), T.strip_opening(x).alias("opening"), F.array_join(T.conversational_rewrites(x), "|").alias("rewrites"),
-        T.strip_tag_footer(x).alias("footer"), T.strip_artifacts(x).alias("artifacts"), T.query_intent(x).alias("intent"), T.first_date(x).alias("date"), T.earliest_timestamp(x).alias("earliest"), T.numeric_value(x)["value"].alias("number"),
+        T.strip_tag_footer(x).alias("footer"), T.strip_artifacts(x).alias("artifacts"), T.query_intent(x).alias("intent"), T.first_date(x, None).alias("date"), T.earliest_timestamp(x).alias("earliest"), T.numeric_value(x)["value"].alias("number"),
         T.token_count(x, "words").cast("long").alias("words"), T.token_count(x, "words_and_marks").cast("long").alias("marks"), F.array_join(T.temporal_years(x, F.lit(2024)).cast("array<string>"), ",").alias("years"), F.array_join(T.system_tags(F.concat(F.lit("src/"), "source", F.lit(".py"))), ",").alias("system"),
     )
 

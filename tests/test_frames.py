@@ -141,6 +141,17 @@ def test_dates(spark):
     assert values(spark, T.first_date, inputs) == [day, dt.date(2025, 1, 2), day, day, day, None, None, None]
 
 
+def test_text_expressions_reads_whole_text(spark):
+    from types import SimpleNamespace
+
+    from corpusgraph.plans import retrieval_queries
+
+    rows = [(1, "x" * 6000 + " 2025-01-24", "s"), (2, "Jan 2, 2024 " + "word " * 1200 + "2025-01-24", "s"), (3, "none", "s")]
+    t = SimpleNamespace(documents=spark.createDataFrame(rows, "doc_id long, text string, source string"))
+    day = dt.date(2025, 1, 24)
+    assert {r.doc_id: r.date for r in retrieval_queries.text_expressions(t).select("doc_id", "date").collect()} == {1: day, 2: day, 3: None}
+
+
 def test_text_expressions(spark):
     assert values(spark, lambda x: T.content_terms(T.words(x)), ["The quick fox", "the of"]) == [["quick", "fox"], ["the", "of"]]
     assert values(spark, T.expand_camel, ["findAnchors", "HTMLParser"]) == [["findanchors", "find", "anchors"], ["htmlparser", "html", "parser"]]
