@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import itertools
+
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -46,15 +48,18 @@ def simhash64(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataF
 def near_duplicates(prints: DataFrame, distance: int = 3, key: str = "doc_id") -> tuple[DataFrame, DataFrame]:
     """(pairs, members): pairs of distinct fingerprints within the distance, by their smallest ids, and who has each.
 
-    distance + 1 bands: two fingerprints within the distance agree in one of them, so nothing is lost.
+    Fingerprints are cut into distance + 1 blocks of even width: two within the distance agree in one of them, so
+    nothing is lost. Over a distance of 4 a block would say too little: of distance + 2 blocks they agree in two.
     Equal fingerprints are one class, so a group of copies gives no pairs.
     """
     classes = prints.groupBy("simhash").agg(F.min(key).alias("rep"))
     members = prints.join(classes, "simhash").select(key, "rep")
-    bands = distance + 1
-    width = -(-64 // bands)
-    mask = (1 << width) - 1 if width < 63 else -1
-    band = F.array(*[F.shiftrightunsigned("simhash", b * width).bitwiseAND(F.lit(mask).cast("long")) for b in range(bands)])
+    agree = 1 if distance <= 4 else 2
+    n = distance + agree
+    ends = [64 * i // n for i in range(n + 1)]
+    blocks = [sum(1 << b for b in range(ends[i], ends[i + 1])) for i in range(n)]
+    masks = [sum(m) for m in itertools.combinations(blocks, agree)]
+    band = F.array(*[F.col("simhash").bitwiseAND(F.lit(m - (1 << 64) if m >> 63 else m).cast("long")) for m in masks])
     banded = classes.select("rep", "simhash", F.posexplode(band).alias("band", "part"))
     left, right = banded.select("band", "part", F.col("rep").alias("a"), F.col("simhash").alias("x")), banded.select("band", "part", F.col("rep").alias("b"), F.col("simhash").alias("y"))
     pairs = left.join(right, ["band", "part"]).filter("a < b").withColumn("distance", T.hamming(F.col("x"), F.col("y"))).filter(F.col("distance") <= distance)

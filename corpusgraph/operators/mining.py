@@ -24,13 +24,21 @@ def synonyms_by_tags(tags: DataFrame, least_nodes: int = 2, least: float = 0.5,
 
 
 def synonyms_by_simhash(prints: DataFrame, texts: DataFrame, distance: int = 8, k: int = 20, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """(a, b, n): terms that stand in one of two near texts each but not in both, the k most frequent of a term."""
-    pairs, _ = near_duplicates(prints, distance, key)
-    terms = texts.select(F.col(key), F.filter(F.array_distinct(T.words(F.col(text))), lambda w: (F.length(w) >= 4) & ~w.isin(T.STOP_WORDS)).alias("w"))
-    both = pairs.join(terms.select(F.col(key).alias("a"), F.col("w").alias("x")), "a").join(terms.select(F.col(key).alias("b"), F.col("w").alias("y")), "b")
-    apart = both.select(F.array_except("x", "y").alias("x"), F.array_except("y", "x").alias("y")).filter((F.size("x") <= 20) & (F.size("y") <= 20))
-    met = apart.select(F.explode("x").alias("p"), "y").select("p", F.explode("y").alias("q"))
-    counted = met.groupBy(F.least("p", "q").alias("a"), F.greatest("p", "q").alias("b")).agg(F.count("*").alias("n"))
+    """(a, b, n): terms that stand in one of two near texts each but not in both, the k most frequent of a term.
+
+    n counts all pairs of texts. Texts of one fingerprint and the same terms are one row with their number; rows of
+    two near fingerprints, or of one, are paired, and a pair counts as the product of the numbers.
+    """
+    pairs, members = near_duplicates(prints, distance, key)
+    terms = texts.select(F.col(key), F.array_sort(F.filter(F.array_distinct(T.words(F.col(text))), lambda w: (F.length(w) >= 4) & ~w.isin(T.STOP_WORDS))).alias("w"))
+    own = members.join(terms, key).groupBy("rep", "w").agg(F.count("*").alias("m"))
+    left, right = own.select(F.col("rep").alias("a"), F.col("w").alias("x"), F.col("m").alias("mx")), own.select(F.col("rep").alias("b"), F.col("w").alias("y"), F.col("m").alias("my"))
+    between = pairs.select("a", "b").join(left, "a").join(right, "b").select("x", "y", "mx", "my")
+    within = left.join(right, F.col("a") == F.col("b")).filter("x < y").select("x", "y", "mx", "my")
+    apart = between.unionByName(within).groupBy("x", "y").agg(F.sum(F.col("mx") * F.col("my")).alias("m"))
+    apart = apart.select(F.array_except("x", "y").alias("x"), F.array_except("y", "x").alias("y"), "m")
+    met = apart.select(F.explode("x").alias("p"), "y", "m").select("p", F.explode("y").alias("q"), "m")
+    counted = met.groupBy(F.least("p", "q").alias("a"), F.greatest("p", "q").alias("b")).agg(F.sum("m").alias("n"))
     return top_k(counted, ["a"], [F.col("n").desc(), "b"], k)
 
 

@@ -317,12 +317,12 @@ def synonyms_by_cooccurrence(t: Tables) -> DataFrame:
 
 @query()
 def synonyms_by_simhash(t: Tables) -> DataFrame:
-    return mining.synonyms_by_simhash(dedup.simhash64(t.documents), t.documents, 5)
+    return mining.synonyms_by_simhash(dedup.simhash64(t.documents), t.documents)
 
 
 @query()
 def synonym_rings(t: Tables) -> DataFrame:
-    return mining.synonym_rings({"tags": mining.synonyms_by_tags(_supplier_tags(t), least=0.06), "together": mining.synonyms_by_cooccurrence(molecules(t), 20)})
+    return mining.synonym_rings({"tags": mining.synonyms_by_tags(_supplier_tags(t), least=0.06), "together": mining.synonyms_by_cooccurrence(molecules(t), 20), "simhash": mining.synonyms_by_simhash(dedup.simhash64(t.documents), t.documents, k=5)})
 
 
 @query(f"""WITH {PART_TAGS}, d AS (SELECT DISTINCT node_id, tag FROM part_tags), k AS (SELECT node_id, count(*) AS k FROM d GROUP BY 1), u AS (SELECT tag, count(*) AS n FROM part_tags GROUP BY 1), us AS (SELECT tag, count(*) AS uses FROM d GROUP BY 1),

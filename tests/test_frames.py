@@ -224,6 +224,51 @@ def test_near_duplicates_brute_force(spark):
     assert members.count() == len(prints)
 
 
+def test_near_duplicates_far(spark):
+    import random
+
+    rng = random.Random(6)
+    base = [rng.getrandbits(63) for _ in range(20)]
+    prints = base + [b ^ sum(1 << (8 * i + rng.randrange(7)) for i in range(8)) for b in base] + [b ^ sum(1 << i for i in rng.sample(range(63), 9)) for b in base]
+    pairs, _ = dedup.near_duplicates(spark.createDataFrame(list(enumerate(prints)), "doc_id long, simhash long"), 8)
+    want = {(i, j) for i in range(60) for j in range(i + 1, 60) if bin(prints[i] ^ prints[j]).count("1") <= 8}
+    assert len(want) >= 20 and {(r.a, r.b) for r in pairs.collect()} == want
+
+
+def test_simhash_synonyms_brute_force(spark):
+    import collections
+    import random
+
+    from corpusgraph.operators import mining
+
+    rng = random.Random(8)
+    words = [f"word{c}{d}" for c in "abcdefgh" for d in "abcdefgh"]
+    texts = [" ".join(rng.sample(words, rng.choice([3, 30, 60]))) for _ in range(12)]
+    texts += texts[:4]
+    prints = [(0b1 << 40), (0b1 << 40) | 0xFF, 1 << 50 | 0xFFF << 20]
+    docs = [(i, x, rng.choice(prints)) for i, x in enumerate(texts)]
+    count = collections.Counter()
+    for i, x, p in docs:
+        for j, y, q in docs[i + 1 :]:
+            if bin(p ^ q).count("1") <= 8:
+                count.update((min(v, w), max(v, w)) for v in set(x.split()) - set(y.split()) for w in set(y.split()) - set(x.split()))
+    df = spark.createDataFrame(docs, "doc_id long, text string, simhash long")
+    got = mining.synonyms_by_simhash(df.select("doc_id", "simhash"), df, k=1000)
+    assert max(len(x.split()) for x in texts) == 60 and {(r.a, r.b): r.n for r in got.collect()} == count
+
+
+def test_rings_by_simhash(spark, sf):
+    from types import SimpleNamespace
+
+    from corpusgraph.plans import graph_queries
+
+    text = "alpha beta gamma delta epsilon zeta theta kappa lambda sigma omega upsilon "
+    documents = spark.createDataFrame([(1, text * 3 + "quick", "s"), (2, text * 3 + "rapid", "s")], "doc_id long, text string, source string")
+    t = SimpleNamespace(documents=documents, lineitem=spark.read.parquet(f"{sf}/lineitem.parquet").limit(0))
+    got = {(r.term, r.synonym) for r in graph_queries.synonym_rings(t).collect() if r.strategy == "simhash"}
+    assert got == {("quick", "rapid"), ("rapid", "quick")}
+
+
 def test_sensitive(spark):
     docs = spark.createDataFrame([(1, "mail bob.smith@example.com now, 123-45-6789 password=abcdefgh12"), (2, None), (3, "")], "doc_id long, text string")
     text = docs.first().text
