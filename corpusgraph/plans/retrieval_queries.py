@@ -4,7 +4,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import text as T
-from ..operators import dedup, prepare, retrieve
+from ..operators import dedup, mining, prepare, retrieve
 from .corpus_queries import STOP, TAGS, WORDS, molecules, tagged, tags
 from .registry import Tables, query
 
@@ -156,6 +156,24 @@ def expand_queries(t: Tables) -> DataFrame:
     return retrieve.expand_queries(questions(t), _ring(t).filter("term = 'zzz'"), tags(t))
 
 
+def synonym_table(t: Tables) -> DataFrame:
+    """(term, synonym): the rings of the documents' own words and tags."""
+    mols = molecules(t)
+    named = tags(t).withColumn("tag", F.lower(F.regexp_replace("tag", "^#", "")))
+    parts = {"tags": mining.synonyms_by_tags(named), "together": mining.synonyms_by_cooccurrence(mols), "simhash": mining.synonyms_by_simhash(dedup.simhash64(t.documents), t.documents, k=5)}
+    return mining.synonym_rings(parts).select("term", "synonym")
+
+
+@query()
+def distributed_search_synonyms(t: Tables) -> DataFrame:
+    return retrieve.distributed_search(questions(t), retrieve.text_index(nodes(t)), synonym_table(t))
+
+
+@query()
+def expand_queries_synonyms(t: Tables) -> DataFrame:
+    return retrieve.expand_queries(questions(t), synonym_table(t), tags(t))
+
+
 @query()
 def format_results(t: Tables) -> DataFrame:
     return retrieve.format_results(dated_hits(t), F.lit(NOW).cast("timestamp"))

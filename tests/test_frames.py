@@ -269,6 +269,30 @@ def test_rings_by_simhash(spark, sf):
     assert got == {("quick", "rapid"), ("rapid", "quick")}
 
 
+def test_searches_with_synonyms(spark):
+    from types import SimpleNamespace
+
+    from corpusgraph.plans import retrieval_queries
+
+    texts = ["Quick rapid river."] * 5 + ["Quick stone.", "Rapid water."]
+    documents = spark.createDataFrame([(i, x, "s") for i, x in enumerate(texts)], "doc_id long, text string, source string")
+    benchmark = spark.createDataFrame([(1, "quick"), (2, "stone")], "item_id long, text string")
+    t = SimpleNamespace(documents=documents, benchmark=benchmark)
+    pairs = {(r.term, r.synonym) for r in retrieval_queries.synonym_table(t).collect()}
+    assert {("quick", "rapid"), ("rapid", "quick"), ("quick", "river")} <= pairs
+    want = {}
+    for q, own in ((1, "quick"), (2, "stone")):
+        other = sorted(y for x, y in pairs if x == own)[:5]
+        for d, x in enumerate(texts):
+            shares = [7000.0] * (own in x.lower()) + [3000.0 / len(other) for y in other if y in x.lower()[:-1].split()]
+            if shares:
+                want[q, d] = len(shares), pytest.approx((max(shares) + 0.2 * (sum(shares) - max(shares))) / 10_000, abs=2e-6)
+    got = {(r.query_id, r.node_id): (r.hits, r.score) for r in retrieval_queries.distributed_search_synonyms(t).collect()}
+    assert (1, 6) in got and got == want
+    found = {(r.query_id, r.term, r.score) for r in retrieval_queries.expand_queries_synonyms(t).collect() if r.kind == "synonym"}
+    assert found == {(q, y, 5) for q, own in ((1, "quick"), (2, "stone")) for x, y in pairs if x == own}
+
+
 def test_sensitive(spark):
     docs = spark.createDataFrame([(1, "mail bob.smith@example.com now, 123-45-6789 password=abcdefgh12"), (2, None), (3, "")], "doc_id long, text string")
     text = docs.first().text
