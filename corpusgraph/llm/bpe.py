@@ -6,7 +6,9 @@
    distinct word of the corpus is encoded once, by whichever task holds it.
 3. The ids go back to the blocks that asked, are joined to the pre-tokens and put together by position.
 A word has at most one row for each block, so no word is hot. What moves is the compressed text and
-each block's distinct words, never one row for each occurrence.
+each block's distinct words, never one row for each occurrence. Blocks name words by 64-bit hashes; the
+tokens of every word are compared with its own bytes after decoding, and a slice of texts in which two
+words share a hash is encoded in place.
 
 Defined cases: null and empty texts have no tokens; repeated rows and null ids are kept as they are;
 an empty table gives an empty result; columns besides id and text are not read.
@@ -186,6 +188,40 @@ OUT = "doc_id long, ids binary, decoded binary"
 SCHEMA = pa.schema([("doc_id", pa.int64()), ("ids", pa.binary()), ("decoded", pa.binary())])
 
 
+def _looked_up(hashes: np.ndarray, begins: np.ndarray, sizes: np.ndarray, ids: np.ndarray, own: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(ids, number of ids of each word) of words by hash; an unknown word has none."""
+    if not len(hashes) or not len(own):
+        return np.zeros(0, np.uint32), np.zeros(len(own), np.int64)
+    i = np.minimum(np.searchsorted(hashes, own), len(hashes) - 1)
+    size = np.where(hashes[i] == own, sizes[i], 0)
+    to = np.cumsum(size)
+    return ids[np.repeat(begins[i] - (to - size), size) + np.arange(to[-1])].astype(np.uint32), size
+
+
+def _decoded(vocabulary: np.ndarray, place: np.ndarray, flat: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(bytes, width of each token, ends of the tokens) from the token-byte table."""
+    width = place[flat + 1] - place[flat]
+    ends = np.concatenate([[0], np.cumsum(width)])
+    return vocabulary[np.repeat(place[flat] - ends[:-1], width) + np.arange(ends[-1])], width, ends
+
+
+def _same_words(data: np.ndarray, at: np.ndarray, size: np.ndarray, width: np.ndarray, decoded: np.ndarray) -> bool:
+    """Whether the tokens of every word decode to that word's own bytes."""
+    widths = np.bincount(np.repeat(np.arange(len(size)), size), weights=width, minlength=len(size))
+    return bool((widths == np.diff(at)).all()) and np.array_equal(decoded, data)
+
+
+def _encoded_here(path: str, data: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    encode, raw, known = _encoder(path)._encode_single_piece, data.tobytes(), {}
+    got = []
+    for a, b in zip(at[:-1], at[1:]):
+        word = raw[a:b]
+        if word not in known:
+            known[word] = encode(word)
+        got.append(known[word])
+    return np.array([x for g in got for x in g], np.uint32), np.array([len(g) for g in got], np.int64)
+
+
 def _reassemble(path: str):
     def run(docs: pa.Table, words: pa.Table) -> Iterator[pa.RecordBatch]:
         """Joins the ids to the pre-tokens of a block and decodes them again."""
@@ -199,22 +235,12 @@ def _reassemble(path: str):
         for packed in docs.column("docs"):
             table = pa.ipc.open_stream(packed.as_py()).read_all()
             for part, data, at, first, own in _parts(table):
-                i = np.minimum(np.searchsorted(hashes, own), max(len(hashes) - 1, 0))
-                if len(own) and (not len(hashes) or (hashes[i] != own).any()):  # another numbering of blocks
-                    size, got = np.zeros(len(own), np.int64), []
-                    raw = data.tobytes()
-                    for k in range(len(own)):
-                        got.append(_encoder(path)._encode_single_piece(raw[at[k] : at[k + 1]]))
-                        size[k] = len(got[-1])
-                    flat = np.array([x for g in got for x in g], np.uint32)
-                else:
-                    size = sizes[i] if len(own) else np.zeros(0, np.int64)
-                    to = np.cumsum(size)
-                    flat = ids[np.repeat(begins[i] - (to - size), size) + np.arange(to[-1])].astype(np.uint32) if len(own) else np.zeros(0, np.uint32)
+                flat, size = _looked_up(hashes, begins, sizes, ids, own)
+                decoded, width, ends_b = _decoded(vocabulary, place, flat)
+                if not _same_words(data, at, size, width, decoded):  # two words with one hash, or another numbering of blocks
+                    flat, size = _encoded_here(path, data, at)
+                    decoded, width, ends_b = _decoded(vocabulary, place, flat)
                 to = np.concatenate([[0], np.cumsum(size)])[first]
-                width = place[flat + 1] - place[flat]
-                ends_b = np.concatenate([[0], np.cumsum(width)])
-                decoded = vocabulary[np.repeat(place[flat] - ends_b[:-1], width) + np.arange(ends_b[-1])]
                 raw_ids, raw_text = flat.astype("<u4").tobytes(), decoded.tobytes()
                 back = ends_b[to]
                 yield pa.record_batch(

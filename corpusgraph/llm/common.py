@@ -25,10 +25,13 @@ _SPACE[[0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D]] = True
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
 
-_BASE = np.uint64(0x9E3779B97F4A7C15 | 1)
-_BASE_INVERSE = np.uint64(pow(int(_BASE), -1, 1 << 64))
+#: Span hashes are polynomials modulo the prime 2**61 - 1 in a base that was drawn at random once.
+_PRIME = np.uint64((1 << 61) - 1)
+_BASE = 1_402_847_293_658_120_933
+#: Spans are summed in parts of this many bytes at most, so that no sum passes 64 bits.
+_PART = 1 << 23
 _PLACES = np.arange(1, 65, dtype=np.uint64) * np.uint64(0xA0761D6478BD642F)
-_powers = {"n": 0}
+_powers: dict[str, np.ndarray] = {}
 
 
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -135,20 +138,64 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
+def _reduced(x: np.ndarray) -> np.ndarray:
+    """64-bit values modulo _PRIME."""
+    x = (x & _PRIME) + (x >> np.uint64(61))
+    return np.where(x >= _PRIME, x - _PRIME, x)
+
+
+def _product(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """a * b modulo _PRIME of values below it, from halves of 30 and 31 bits."""
+    half, low = np.uint64(31), np.uint64((1 << 31) - 1)
+    a1, a0, b1, b0 = a >> half, a & low, b >> half, b & low
+    middle = a1 * b0 + a0 * b1
+    return _reduced(np.uint64(2) * a1 * b1 + (middle >> np.uint64(30)) + ((middle & np.uint64((1 << 30) - 1)) << half) + a0 * b0)
+
+
+def _raised(base: int, n: int) -> np.ndarray:
+    """Powers 0 to n of the base modulo _PRIME."""
+    out, prime = np.ones(1, np.uint64), int(_PRIME)
+    while len(out) <= n:
+        out = np.concatenate([out, _product(out, np.full(1, pow(base, len(out), prime), np.uint64))])
+    return out[: n + 1].copy()
+
+
+class Spans:
+    """64-bit hashes of spans of some bytes by prefix sums of a polynomial modulo 2**61 - 1.
+
+    Two given texts of up to n bytes have equal hashes for n of 2**61 bases at most, whatever their structure.
+    """
+
+    def __init__(self, data: np.ndarray):
+        n = len(data)
+        if len(_powers.get("down", ())) <= n:
+            m = max(n, SLICE_BYTES + (SLICE_BYTES >> 2))
+            up = _raised(_BASE, m)
+            _powers.update(low=(up & np.uint64(0xFFFFFFFF)).astype(np.uint32), high=(up >> np.uint64(32)).astype(np.uint32), down=_raised(pow(_BASE, -1, int(_PRIME)), m))
+        digit = data.astype(np.uint64) + np.uint64(1)
+        self.low, self.high = np.zeros(n + 1, np.uint64), np.zeros(n + 1, np.uint64)
+        np.cumsum(digit * _powers["low"][:n], out=self.low[1:])
+        np.cumsum(digit * _powers["high"][:n], out=self.high[1:])
+
+    def _sums(self, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+        high = _reduced(self.high[ends] - self.high[starts])
+        high = (high >> np.uint64(29)) + ((high & np.uint64((1 << 29) - 1)) << np.uint64(32))  # times 2**32
+        return _reduced(_reduced(self.low[ends] - self.low[starts]) + high)
+
+    def of(self, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+        """Hash of data[starts[i]:ends[i]] for all spans at once."""
+        size = ends - starts
+        total = self._sums(starts, np.minimum(ends, starts + _PART))
+        for k in np.flatnonzero(size > _PART):
+            more = np.arange(starts[k] + _PART, ends[k], _PART)
+            for part in self._sums(more, np.minimum(more + _PART, ends[k])):
+                total[k] = (int(total[k]) + int(part)) % int(_PRIME)
+        return mix(_product(total, _powers["down"][starts]) + size.astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93))
+
+
 def span_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """64-bit hash of data[starts[i]:ends[i]] for all spans at once, by prefix sums of a polynomial modulo 2**64."""
-    n = len(data)
-    if _powers["n"] < n:
-        m = max(n, SLICE_BYTES + (SLICE_BYTES >> 2))
-        for key, base in (("up", _BASE), ("down", _BASE_INVERSE)):
-            p = np.full(m + 1, base, dtype=np.uint64)
-            p[0] = 1
-            _powers[key] = np.cumprod(p)
-        _powers["n"] = m
-    sums = np.zeros(n + 1, dtype=np.uint64)
-    np.cumsum((data.astype(np.uint64) + np.uint64(1)) * _powers["up"][:n], out=sums[1:])
-    h = (sums[ends] - sums[starts]) * _powers["down"][starts]
-    return mix(h + (ends - starts).astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93))
+    """64-bit hash of data[starts[i]:ends[i]] for all spans at once."""
+    return Spans(data).of(starts, ends)
 
 
 def word_spans(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -242,7 +289,7 @@ def connected_components(links: DataFrame, rounds: int = 60) -> DataFrame:
     links has long columns a and b. Alternating large-star and small-star steps until every id has one
     smaller neighbour that has none itself: each round is two shuffles of at most as many rows as links,
     hubs are summed by partial aggregation and joined by plain joins that adaptive execution can split,
-    and every round is a table in the shared folder.
+    and every round is a table in the shared folder. Not done after `rounds`, it raises.
     """
     edges = materialize(links.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).filter("u > v").distinct(), "links", few_files=True)
     for _ in range(rounds):
@@ -257,6 +304,9 @@ def connected_components(links: DataFrame, rounds: int = 60) -> DataFrame:
         for old in (edges, least, large, below):
             discard(old)
         edges = after
+    else:
+        if not _is_forest_of_stars(edges):
+            raise RuntimeError(f"components are not complete after {rounds} rounds")
     return edges.select(F.col("u").alias("id"), F.col("v").alias("component_id")).union(edges.select("v", "v").distinct())
 
 

@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from .bpe import RANKS
-from .common import read, slices, span_hashes, text_bytes
+from .common import Spans, read, slices, span_hashes, text_bytes
 
 SAMPLE_DOCS, SAMPLE_CHARS = 400, 200_000
 PIECE_BYTES, LONG, ROUNDS, SMOOTHING = 12, 48, 4, 0.05
@@ -116,11 +116,12 @@ class Lattice:
         self.longest = int(self.size[0]) if words else 0
         self.active = [int(np.count_nonzero(self.size >= j)) for j in range(self.longest + 1)]
         self.spans: list[list[tuple[int, np.ndarray, np.ndarray]]] = [[]]
+        hashed = Spans(data)
         for j in range(1, self.longest + 1):  # spans that end at j
             at, n = [], self.active[j]
             for length in range(1, min(j, PIECE_BYTES) + 1):
                 s = begins[:n] + j - length
-                found = pieces.find(span_hashes_cached(data, s, s + length))
+                found = pieces.find(hashed.of(s, s + length))
                 hit = np.flatnonzero(found >= 0)
                 if len(hit):
                     at.append((length, hit, found[hit]))
@@ -159,22 +160,6 @@ class Lattice:
         return counts
 
 
-_sums: dict = {}
-
-
-def span_hashes_cached(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """span_hashes() of many span lists over the same bytes: the prefix sums are made once."""
-    from . import common
-
-    if _sums.get("of") is not data:
-        span_hashes(data, starts[:0], ends[:0])
-        sums = np.zeros(len(data) + 1, np.uint64)
-        np.cumsum((data.astype(np.uint64) + np.uint64(1)) * common._powers["up"][: len(data)], out=sums[1:])
-        _sums.update({"of": data, "sums": sums})
-    h = (_sums["sums"][ends] - _sums["sums"][starts]) * common._powers["down"][starts]
-    return common.mix(h + (ends - starts).astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93))
-
-
 def _train(path: str | None):
     def run(docs: pd.DataFrame) -> pd.DataFrame:
         pieces = _pieces(path)

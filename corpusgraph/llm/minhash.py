@@ -6,11 +6,15 @@
    has about bits/2 * (1 - exp(-2d/bits)) ones for d differing samples, so its population count
    estimates high similarities closely.
 2. Documents with equal shingle sets are one class; only its smallest id goes on.
-3. Round 0 pairs each class with one leader of each of its buckets. Later rounds look at buckets that
-   still hold several components: there, every class meets the classes of other components, keeps its
-   best `width` partners by sketch, and width grows until no bucket holds back a pair. So no group is
-   ever expanded into all its pairs, and yet no candidate pair between components stays unseen.
+3. First each class is paired with two leaders at most: the smallest one of its buckets, and that of its
+   largest bucket. Then, SKETCH_ROUNDS times, the classes of buckets that still hold several components
+   meet by sketch, and each component goes on with its best partner only. What still is apart then, and
+   can't be told by sketch, meets by its full sets inside the buckets, which give spanning forests of
+   links. So a round makes at most one pair for each class, no group is expanded into its pairs, and no
+   candidate pair between components stays unseen.
 4. Every pair is confirmed on the full sets (100 * intersection >= 75 * union) before it links.
+Large buckets are dealt out as pairs of blocks; the rows of a bucket's largest component don't meet each
+other, so that a bucket which is nearly joined costs in proportion to its rows.
 With 32 bands of 4 a pair at similarity 0.75 shares no bucket with probability 0.000005.
 
 Defined cases: null and empty texts and texts without words have an empty set and link with nothing;
@@ -50,8 +54,10 @@ BINS, SKETCH_BITS = 1024, 2048
 DEVIATIONS = 5
 #: Bits of the filter over ids that spares texts the way to a join; beyond it more texts pass, never fewer.
 FILTER_BITS = 1 << 24
-#: Rows of a bucket that one task compares; larger buckets are dealt out in blocks of this size.
-BLOCK = 4096
+#: Rows of a bucket that one task compares, or bytes of their sets; larger buckets are dealt out in blocks of this size.
+BLOCK, BLOCK_BYTES = 4096, 32 << 20
+#: Rounds of best partners by sketch before full sets meet.
+SKETCH_ROUNDS = 2
 
 _SAMPLES = BANDS * ROWS
 _MULTIPLIERS = mix(np.arange(1, _SAMPLES + 1, dtype=np.uint64)) | np.uint64(1)
@@ -191,68 +197,128 @@ def _similar(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.record_batch([batch.column("a").filter(good), batch.column("b").filter(good)], ["a", "b"])
 
 
-def _cross_pairs(width: int):
-    """In each block of a bucket: for each row the best `width` rows of other components, by sketch."""
-
-    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for table in whole_groups(batches, "place"):
-            ids, parts, side = table.column("id").to_numpy(), table.column("part").to_numpy(), table.column("side").to_numpy()
-            sketch, samples, sizes = _numbers(table)
-            bucket = table.column("key").to_numpy()
-            keys = pc.list_flatten(table.column("keys")).to_numpy().reshape(-1, BANDS)
-            bounds = group_bounds(table.column("place").to_numpy())
-            a, b, more = [], [], []
-
-            def meet(left: np.ndarray, right: np.ndarray, band: int):
-                for start in range(0, len(left), 16):
-                    own = left[start : start + 16]
-                    apart = np.bitwise_count(sketch[own, None, :] ^ sketch[None, right, :]).sum(axis=2, dtype=np.int64)
-                    good = may_link(apart, samples[own, None] + samples[None, right], sizes[own, None] + sizes[None, right]) & (parts[own, None] != parts[None, right])
-                    for k in np.flatnonzero(good.any(axis=1)):
-                        fit = np.flatnonzero(good[k])
-                        # a pair is seen in the first band that it shares only
-                        fit = fit[~(keys[right[fit], :band] == keys[own[k], :band]).any(axis=1)]
-                        best = fit[np.argsort(apart[k, fit] / (sizes[own[k]] + sizes[right[fit]]), kind="stable")[:width]]
-                        a.append(np.full(len(best), ids[own[k]]))
-                        b.append(ids[right[best]])
-                        more.append(np.full(len(best), len(fit) > width))
-
-            for lo, hi in zip(bounds[:-1], bounds[1:]):
-                names, inverse, n = np.unique(parts[lo:hi], return_inverse=True, return_counts=True)
-                if len(names) < 2:
+class Bucket:
+    """Rows that meet in one place: a bucket, or two blocks of a large one."""
+
+    def __init__(self, table: pa.Table, lo: int, hi: int):
+        group = table.slice(lo, hi - lo)
+        self.ids, self.side = group.column("id").to_numpy(), group.column("side").to_numpy()
+        self.sketch, self.samples, self.sizes = _numbers(group)
+        self.keys = pc.list_flatten(group.column("keys")).to_numpy().reshape(-1, BANDS)
+        self.band = int(np.flatnonzero((self.keys == group.column("key")[0].as_py()).any(axis=0))[0])
+        names, self.root, n = np.unique(group.column("part").to_numpy(), return_inverse=True, return_counts=True)
+        self.mixed = len(names) > 1
+        # rows of the largest component meet the others only from the other side
+        self.small = self.root != n.argmax()
+
+    def meetings(self) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """(rows, the rows they meet); rows of side 1 meet rows of side 2."""
+        every, one = np.arange(len(self.ids)), self.side == 1
+        if self.side[0] == 0:
+            yield every[self.small], every
+        else:
+            yield every[self.small & one], every[~one]
+            yield every[self.small & ~one], every[one]
+
+    def partners(self, own: np.ndarray, right: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(whether sketches allow a link, XOR counts) of rows with rows of other components."""
+        apart = np.bitwise_count(self.sketch[own, None, :] ^ self.sketch[None, right, :]).sum(axis=2, dtype=np.int64)
+        good = may_link(apart, self.samples[own, None] + self.samples[None, right], self.sizes[own, None] + self.sizes[None, right])
+        return good & (self.root[own, None] != self.root[None, right]), apart
+
+    def unseen(self, k: int, fit: np.ndarray) -> np.ndarray:
+        """Those of the rows that share no earlier band with row k: a pair is seen in its first common band only."""
+        return fit[~(self.keys[fit, : self.band] == self.keys[k, : self.band]).any(axis=1)]
+
+
+def _buckets(batches: Iterable[pa.RecordBatch]) -> Iterator[tuple[pa.Table, int, int, Bucket]]:
+    for table in whole_groups(batches, "place"):
+        bounds = group_bounds(table.column("place").to_numpy())
+        for lo, hi in zip(bounds[:-1], bounds[1:]):
+            bucket = Bucket(table, lo, hi)
+            if bucket.mixed:
+                yield table, lo, hi, bucket
+
+
+def _met(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(key, id, part, other, score): the rows of a bucket that may link with other components, with their best partner."""
+    for table, lo, hi, x in _buckets(batches):
+        met, best, score = np.zeros(hi - lo, bool), np.full(hi - lo, -1), np.full(hi - lo, np.inf)
+        for left, right in x.meetings():
+            for start in range(0, len(left), 16):
+                own = left[start : start + 16]
+                good, apart = x.partners(own, right)
+                for k in np.flatnonzero(good.any(axis=1)):
+                    fit = np.flatnonzero(good[k])
+                    fit = fit[np.isin(right[fit], x.unseen(own[k], right[fit]), assume_unique=True)]
+                    if len(fit):
+                        away = apart[k, fit] / (x.sizes[own[k]] + x.sizes[right[fit]])
+                        met[own[k]], met[right[fit]] = True, True
+                        best[own[k]], score[own[k]] = right[fit[away.argmin()]], away.min()
+        at = np.flatnonzero(met)
+        if len(at):
+            rows = table.slice(lo, hi - lo).take(pa.array(at))
+            some = pa.array(best[at] < 0)
+            yield pa.record_batch(
+                [rows.column(c).combine_chunks() for c in ("key", "id", "part")] + [pc.if_else(some, None, pa.array(x.ids[best[at]])), pc.if_else(some, None, pa.array(score[at]))], ["key", "id", "part", "other", "score"]
+            )
+
+
+def _joined(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """A spanning forest of the links between components in each bucket, by full sets."""
+    for table, lo, hi, x in _buckets(batches):
+        sets = [np.frombuffer(s.as_buffer(), np.uint64) for s in table.slice(lo, hi - lo).column("shingles")]
+        names, flat = np.unique(np.concatenate(sets), return_inverse=True)
+        size = np.array([len(s) for s in sets])
+        ends = np.cumsum(size)
+        begins = ends - size
+        a, b = [], []
+        for left, right in x.meetings():
+            for k in left:
+                good, _ = x.partners(np.array([k]), right)
+                fit = x.unseen(k, right[good[0]])
+                fit = fit[100 * np.minimum(size[fit], size[k]) >= PERCENT * np.maximum(size[fit], size[k])]
+                if not len(fit):
                     continue
-                # rows of the largest component meet the others only from the other side
-                small = inverse != n.argmax()
-                every = np.arange(lo, hi)
-                band = int(np.flatnonzero(keys[lo] == bucket[lo])[0])
-                if side[lo] == 0:
-                    meet(every[small], every, band)
-                else:  # rows of side 1 meet rows of side 2
-                    one = side[lo:hi] == 1
-                    meet(every[small & one], every[~one], band)
-                    meet(every[small & ~one], every[one], band)
-            if a:
-                a, b = np.concatenate(a), np.concatenate(b)
-                yield pa.record_batch([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b)), pa.array(np.concatenate(more))], ["a", "b", "more"])
-
-    return run
+                mark = np.zeros(len(names), np.int64)
+                mark[flat[begins[k] : ends[k]]] = 1
+                n = size[fit]
+                to = np.cumsum(n)
+                shared = np.add.reduceat(mark[flat[np.repeat(begins[fit] - (to - n), n) + np.arange(to[-1])]], to - n)
+                for j in fit[100 * shared >= PERCENT * (n + size[k] - shared)]:
+                    if x.root[j] != x.root[k]:
+                        x.root[x.root == x.root[j]] = x.root[k]
+                        a.append(x.ids[k])
+                        b.append(x.ids[j])
+        if a:
+            a, b = np.array(a), np.array(b)
+            yield pa.record_batch([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], ["a", "b"])
+
+
+def _full_sets(docs: DataFrame, ids: DataFrame) -> DataFrame:
+    """(doc_id, shingles): the sorted full sets of the documents with these ids."""
+    needed = ids.select(F.col("id").alias("doc_id")).distinct()
+    known = docs.sparkSession.sparkContext.broadcast(_filter(needed))
+    return materialize(docs.mapInArrow(_sets(known), "doc_id long, shingles binary").join(needed, "doc_id", "left_semi"), "sets")
 
 
-def _confirm(pairs: DataFrame, docs: DataFrame) -> DataFrame:
-    needed = pairs.select(F.col("a").alias("doc_id")).union(pairs.select("b")).distinct()
-    known = docs.sparkSession.sparkContext.broadcast(_filter(needed))
-    sets = materialize(docs.mapInArrow(_sets(known), "doc_id long, shingles binary").join(needed, "doc_id", "left_semi"), "sets")
+def _confirm(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     with_sets = pairs.join(sets.select(F.col("doc_id").alias("a"), F.col("shingles").alias("left")), "a").join(sets.select(F.col("doc_id").alias("b"), F.col("shingles").alias("right")), "b")
     return with_sets.select("a", "b", "left", "right").mapInArrow(_confirmed, "a long, b long")
 
 
 def _dealt(rows: DataFrame) -> DataFrame:
-    """(place, side, key, id, part): buckets with their rows; large buckets as pairs of blocks."""
-    size = rows.groupBy("key").agg(F.count("*").alias("n")).filter(F.col("n") > BLOCK)
-    large = rows.join(size, "key")
-    blocks = F.ceil(F.col("n") / BLOCK).cast("int")
-    large = large.withColumn("blocks", blocks).withColumn("own", F.expr("pmod(xxhash64(id), blocks)").cast("int"))
-    large = large.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    """(place, side, key, id, part): buckets with their rows; large buckets as pairs of blocks.
+
+    `rows` has key, id, part and share, the part of a block that a row takes. Of a large bucket the rows of the
+    largest component make up blocks of their own, which meet all blocks of others but not each other.
+    """
+    parts = rows.groupBy("key", "part").agg(F.sum("share").alias("n"))
+    size = parts.groupBy("key").agg(F.sum("n").alias("all"), F.max(F.struct("n", "part")).alias("top")).filter("all > 1")
+    size = size.select("key", F.col("top.part").alias("top"), F.ceil(F.col("all") - F.col("top.n") + 1e-9).cast("int").alias("few"), F.ceil(F.col("top.n") + 1e-9).cast("int").alias("many"))
+    large = rows.join(size, "key").withColumn("small", F.col("part") != F.col("top"))
+    large = large.withColumn("own", F.expr("if(small, pmod(xxhash64(id), few), few + pmod(xxhash64(id), many))").cast("int"))
+    large = large.withColumn("other", F.explode(F.sequence(F.lit(0), F.when(F.col("small"), F.col("few") + F.col("many")).otherwise(F.col("few")) - 1)))
     pair = [F.least("own", "other"), F.greatest("own", "other")]
     large = large.select(F.xxhash64("key", *pair).alias("place"), F.when(F.col("own") == F.col("other"), 0).when(F.col("own") < F.col("other"), 1).otherwise(2).alias("side"), "key", "id", "part")
     small = rows.join(size, "key", "left_anti").select(F.xxhash64("key", F.lit(-1), F.lit(-1)).alias("place"), F.lit(0).alias("side"), "key", "id", "part")
@@ -283,36 +349,48 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     )
 
 
+def _apart(rows: DataFrame, components: DataFrame, name: str) -> DataFrame:
+    """(key, id, part) of the rows whose bucket still holds several components."""
+    labelled = rows.select("key", "id").join(components, "id", "left").select("key", "id", F.coalesce("component_id", "id").alias("part"))
+    mixed = labelled.groupBy("key").agg(F.min("part").alias("x"), F.max("part").alias("y")).filter("x <> y").select("key")
+    return materialize(labelled.join(mixed, "key", "left_semi"), name)
+
+
 def _components(docs: DataFrame, chosen: DataFrame, bridges: DataFrame) -> DataFrame:
     """(id, component_id) of the classes that are linked to others by confirmed pairs."""
     banded = chosen.select("id", F.explode("keys").alias("key"))
-    leaders = materialize(banded.groupBy("key").agg(F.min("id").alias("leader"), F.max("id").alias("last")).filter("leader <> last").select("key", "leader"), "leaders")
-    led = materialize(banded.join(leaders, "key").select("key", "id", "leader"), "led")
-    pairs = led.filter("id <> leader").select(F.col("leader").alias("a"), F.col("id").alias("b")).distinct()
+    leaders = materialize(banded.groupBy("key").agg(F.min("id").alias("leader"), F.max("id").alias("last"), F.count("*").alias("n")).filter("leader <> last").select("key", "leader", "n"), "leaders")
+    led = materialize(banded.join(leaders, "key"), "led")
     numbers = ["id", "sketch", "samples", "n_shingles"]
+    firsts = led.filter("id <> leader").groupBy("id").agg(F.min("leader").alias("x"), F.max(F.struct("n", "leader")).alias("y"))
+    pairs = firsts.select(F.explode(F.array_distinct(F.array("x", "y.leader"))).alias("a"), F.col("id").alias("b"))
     sketches = chosen.select(numbers)
     both = pairs.join(sketches.toDF("a", *[f"x_{c}" for c in numbers[1:]]), "a").join(sketches.toDF("b", *[f"y_{c}" for c in numbers[1:]]), "b")
-    fresh = materialize(both.mapInArrow(_similar, "a long, b long").distinct(), "fresh", few_files=True)
-    tried, found = fresh, materialize(_confirm(fresh, docs).union(bridges), "found", few_files=True)
-    width = 4
-    while True:
-        components = materialize(connected_components(found), "components", few_files=True)
-        labelled = led.join(components, "id", "left").select("key", "id", F.coalesce("component_id", "id").alias("part"))
-        mixed = materialize(labelled.groupBy("key").agg(F.min("part").alias("x"), F.max("part").alias("y")).filter("x <> y").select("key"), "mixed", few_files=True)
-        rows = materialize(labelled.join(mixed, "key", "left_semi"), "rows")
+    fresh = materialize(both.mapInArrow(_similar, "a long, b long"), "fresh", few_files=True)
+    sets = _full_sets(docs, led)
+    found = materialize(_confirm(fresh, sets).union(bridges), "found", few_files=True)
+    components = materialize(connected_components(found), "components", few_files=True)
+    rows, tried = _apart(led, components, "rows"), fresh
+    for _ in range(SKETCH_ROUNDS):
         if rows.isEmpty():
             return components
-        dealt = _dealt(rows).join(chosen, "id").select("place", "side", "key", "part", "keys", *numbers)
-        crossed = materialize(dealt.repartition("place").sortWithinPartitions("place").mapInArrow(_cross_pairs(width), "a long, b long, more boolean"), "crossed")
-        fresh = materialize(crossed.select("a", "b").distinct().join(tried, ["a", "b"], "left_anti"), "fresh", few_files=True)
-        held_back = not crossed.filter("more").isEmpty()
-        new = fresh if fresh.isEmpty() else materialize(_confirm(fresh, docs), "new", few_files=True)
-        if not held_back and new.isEmpty():
-            return components
-        found, tried = found.union(new.select("a", "b")), tried.union(fresh)
-        if not held_back:
-            return materialize(connected_components(found), "components", few_files=True)
-        width *= 16
+        dealt = _dealt(rows.withColumn("share", F.lit(1 / BLOCK))).join(chosen, "id").select("place", "side", "key", "part", "keys", *numbers)
+        met = materialize(dealt.repartition("place").sortWithinPartitions("place").mapInArrow(_met, "key long, id long, part long, other long, score double"), "met", few_files=True)
+        best = met.filter("other is not null").groupBy("part").agg(F.min(F.struct("score", "id", "other")).alias("x"))
+        best = best.select(F.least("x.id", "x.other").alias("a"), F.greatest("x.id", "x.other").alias("b")).distinct()
+        fresh = materialize(best.join(tried, ["a", "b"], "left_anti"), "fresh", few_files=True)
+        new = fresh if fresh.isEmpty() else materialize(_confirm(fresh, sets), "new", few_files=True)
+        if not new.isEmpty():
+            found, tried = found.union(new.select("a", "b")), tried.union(fresh)
+            components = materialize(connected_components(found), "components", few_files=True)
+        rows = _apart(met, components, "rows")
+    if rows.isEmpty():
+        return components
+    share = F.lit(1 / BLOCK) + F.col("n_shingles") * 8 / BLOCK_BYTES
+    dealt = _dealt(rows.join(chosen.select("id", share.alias("share")), "id").select("key", "id", "part", "share"))
+    dealt = dealt.join(chosen, "id").join(sets.withColumnRenamed("doc_id", "id"), "id").select("place", "side", "key", "part", "keys", "shingles", *numbers)
+    new = materialize(dealt.repartition("place").sortWithinPartitions("place").mapInArrow(_joined, "a long, b long"), "new", few_files=True)
+    return components if new.isEmpty() else materialize(connected_components(found.union(new)), "components", few_files=True)
 
 
 def op9_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -6,8 +6,8 @@ import random
 import numpy as np
 import pytest
 
-from corpusgraph.llm import embedding_dedup, line_dedup, minhash
-from corpusgraph.llm.common import connected_components
+from corpusgraph.llm import common, embedding_dedup, line_dedup, minhash
+from corpusgraph.llm.common import connected_components, span_hashes
 
 EDGE = [(1, None), (2, ""), (3, " \t\n"), (4, "One two"), (5, "one TWO"), (6, "one two"), (7, "a b c d e f"), (7, "a b c d e f"), (None, "a b c d e f"), (8, "x " * 30_000), (9, "é " * 9)]
 
@@ -56,10 +56,38 @@ def test_connected_components(spark):
     assert connected_components(df.limit(0)).count() == 0
 
 
-@pytest.mark.parametrize("block", [minhash.BLOCK, 8])
-def test_minhash_brute_force(spark, monkeypatch, block):
+def colliding_words(letters=1024):
+    """A word and its complement whose hashes agree under every polynomial modulo 2**64."""
+    word = "a"
+    while len(word) < letters:
+        word += word.translate({97: 98, 98: 97})
+    return word, word.translate({97: 98, 98: 97})
+
+
+def test_hashes_of_structured_words():
+    for letters in (1024, 8192):
+        a, b = colliding_words(letters)
+        n = len(a)
+        assert len(set(span_hashes(np.frombuffer((a + b + a).encode(), np.uint8), np.arange(3) * n, np.arange(1, 4) * n).tolist())) == 2
+
+
+def test_hashes_against_plain_arithmetic(monkeypatch):
+    data = np.frombuffer(random.Random(5).randbytes(5000), np.uint8)
+    starts = np.array([0, 3, 100, 4999, 7, 20])
+    ends = np.array([5000, 3, 4999, 5000, 8, 2020])
+    prime = (1 << 61) - 1
+    want = [int(common.mix(np.array([(sum((int(c) + 1) * pow(common._BASE, i, prime) for i, c in enumerate(data[a:b])) % prime + (b - a) * 0xD6E8FEB86659FD93) % (1 << 64)], np.uint64))[0]) for a, b in zip(starts.tolist(), ends.tolist())]
+    assert span_hashes(data, starts, ends).tolist() == want
+    monkeypatch.setattr(common, "_PART", 999)  # spans summed in parts
+    assert span_hashes(data, starts, ends).tolist() == want
+
+
+@pytest.mark.parametrize("block,rounds", [(minhash.BLOCK, minhash.SKETCH_ROUNDS), (8, minhash.SKETCH_ROUNDS), (minhash.BLOCK, 0), (8, 0)])
+def test_minhash_brute_force(spark, monkeypatch, block, rounds):
     monkeypatch.setattr(minhash, "BLOCK", block)
-    rows = [(i + 20, t) for i, t in enumerate(near_texts())] + EDGE
+    monkeypatch.setattr(minhash, "SKETCH_ROUNDS", rounds)
+    x, y = colliding_words()
+    rows = [(i + 20, t) for i, t in enumerate(near_texts())] + EDGE + [(900, f"{x} b c d e f"), (901, f"{y} b c d e f"), (902, x), (903, y)]
     sets = {i: shingle_set(t) for i, t in rows if i is not None}
     links = [(a, b) for a in sets for b in sets if a < b and sets[a] and sets[b] and 100 * len(sets[a] & sets[b]) >= 75 * len(sets[a] | sets[b])]
     want = components(sets, links)
