@@ -1,7 +1,9 @@
 """BPE, language, n-grams, chat, quality, secrets and decontamination against brute force, round trips and held-out accuracy."""
 
 import collections
+import functools
 import hashlib
+import itertools
 import math
 import random
 import re
@@ -80,24 +82,62 @@ def test_language_held_out(spark, sf):
     assert language.identify(held.limit(0), model).count() == 0
 
 
+def brute_log_total(pieces, p, word):
+    """Sum over all segmentations into pieces of any length, in exact powers of e."""
+    number = {x: i for i, x in enumerate(pieces.pieces)}
+    total = [0.0] + [-math.inf] * len(word)
+    for j in range(1, len(word) + 1):
+        total[j] = functools.reduce(np.logaddexp, (total[i] + math.log(p[number[word[i:j]]]) for i in range(j) if word[i:j] in number), -math.inf)
+    return total[-1]
+
+
 def test_forward_sums_all_segmentations():
     pieces = language._pieces(None)
-    number = {p: i for i, p in enumerate(pieces.pieces)}
     rng = np.random.default_rng(1)
     p = rng.dirichlet(np.ones(len(pieces.pieces)))[:, None]
+    longest = max(pieces.pieces, key=len)
+    words = [b"the", b"thing", b"a", "été".encode(), b"zzzzzzzz", b"relationship", longest.strip(), b"abcdef" * 40, "ж中".encode() * 60]
+    assert max(len(w) for w in words) > language.LONG
+    assert np.allclose(language.log_totals(pieces, words, p)[:, 0], [brute_log_total(pieces, p[:, 0], b" " + w) for w in words])
+    words = words[:5]
+    weight = np.array([3.0, 1, 1, 2, 1])
+    counts = language.Lattice(pieces, words).expected(language.grown(pieces, p), weight)
+    assert counts @ pieces.sizes == pytest.approx(sum(w * (len(x) + 1) for w, x in zip(weight, words)))
 
-    def brute(word):
-        total = [1.0] + [0.0] * len(word)
-        for j in range(1, len(word) + 1):
-            total[j] = sum(total[i] * p[number[word[i:j]], 0] for i in range(max(0, j - language.PIECE_BYTES), j) if word[i:j] in number)
-        return math.log(total[-1])
 
-    words = [b"the", b"thing", b"a", "été".encode(), b"zzzzzzzz"]
-    assert np.allclose(language.Lattice(pieces, words).log_totals(p)[:, 0], [brute(b" " + w) for w in words])
-    weight = np.array([3.0, 1, 1, 2, 1])
-    counts = language.Lattice(pieces, words).expected(p, weight)
-    length = np.array([len(x) for x in pieces.pieces])
-    assert counts @ length == pytest.approx(sum(w * (len(x) + 1) for w, x in zip(weight, words)))
+def test_language_brute_force(spark):
+    """Prediction and score of every text from the training words up, by plain loops."""
+    texts = {"a": ["Banana bandana", "ananas banana"], "b": ["Жук жуки", "жука ЖУК été"]}
+    labelled = [(10 * k + i, t, lang) for k, (lang, own) in enumerate(texts.items()) for i, t in enumerate(own)]
+    pieces = language._pieces(None)
+    number = {x: i for i, x in enumerate(pieces.pieces)}
+    model = {}
+    for lang, own in texts.items():
+        words = [b" " + w.lower().encode() for t in own for w in t.split()]
+        p = np.full(len(pieces.pieces), 1 / len(pieces.pieces))
+        for _ in range(language.ROUNDS):
+            counts = np.full(len(p), language.SMOOTHING)
+            for w in words:
+                spans = [(i, j, number[w[i:j]]) for j in range(1, len(w) + 1) for i in range(j) if w[i:j] in number]
+                ahead, behind = [1.0] + [0.0] * len(w), [0.0] * len(w) + [1.0]
+                for i, j, x in spans:
+                    ahead[j] += ahead[i] * p[x]
+                for i, j, x in sorted(spans, key=lambda s: -s[1]):
+                    behind[i] += behind[j] * p[x]
+                for i, j, x in spans:
+                    counts[x] += ahead[i] * p[x] * behind[j] / ahead[-1]
+            p = counts / counts.sum()
+        model[lang] = p
+    asked = [(1, "banana, ЖУК!"), (2, "BANANA 12 x"), (3, "жу" * 200), (4, "1 2 中。"), (5, "12"), (6, None), (7, "..."), (8, "été")]
+    got = {r.doc_id: r for r in language.identify(frame(spark, asked), language.train(spark.createDataFrame(labelled, "doc_id long, text string, lang string"))).collect()}
+    for i, text in asked:
+        words = ["".join(g) for ok, g in itertools.groupby((text or "").lower(), str.isalpha) if ok]
+        if not words:
+            assert (got[i].lang_pred, got[i].score) == ("und", 0)
+            continue
+        total = {lang: sum(brute_log_total(pieces, p, b" " + w.encode()) for w in words) for lang, p in model.items()}
+        best = max(sorted(total), key=total.get)
+        assert got[i].lang_pred == best and got[i].score == pytest.approx(1 / sum(math.exp(t - total[best]) for t in total.values()), abs=1e-9)
 
 
 # --- n-grams ----------------------------------------------------------------------------------------
