@@ -102,13 +102,13 @@ def pre_tokens(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.nd
     return np.append(at, len(data)), np.searchsorted(at, offsets)
 
 
-def _blocks(batches: Iterable[pa.RecordBatch]) -> Iterator[tuple[int, pa.Table]]:
-    """Numbered blocks of about BLOCK_BYTES of text; a second scan that numbers them otherwise only costs time."""
+def _blocks(batches: Iterable[pa.RecordBatch], most: int) -> Iterator[tuple[int, pa.Table]]:
+    """Numbered blocks of about `most` bytes of text; a second scan that numbers them otherwise only costs time."""
     number, held, size = (TaskContext.get().partitionId() if TaskContext.get() else 0) << 24, [], 0
     for part in slices(batches, "text"):
         held.append(part)
         size += part.nbytes
-        if size >= BLOCK_BYTES:
+        if size >= most:
             yield number, pa.Table.from_batches(held)
             number, held, size = number + 1, [], 0
     if held:
@@ -122,19 +122,22 @@ def _parts(table: pa.Table) -> Iterator[tuple[pa.RecordBatch, np.ndarray, np.nda
         yield part, data, at, first, span_hashes(data, at[:-1], at[1:])
 
 
-def _distinct_words(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for block, table in _blocks(batches):
-        known = np.zeros(0, np.uint64)
-        for _, data, at, _, hashes in _parts(table):
-            hashes, index = np.unique(hashes, return_index=True)
-            fresh = ~np.isin(hashes, known, assume_unique=True)
-            index = index[fresh]
-            known = np.concatenate([known, hashes[fresh]])
-            size = at[index + 1] - at[index]
-            ends = np.cumsum(size)
-            picked = data[np.repeat(at[index] - (ends - size), size) + np.arange(ends[-1] if len(ends) else 0)]
-            words = pa.Array.from_buffers(pa.binary(), len(index), [None, pa.py_buffer(np.concatenate([[0], ends]).astype(np.int32)), pa.py_buffer(picked)])
-            yield pa.record_batch([words, pa.array(np.full(len(index), block))], ["word", "block"])
+def _distinct_words(most: int = BLOCK_BYTES):
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for block, table in _blocks(batches, most):
+            known = np.zeros(0, np.uint64)
+            for _, data, at, _, hashes in _parts(table):
+                hashes, index = np.unique(hashes, return_index=True)
+                fresh = ~np.isin(hashes, known, assume_unique=True)
+                index = index[fresh]
+                known = np.concatenate([known, hashes[fresh]])
+                size = at[index + 1] - at[index]
+                ends = np.cumsum(size)
+                picked = data[np.repeat(at[index] - (ends - size), size) + np.arange(ends[-1] if len(ends) else 0)]
+                words = pa.Array.from_buffers(pa.binary(), len(index), [None, pa.py_buffer(np.concatenate([[0], ends]).astype(np.int32)), pa.py_buffer(picked)])
+                yield pa.record_batch([words, pa.array(np.full(len(index), block))], ["word", "block"])
+
+    return run
 
 
 def _encode_words(path: str):
@@ -175,13 +178,17 @@ def _bytes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return np.frombuffer(column.buffers()[2], np.uint8)[offsets[0] : offsets[-1]], offsets - offsets[0]
 
 
-def _packed(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _packed(most: int = BLOCK_BYTES):
     """Each block of documents as one compressed value."""
-    for block, table in _blocks(batches):
-        sink = pa.BufferOutputStream()
-        with pa.ipc.new_stream(sink, table.schema, options=pa.ipc.IpcWriteOptions(compression=pa.Codec("zstd", compression_level=6))) as w:
-            w.write_table(table.combine_chunks())
-        yield pa.record_batch([pa.array([block], pa.int64()), pa.array([sink.getvalue().to_pybytes()], pa.binary())], ["block", "docs"])
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for block, table in _blocks(batches, most):
+            sink = pa.BufferOutputStream()
+            with pa.ipc.new_stream(sink, table.schema, options=pa.ipc.IpcWriteOptions(compression=pa.Codec("zstd", compression_level=6))) as w:
+                w.write_table(table.combine_chunks())
+            yield pa.record_batch([pa.array([block], pa.int64()), pa.array([sink.getvalue().to_pybytes()], pa.binary())], ["block", "docs"])
+
+    return run
 
 
 OUT = "doc_id long, ids binary, decoded binary"
@@ -263,13 +270,13 @@ def _digests(run):
     return reduced
 
 
-def encode_decode(docs: DataFrame, ranks: str | None = None, digests: bool = False, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def encode_decode(docs: DataFrame, ranks: str | None = None, digests: bool = False, id_col: str = "doc_id", text_col: str = "text", block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """(doc_id, ids, decoded): ids as little-endian 32-bit integers and the bytes they decode to; or their digests."""
     path = ranks_path(ranks)
     docs = docs.select(docs[id_col].cast("long").alias("doc_id"), docs[text_col].cast("string").alias("text"))
-    words = docs.mapInArrow(_distinct_words, "word binary, block long")
+    words = docs.mapInArrow(_distinct_words(block_bytes), "word binary, block long")
     encoded = words.repartition("word").sortWithinPartitions("word").mapInArrow(_encode_words(path), "block long, hashes binary, sizes binary, wide binary, ids binary")
-    packed = docs.mapInArrow(_packed, "block long, docs binary")
+    packed = docs.mapInArrow(_packed(block_bytes), "block long, docs binary")
     run = _reassemble(path)
 
     both = packed.groupBy("block").cogroup(encoded.groupBy("block"))

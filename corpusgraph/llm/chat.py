@@ -10,10 +10,13 @@ search. A token that straddles a boundary carries loss for its part inside the s
 
 Rows of a conversation are brought together by conv_id and sorted by turn. A long conversation streams
 through its task turn by turn up to PIECE characters, then goes on in a further piece of the same
-conversation (cut between turns), so memory is bounded by PIECE and the longest turn.
+conversation, so memory is bounded by PIECE and the longest turn. A piece is cut inside a turn's opening
+`<s>`, after the letter, where the tokenizer's pattern always ends a word; so the ids of the pieces,
+one after the other, are those of one encoding.
 
-Defined cases: null texts and roles are empty strings; rows with a null conv_id form one conversation
-with a null id; rows of equal turn are ordered by role, then text; repeated rows are turns like others.
+Defined cases: null texts and roles are empty strings; a row with a null conv_id is a conversation of
+its own with a null id; rows of equal turn are ordered by role, then text; repeated rows are turns like
+others; a very long turn is held by its task as a whole.
 """
 
 from __future__ import annotations
@@ -34,7 +37,9 @@ TOKENIZER = "byte_bpe_50k.json"
 LEARNT = "assistant"
 PIECE, ENCODED_TOGETHER = 4_000_000, 64
 _ESCAPED, _PLAIN = re.compile(r"[\\<\[]"), re.compile(r"\\(.)", re.S)
-_TURN = re.compile(r"<s>(\[INST\] )?<<((?:[^\\>]|\\.)*)>>\n((?:[^\\<\[]|\\.)*)(?: \[/INST\]|</s>)", re.S)
+_TURN = re.compile(r"<s>(\[INST\] )?<<([^\\>]*(?:\\.[^\\>]*)*)>>\n([^\\<\[]*(?:\\.[^\\<\[]*)*)(?(1) \[/INST\]|</s>)", re.S)
+#: The part of a turn's opening that stands in the piece before.
+_CARRIED = "<s"
 
 
 def escape(text: str) -> str:
@@ -60,8 +65,16 @@ def render(turns: list[tuple[str, str]]) -> tuple[str, np.ndarray]:
 
 
 def parse(formatted: str) -> list[tuple[str, str]]:
-    """The turns of a formatted conversation."""
-    return [(unescape(m[2]), unescape(m[3])) for m in _TURN.finditer(formatted)]
+    """The turns of a formatted conversation, which must make up all of it."""
+    turns, at = [], 0
+    while at < len(formatted):
+        m = _TURN.match(formatted, at)
+        if not m:
+            raise ValueError(f"no turn at character {at}")
+        text = m[3]
+        turns.append((unescape(m[2]), unescape(text)))
+        at = m.end()
+    return turns
 
 
 def mask(spans: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -89,44 +102,59 @@ def tokenizer_path(path: str | None = None) -> str:
     return path or public_tokenizers.path(TOKENIZER)
 
 
-SCHEMA = "conv_id long, piece int, formatted string, ids array<int>, mask_token array<int>, mask_start array<int>, mask_end array<int>"
-_TYPES = pa.schema([("conv_id", pa.int64()), ("piece", pa.int32()), ("formatted", pa.string()), ("ids", pa.list_(pa.int32())), ("mask_token", pa.list_(pa.int32())), ("mask_start", pa.list_(pa.int32())), ("mask_end", pa.list_(pa.int32()))])
+SCHEMA = "conv_id long, piece int, formatted string, ids array<int>, mask_token array<int>, mask_start array<int>, mask_end array<int>, loss_start array<int>, loss_end array<int>"
+_LIST = pa.list_(pa.int32())
+_TYPES = pa.schema([("conv_id", pa.int64()), ("piece", pa.int32()), ("formatted", pa.string()), *((c, _LIST) for c in ("ids", "mask_token", "mask_start", "mask_end", "loss_start", "loss_end"))])
 
 
-def _pieces(batches: Iterable[pa.RecordBatch]) -> Iterator[tuple[int | None, int, list[tuple[str, str]]]]:
-    """Conversations from sorted rows, long ones in pieces."""
+def merged(start: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The character spans that sorted parts of tokens cover; tokens of one character's bytes share its offsets."""
+    if not len(start):
+        return start, end
+    reached = np.maximum.accumulate(end)
+    new = np.append(True, start[1:] > reached[:-1])
+    return start[new], reached[np.append(np.flatnonzero(new)[1:] - 1, len(end) - 1)]
+
+
+def _pieces(batches: Iterable[pa.RecordBatch], most: int) -> Iterator[tuple[int | None, int, list[tuple[str, str]], bool]]:
+    """(conversation, piece, turns, whether it goes on) from sorted rows; long conversations in pieces."""
     now, piece, turns, size, some = None, 0, [], 0, False
     for batch in batches:
         for conv, role, text in zip(batch.column("conv_id").to_pylist(), batch.column("role").to_pylist(), batch.column("text").to_pylist()):
-            if some and (conv != now or size >= PIECE):
-                yield now, piece, turns
-                piece, turns, size = piece + 1 if conv == now else 0, [], 0
+            same = conv is not None and conv == now
+            if some and (not same or size >= most):
+                yield now, piece, turns, same
+                piece, turns, size = piece + 1 if same else 0, [], 0
             now, some = conv, True
             turns.append((role, text))
             size += len(text)
     if some:
-        yield now, piece, turns
+        yield now, piece, turns, False
 
 
-def _formatted(path: str):
+def _formatted(path: str, most: int):
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held = []
 
         def encoded():
-            rendered = [render(turns) for *_, turns in held]
-            out = [[], [], [], [], [], [], []]
-            for (conv, piece, _), (text, spans), e in zip(held, rendered, _tokenizer(path).encode_batch([t for t, _ in rendered], add_special_tokens=False)):
+            rendered = []
+            for _, piece, turns, more in held:
+                text, spans = render(turns)
+                before = len(_CARRIED) if piece else 0
+                rendered.append((text[before:] + _CARRIED * more, np.maximum(spans - before, 0)))
+            out = [[] for _ in _TYPES]
+            for (conv, piece, *_), (text, spans), e in zip(held, rendered, _tokenizer(path).encode_batch([t for t, _ in rendered], add_special_tokens=False)):
                 offsets = np.array(e.offsets, np.int64).reshape(-1, 2)
                 token, start, end = mask(spans, offsets[:, 0], offsets[:, 1])
-                for column, value in zip(out, (conv, piece, text, e.ids, token, start, end)):
+                for column, value in zip(out, (conv, piece, text, np.array(e.ids, np.int32), *(x.astype(np.int32) for x in (token, start, end, *merged(start, end))))):
                     column.append(value)
             return pa.record_batch([pa.array(c, t.type) for c, t in zip(out, _TYPES)], schema=_TYPES)
 
         size = 0
-        for piece in _pieces(batches):
+        for piece in _pieces(batches, most):
             held.append(piece)
             size += sum(len(t) for _, t in piece[2])
-            if len(held) >= ENCODED_TOGETHER or size >= PIECE:
+            if len(held) >= ENCODED_TOGETHER or size >= most:
                 yield encoded()
                 held, size = [], 0
         if held:
@@ -135,16 +163,18 @@ def _formatted(path: str):
     return run
 
 
-def format_conversations(conversations: DataFrame, tokenizer: str | None = None) -> DataFrame:
+def format_conversations(conversations: DataFrame, tokenizer: str | None = None, piece: int = PIECE) -> DataFrame:
     """One row for each conversation (for each piece of a very long one): formatted text, token ids and the loss mask.
 
-    mask_token, mask_start and mask_end list the parts of tokens that carry loss, in characters of `formatted`.
+    mask_token, mask_start and mask_end list the parts of tokens that carry loss, in characters of `formatted`;
+    loss_start and loss_end are the spans that these parts cover together.
     """
     own = conversations.select(
         F.col("conv_id").cast("long").alias("conv_id"), "turn", F.coalesce(F.col("role").cast("string"), F.lit("")).alias("role"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text")
     )
-    ordered = own.repartition("conv_id").sortWithinPartitions("conv_id", "turn", "role", "text")
-    return ordered.select("conv_id", "role", "text").mapInArrow(_formatted(tokenizer_path(tokenizer)), SCHEMA)
+    alone = F.when(F.col("conv_id").isNull(), F.xxhash64("turn", "role", "text"))  # rows without a conversation don't meet
+    ordered = own.repartition("conv_id", alone).sortWithinPartitions("conv_id", "turn", "role", "text")
+    return ordered.select("conv_id", "role", "text").mapInArrow(_formatted(tokenizer_path(tokenizer), piece), SCHEMA)
 
 
 def _read_back(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -152,31 +182,30 @@ def _read_back(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     rows, now, state = [], None, None
 
     def closed():
+        if state[5]:
+            raise ValueError(f"conversation {now} ends inside a turn")
         return (now, state[0], state[1].hexdigest(), state[2], state[3].hexdigest(), state[4])
 
     names = ["conv_id", "n_turns", "turns_sha256", "loss_chars", "loss_sha256", "formatted_chars"]
     types = [pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.string(), pa.int64()]
     for batch in batches:
-        for r in batch.to_pylist():
-            if state is None or r["piece"] == 0:
+        columns = [batch.column(c) for c in ("conv_id", "piece", "formatted")]
+        spans = [batch.column(c) for c in ("loss_start", "loss_end")]
+        for i in range(batch.num_rows):
+            conv, piece, text = (c[i].as_py() for c in columns)
+            if state is None or piece == 0:
                 if state is not None:
                     rows.append(closed())
-                now, state = r["conv_id"], [0, hashlib.sha256(), 0, hashlib.sha256(), 0]
-            text = r["formatted"]
-            for role, turn in parse(text):
-                state[0] += 1
-                state[1].update(f"{role}\n{turn}\n".encode())
-            # tokens of one character's bytes share its offsets: each character counts once
-            spans, reached = [], 0
-            for a, b in zip(r["mask_start"], r["mask_end"]):
-                a = max(a, reached)
-                if a < b:
-                    spans.append(text[a:b])
-                    reached = b
-            loss = unescape("".join(spans))
+                now, state = conv, [0, hashlib.sha256(), 0, hashlib.sha256(), 0, ""]
+            loss = unescape("".join(text[a:b] for a, b in zip(spans[0][i].as_py(), spans[1][i].as_py())))
             state[2] += len(loss)
             state[3].update(loss.encode())
             state[4] += len(text)
+            text = state[5] + text
+            state[5] = _CARRIED if text.endswith(_CARRIED) else ""  # no turn ends so
+            for role, turn in parse(text[: len(text) - len(state[5])]):
+                state[0] += 1
+                state[1].update(f"{role}\n{turn}\n".encode())
         if rows:
             yield pa.record_batch([pa.array(c, t) for c, t in zip(zip(*rows), types)], names)
             rows = []
@@ -190,6 +219,6 @@ def op7_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     added = spark.createDataFrame([(-1, 0, "user", attack), (-1, 1, "assistant", attack)], "conv_id long, turn long, role string, text string")
     found = format_conversations(own.unionByName(added))
     # pieces of one conversation come from one task, in order
-    return found.select("conv_id", "piece", "formatted", "mask_start", "mask_end").mapInArrow(
+    return found.select("conv_id", "piece", "formatted", "loss_start", "loss_end").mapInArrow(
         _read_back, "conv_id long, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long"
     )

@@ -285,7 +285,7 @@ def _sample(labelled: DataFrame) -> DataFrame:
     if not counts:
         return labelled.select("lang", "text").limit(0)
     # twice the wanted share of all hashes first, so that what is ranked is small
-    cut = F.create_map(*[F.lit(x) for r in counts for x in (r.lang, min((1 << 63) - 1, int(2 * SAMPLE_DOCS / r["count"] * (1 << 64)) - (1 << 63)))])
+    cut = F.create_map(*[F.lit(x) for r in counts for x in (r.lang, min((1 << 64) - 1, 2 * SAMPLE_DOCS * (1 << 64) // r["count"]) - (1 << 63))])
     few = labelled.filter(F.col("h") <= cut[F.col("lang")]).groupBy("lang", "h").agg(F.first("text").alias("text"))
     ranked = few.withColumn("n", F.row_number().over(Window.partitionBy("lang").orderBy("h")))
     return ranked.filter(f"n <= {SAMPLE_DOCS}").select("lang", "text")

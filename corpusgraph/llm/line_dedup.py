@@ -24,8 +24,9 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from .common import group_bounds, materialize, read, slices, text_bytes, whole_groups
+from .common import group_bounds, materialize, read, slices, text_bytes, unused, whole_groups
 
 MIN_CHARS = 10
 BITS_PER_LINE, MIN_BITS, MAX_BITS = 16, 1 << 16, 1 << 29
@@ -120,12 +121,12 @@ def _suspects(bits: int, filter_of):
     return run
 
 
-def _apply(columns: pa.Schema, text: str):
+def _apply(columns: list[str], text: str, lost: str):
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in slices(batches, text):
             data, offsets = text_bytes(part.column(text))
             raw, kept, n, dropped = data.tobytes(), [], [], []
-            for i, gone in enumerate(part.column("_gone")):
+            for i, gone in enumerate(part.column(lost)):
                 own = raw[offsets[i] : offsets[i + 1]]
                 lines = own.count(b"\n") + 1
                 n.append(lines)
@@ -137,14 +138,17 @@ def _apply(columns: pa.Schema, text: str):
                 else:
                     dropped.append(0)
                     kept.append(own)
-            arrays = [part.column(c) for c in columns.names[:-3]]
-            yield pa.record_batch([*arrays, pa.array(kept, pa.binary()), pa.array(n, pa.int64()), pa.array(dropped, pa.int64())], names=columns.names)
+            arrays = [part.column(c) for c in columns[:-3]]
+            yield pa.record_batch([*arrays, pa.array(kept, pa.binary()), pa.array(n, pa.int64()), pa.array(dropped, pa.int64())], names=columns)
 
     return run
 
 
 def drop_repeated_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows and columns of docs, and _kept (bytes of the text that stays), _lines and _dropped."""
+    """The rows and columns of docs, then _kept (bytes of the text that stays), _lines and _dropped.
+
+    A name that docs has already gets a further `_` in front; the three are always the last columns.
+    """
     spark = docs.sparkSession
     own = docs.select(docs[id_col].cast("long").alias("doc_id"), docs[text_col].cast("string").alias("text"))
     lines = own.agg(F.sum(F.length("text") - F.length(F.replace("text", F.lit("\n"), F.lit(""))) + 1)).first()[0] or 0
@@ -154,11 +158,12 @@ def drop_repeated_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     twice = spark.sparkContext.broadcast([(r.segment, bytes(r.twice)) for r in merged.collect()])  # at most MAX_BITS / 8 bytes
     suspects = materialize(own.mapInArrow(_suspects(bits, twice), "doc_id long, digest binary"), "suspects")
     repeated = materialize(suspects.groupBy("digest").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last")).filter("first <> last").select("digest", "first"), "repeated")
-    gone = suspects.join(repeated, "digest").filter("doc_id <> first").groupBy("doc_id").agg(F.collect_set("digest").alias("_gone")).withColumnRenamed("doc_id", "_id")
-    joined = docs.join(gone, docs[id_col].cast("long") == gone["_id"], "left").select(*[docs[c] for c in docs.columns], "_gone")
-    schema = f"{', '.join(f'`{f.name}` {f.dataType.simpleString()}' for f in docs.schema)}, _kept binary, _lines long, _dropped long"
-    names = pa.schema([(c, pa.null()) for c in [*docs.columns, "_kept", "_lines", "_dropped"]])
-    return joined.mapInArrow(_apply(names, text_col), schema)
+    lost, key = unused(docs, "_gone"), unused(docs, "_id")
+    gone = suspects.join(repeated, "digest").filter("doc_id <> first").groupBy("doc_id").agg(F.collect_set("digest").alias(lost)).withColumnRenamed("doc_id", key)
+    joined = docs.join(gone, docs[id_col].cast("long") == gone[key], "left").select(*[docs[c] for c in docs.columns], lost)
+    names = [*docs.columns, *(unused(docs, c) for c in ("_kept", "_lines", "_dropped"))]
+    schema = T.StructType([*docs.schema.fields, *(T.StructField(c, t) for c, t in zip(names[-3:], (T.BinaryType(), T.LongType(), T.LongType())))])
+    return joined.mapInArrow(_apply(names, text_col, lost), schema)
 
 
 def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

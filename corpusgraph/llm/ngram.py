@@ -15,7 +15,8 @@ Probabilities are interpolated absolute discounting over smoothed single-word pr
 stored as logarithms quantised to 16 bits between a file's extremes.
 
 Level files are split by key ranges of about RANGE rows, so none is whole in one task or in the driver;
-the driver holds one small row for each file. A frequent context may span several files.
+the driver holds one small row for each file. A frequent context may span several files. A task asks its
+block's distinct keys in sorted order, file by file, and keeps MAPPED files of a level mapped at most.
 
 Defined cases: null and empty texts are one end token; rows with a null id are scored but not trained
 on; an empty training fold gives every token the same probability; repeated rows count each time.
@@ -39,6 +40,8 @@ DISCOUNT, PAIR_LEAST = 0.75, 2
 RANGE = 1_000_000
 BLOCK_BYTES = 12 << 20
 LEVELS = 65535
+#: Files of a level that a task keeps mapped; word numbers take 32 bits of a pair's key.
+MAPPED, MOST_WORDS = 24, 1 << 31
 
 
 def _tokens(part: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
@@ -127,9 +130,11 @@ class Level:
                 yield int(f), np.flatnonzero(at == f)
 
     def arrays(self, f: int, make):
-        if f not in self.loaded:
-            self.loaded[f] = make(load(self.files[f][0]))
-        return self.loaded[f]
+        found = self.loaded.pop(f, None) or make(load(self.files[f][0]))
+        self.loaded[f] = found  # the last used is the last
+        if len(self.loaded) > MAPPED:
+            self.loaded.pop(next(iter(self.loaded)))
+        return found
 
 
 class Words(Level):
@@ -244,6 +249,8 @@ def train(docs: DataFrame, pair_least: int = PAIR_LEAST) -> Trie:
 
     counted = materialize(texts.mapInArrow(_count(word_keys), "k long, n long").groupBy("k").agg(F.sum("n").alias("n")), "words")
     words = Words(_files(_ranges(counted, "k"), _save_words(folder), ["k", "n"]))
+    if words.base[-1] >= MOST_WORDS:
+        raise ValueError(f"{words.base[-1]} distinct words; their numbers have 31 bits")
     total = counted.agg(F.sum("n")).first()[0] or 0
     shared = context.broadcast(words)
 

@@ -1,6 +1,7 @@
 """Near-dedup of documents, lines and vectors against brute force, and their edge cases."""
 
 import hashlib
+import math
 import random
 
 import numpy as np
@@ -167,10 +168,11 @@ def vector_brute_force(rows):
     return sorted((i, count[n], part[i], part[i] == i) for n, (i, _) in enumerate(rows) if i is not None)
 
 
-@pytest.mark.parametrize("cell, block", [(embedding_dedup.CELL, embedding_dedup.BLOCK), (20, 15)])
-def test_vectors_brute_force(spark, monkeypatch, cell, block):
+@pytest.mark.parametrize("cell, block, moved", [(embedding_dedup.CELL, embedding_dedup.BLOCK, embedding_dedup.MOVED), (20, 15, embedding_dedup.MOVED), (20, 15, 0), (1, 15, -1e6)])
+def test_vectors_brute_force(spark, monkeypatch, cell, block, moved):
     monkeypatch.setattr(embedding_dedup, "CELL", cell)
     monkeypatch.setattr(embedding_dedup, "BLOCK", block)
+    monkeypatch.setattr(embedding_dedup, "MOVED", moved)
     rng = np.random.default_rng(4)
     rows = [(i, rng.normal(size=8).tolist()) for i in range(150)]
     center = rng.normal(size=8)
@@ -181,6 +183,27 @@ def test_vectors_brute_force(spark, monkeypatch, cell, block):
     assert embedding_dedup.near_duplicates(df.limit(0)).count() == 0
 
 
+def test_pivots_follow_structure(spark):
+    """Clusters get cells of their own; vectors without structure get one."""
+    rng = np.random.default_rng(6)
+    centers = rng.normal(size=(16, 16))
+    clustered = (centers[rng.integers(0, 16, 4000)] + rng.normal(size=(4000, 16)) * 0.01, 16)
+    spread = (rng.normal(size=(4000, 64)), 64)
+    for (x, d), most in ((clustered, 16), (spread, 1)):
+        x = x / np.linalg.norm(x, axis=1)[:, None]
+        units = spark.createDataFrame([(d, v.tobytes()) for v in x], "dim int, unit binary")
+        found = embedding_dedup._pivots(units, 100_000, math.sqrt(2 - 2 * embedding_dedup.COSINE))[d]
+        assert (len(found) == 1) if most == 1 else (8 <= len(found) <= most)
+
+
+def test_line_columns_that_clash(spark):
+    rows = [(1, "a line that repeats", 5, 6), (2, "a line that repeats\nown", 5, 6)]
+    df = spark.createDataFrame([(*r, 7, 8) for r in rows], "doc_id long, text string, _kept int, _gone int, _lines int, _id int")
+    got = line_dedup.drop_repeated_lines(df)
+    assert got.columns == [*df.columns, "__kept", "__lines", "_dropped"]
+    assert sorted((r.doc_id, r._kept, bytes(r["__kept"])) for r in got.collect()) == [(1, 5, b"a line that repeats"), (2, 5, b"own")]
+
+
 def test_line_digest_of_kept():
     assert line_dedup._key(b"  Tiny ") is None and line_dedup._key(b" ABCDEFGHIJ\r") == b"abcdefghij"
     assert len(line_dedup._digest(b"x")) == 16 and hashlib.sha256(b"").hexdigest()

@@ -44,12 +44,11 @@ def test_pre_tokens(texts):
 
 
 @pytest.mark.parametrize("block", [bpe.BLOCK_BYTES, 50])
-def test_bpe(spark, sf, monkeypatch, block):
-    monkeypatch.setattr(bpe, "BLOCK_BYTES", block)
+def test_bpe(spark, sf, block):
     rows = EDGE + [(r.doc_id + 100, r.text) for r in spark.read.parquet(f"{sf}/documents.parquet").filter("doc_id < 40").collect()]
     encoder = bpe._encoder(bpe.ranks_path())
     want = sorted(((i, encoder.encode_ordinary(t or ""), (t or "").encode()) for i, t in rows), key=str)
-    got = [(r.doc_id, np.frombuffer(bytes(r.ids), "<u4").tolist(), bytes(r.decoded)) for r in bpe.encode_decode(frame(spark, rows)).collect()]
+    got = [(r.doc_id, np.frombuffer(bytes(r.ids), "<u4").tolist(), bytes(r.decoded)) for r in bpe.encode_decode(frame(spark, rows), block_bytes=block).collect()]
     assert sorted(got, key=str) == want
     assert bpe.encode_decode(frame(spark, rows).limit(0)).count() == 0
 
@@ -57,12 +56,40 @@ def test_bpe(spark, sf, monkeypatch, block):
 def test_bpe_with_other_blocks(spark):
     """A block whose words were numbered otherwise is still encoded right."""
     text = pa.table({"doc_id": pa.array([1], pa.int64()), "text": ["hello wide world"]})
-    docs = next(bpe._packed(text.to_batches()))
+    docs = next(bpe._packed()(text.to_batches()))
     none = pa.table({c: pa.array([], pa.binary()) for c in ("hashes", "sizes", "wide", "ids")})
     out = next(bpe._reassemble(bpe.ranks_path())(pa.Table.from_batches([docs]), none))
     assert bytes(out.column("decoded")[0].as_py()) == b"hello wide world"
 
 
+def test_bpe_when_words_share_a_hash(spark, monkeypatch):
+    """Whatever hashes say, a word's tokens decode to that word."""
+    rows = [(1, "same hash for every word"), (2, "other words; the same hash")]
+    packed = [b for r in rows for b in bpe._packed()(pa.table({"doc_id": pa.array([r[0]], pa.int64()), "text": [r[1]]}).to_batches())]
+    monkeypatch.setattr(bpe, "span_hashes", lambda data, starts, ends: np.full(len(starts), 7, np.uint64))
+    words = list(bpe._distinct_words()(pa.table({"doc_id": pa.array([1], pa.int64()), "text": [rows[0][1]]}).to_batches()))
+    assert sum(b.num_rows for b in words) == 1
+    encoded = pa.Table.from_batches(list(bpe._encode_words(bpe.ranks_path())(words)))
+    encoder = bpe._encoder(bpe.ranks_path())
+    out = pa.Table.from_batches(list(bpe._reassemble(bpe.ranks_path())(pa.Table.from_batches(packed), encoded)))
+    assert [bytes(x.as_py()).decode() for x in out.column("decoded")] == [t for _, t in rows]
+    assert [np.frombuffer(x.as_py(), "<u4").tolist() for x in out.column("ids")] == [encoder.encode_ordinary(t) for _, t in rows]
+
+
+def test_structured_words_are_kept_apart(spark):
+    """Words whose hashes agree under every polynomial modulo 2**64."""
+    x = "a"
+    while len(x) < 1024:
+        x += x.translate({97: 98, 98: 97})
+    y = x.translate({97: 98, 98: 97})
+    df = frame(spark, [(1, x), (2, y), (3, f"{x} {y}")])
+    encoder = bpe._encoder(bpe.ranks_path())
+    assert {r.doc_id: np.frombuffer(bytes(r.ids), "<u4").tolist() for r in bpe.encode_decode(df).collect()} == {i: encoder.encode_ordinary(t) for i, t in [(1, x), (2, y), (3, f"{x} {y}")]}
+    assert ngram.train(df, 1).distinct == 3  # both and the end
+    items = spark.createDataFrame([(1, x)], "item_id long, text string")
+    assert [r.doc_id for r in decontaminate.contained_items(df, items).collect()] == [1]
+
+
 # --- language ---------------------------------------------------------------------------------------
 
 
@@ -227,12 +254,11 @@ def test_render_is_reversible(turns):
 
 
 @pytest.mark.parametrize("piece", [chat.PIECE, 30])
-def test_chat(spark, monkeypatch, piece):
-    monkeypatch.setattr(chat, "PIECE", piece)
+def test_chat(spark, piece):
     rows = [(c, k, "assistant" if (k + c) % 2 else "user", ATTACKS[(k + c) % len(ATTACKS)]) for c in range(6) for k in range(12)] + [(None, 0, None, "x"), (7, 1, "assistant", "same"), (7, 1, "assistant", "same")]
     df = spark.createDataFrame([(*r, "e") for r in rows], "conv_id long, turn long, role string, text string, formatted string")
-    out = chat.format_conversations(df)
-    read = out.select("conv_id", "piece", "formatted", "mask_start", "mask_end").mapInArrow(chat._read_back, "conv_id long, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long").collect()
+    out = chat.format_conversations(df, piece=piece)
+    read = out.select("conv_id", "piece", "formatted", "loss_start", "loss_end").mapInArrow(chat._read_back, "conv_id long, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long").collect()
     groups = collections.defaultdict(list)
     for c, k, role, text in rows:
         groups[c].append((k, role or "", text or ""))
@@ -243,6 +269,36 @@ def test_chat(spark, monkeypatch, piece):
         assert (r.n_turns, r.loss_chars, r.loss_sha256) == (len(turns), len(learnt), hashlib.sha256(learnt.encode()).hexdigest())
         assert r.turns_sha256 == hashlib.sha256("".join(f"{role}\n{t}\n" for _, role, t in turns).encode()).hexdigest()
     assert chat.format_conversations(df.limit(0)).count() == 0
+    # pieces give the ids, offsets and text of one encoding
+    pieces = collections.defaultdict(list)
+    for r in out.filter("conv_id is not null").orderBy("conv_id", "piece").collect():
+        pieces[r.conv_id].append(r)
+    if piece == 30:
+        assert max(len(x) for x in pieces.values()) > 2
+    for c, own in pieces.items():
+        whole, spans = chat.render([(role, text) for _, role, text in sorted(groups[c])])
+        e = chat._tokenizer(chat.tokenizer_path()).encode(whole, add_special_tokens=False)
+        assert "".join(r.formatted for r in own) == whole and [i for r in own for i in r.ids] == e.ids
+        at, parts = 0, []
+        for r in own:
+            parts += [(at + a, at + b) for a, b in zip(r.loss_start, r.loss_end)]
+            at += len(r.formatted)
+        assert [whole[a:b] for a, b in parts] == [whole[a:b] for a, b in spans.tolist() if a < b]
+
+
+def test_chat_rows_without_a_conversation(spark):
+    df = spark.createDataFrame([(None, k, "user", f"t{k}") for k in range(5)] + [(None, 0, "user", "t0")], "conv_id long, turn long, role string, text string")
+    out = chat.format_conversations(df).collect()
+    assert len(out) == 6 and all(r.conv_id is None and r.piece == 0 for r in out)
+    with pytest.raises(ValueError):
+        chat.parse("<s>[INST] <<user>>\nhi [/INST] and more")
+
+
+def test_one_very_long_turn(spark):
+    text = "word [x] " * 300_000
+    df = spark.createDataFrame([(1, 0, "user", "hi"), (1, 1, "assistant", text)], "conv_id long, turn long, role string, text string")
+    (r,) = chat.format_conversations(df).select("conv_id", "piece", "formatted", "loss_start", "loss_end").mapInArrow(chat._read_back, "conv_id long, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long").collect()
+    assert (r.n_turns, r.loss_chars, r.loss_sha256) == (2, len(text), hashlib.sha256(text.encode()).hexdigest())
 
 
 # --- quality ----------------------------------------------------------------------------------------
@@ -298,6 +354,28 @@ def test_secrets(spark):
     assert secrets.find_secrets(frame(spark, rows).limit(0)).count() == 0
 
 
+def test_many_secrets_in_one_text(spark):
+    rng = random.Random(9)
+    text = " ".join(f"{rng.randbytes(10).hex()}{'' if k % 3 else ' token=abcdefghijklmn'}" for k in range(1500))
+    (r,) = secrets.find_secrets(frame(spark, [(1, text)])).collect()
+    assert sorted((x.s, x.k, x.e, x.name) for x in r.assign + r.access + r.hex) == base_spans(text)
+    assert len(r.hex) == 1500
+
+
+def test_false_discoveries_among_words(spark):
+    """Identifiers of natural words with digits are hardly ever taken for secrets, keys nearly always are."""
+    rng = random.Random(11)
+    parts = ["time", "hour", "under", "light", "round", "water", "point", "great", "where", "through", "much", "before", "line", "right", "mean", "same", "tell", "boy", "follow", "came", "want", "show"]
+    alphabet = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789"
+    word = lambda: "".join(rng.choices(parts, k=rng.randint(5, 8)))
+    rows = [(i, " ".join(word() for _ in range(40))) for i in range(50)]
+    rows += [(100 + i, f"{'_'.join(rng.choices(parts, k=6))}_{rng.randint(1, 9)}") for i in range(100)]
+    rows += [(300 + i, "".join(rng.choices(alphabet, k=40))) for i in range(200)]
+    found = {r.doc_id for r in secrets.find_secrets(frame(spark, rows)).filter("size(random) > 0").select("doc_id").collect()}
+    keys, words = sum(i >= 300 for i in found), sum(i < 300 for i in found)
+    assert keys >= 160 and words <= 0.1 * (keys + words)
+
+
 # --- decontamination --------------------------------------------------------------------------------
 
 
