@@ -11,7 +11,10 @@ unlabelled to positive mass above a threshold of a positive-against-unlabelled s
 
 Defined cases: null and empty texts have the features of an empty text and get a score like others;
 labels of null are ignored; without any positive every score is the prior 0.5; repeated rows and null
-ids are scored (ids only decide folds and labels; null ids are in no fold's training).
+ids are scored (ids only decide folds and labels; null ids are in no fold's training). Very long texts
+count whole, a slice of texts being held at a time; texts with equal features tie at equal scores.
+Hashed shares of character trigrams and word pairs as further features were tried and made held-out
+labels worse, so they are left out (figures in the README).
 """
 
 from __future__ import annotations

@@ -3,6 +3,8 @@
 import hashlib
 
 import corpus_pipeline
+from pyspark.sql import functions as F
+
 from corpusgraph.llm import bpe, language
 from corpusgraph.llm.common import materialize
 
@@ -35,6 +37,27 @@ def test_stages_and_run(spark, sf):
     assert {r.doc_id: (r.n_tokens, r.decoded_sha256) for r in corpus_pipeline.run(spark, sf).collect()} == want
 
 
+def test_edges(spark, sf, tmp_path):
+    """Null, empty, long and repeated texts, repeated and null ids and clashing columns go through every stage."""
+    text = "the same line of words stands here\n" + " ".join(r.text for r in spark.read.parquet(f"{sf}/documents.parquet").filter("lang = 'en'").limit(5).collect())
+    own = spark.read.parquet(f"{sf}/documents.parquet").filter("doc_id < 60")
+    rows = [(1000, None), (1001, ""), (1002, text), (1002, text), (1003, text + " and more"), (None, text), (1004, text * 30), (1005, "\n" * 50), (1006, text)]
+    edge = spark.createDataFrame([(i, t, None, "edge", None) for i, t in rows], own.schema.simpleString().removeprefix("struct<").removesuffix(">").replace(":", " "))
+    clash = {c: F.lit(c) for c in ("_kept", "_gone", "_lines", "_dropped", "_id", "id", "key", "digest", "score", "component_id", "kept", "ids")}
+    own.union(edge).withColumns(clash).write.parquet(str(tmp_path / "documents.parquet"))
+    spark.read.parquet(f"{sf}/benchmark.parquet").withColumns(clash).write.parquet(str(tmp_path / "benchmark.parquet"))
+    docs = spark.read.parquet(str(tmp_path / "documents.parquet"))
+    got = [r.doc_id for r in corpus_pipeline.run(spark, str(tmp_path)).collect()]
+    assert 1000 not in got and 1001 not in got and 1005 not in got  # no language
+    assert got.count(1002) == 2 and got.count(None) == 1 and 1004 in got  # rows that repeat an id are one document; without an id a row passes
+    now = docs
+    for k, (_, stage) in enumerate(corpus_pipeline.STAGES[:-1]):
+        now = materialize(stage(spark, now, str(tmp_path)))
+        assert now.columns == docs.columns, k
+        if k == 1:  # each line stays in its first document only
+            assert [r.text for r in now.filter("doc_id = 1006").collect()] == [""]
+
+
 def test_empty(spark, sf, tmp_path):
     for name in ("documents", "benchmark"):
         spark.read.parquet(f"{sf}/{name}.parquet").limit(0).write.parquet(str(tmp_path / f"{name}.parquet"))

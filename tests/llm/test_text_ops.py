@@ -324,6 +324,52 @@ def test_quality_edges(spark):
     assert quality.score_quality(frame(spark, EDGE).limit(0), labels, F.lit(True)).count() == 0
 
 
+def test_quality_brute_force(spark):
+    """Risk, gradient, Hessian, prior and the fitted minimum against plain loops over a small fold."""
+    rng = np.random.default_rng(3)
+    positive = rng.random(400) < 0.15
+    hidden = rng.random(400) < 0.3  # unlabelled rows that are good as well
+    x = rng.normal(size=(400, quality.N_FEATURES)) + 1.5 * (positive | hidden)[:, None] * (np.arange(quality.N_FEATURES) < 3)
+    rows = spark.createDataFrame([(v.tolist(), bool(p)) for v, p in zip(x, positive)], "x array<double>, positive boolean").repartition(3)
+    z = np.column_stack([np.ones(len(x)), x])
+    d, n_p, n_u = z.shape[1], int(positive.sum()), len(x)
+    model = quality.Model(np.zeros(d), np.ones(d), rng.normal(size=d) * 0.3, 0.4)
+
+    def sums(w):
+        g = [sum(a * b for a, b in zip(row, w)) for row in z.tolist()]
+        log1p = lambda t: max(t, 0) + math.log1p(math.exp(-abs(t)))
+        return sum(map(log1p, g)), sum(log1p(t) for t, p in zip(g, positive) if p), sum(log1p(-t) for t, p in zip(g, positive) if p)
+
+    got = quality._total(rows, quality._risk(model))
+    assert got[:3] == pytest.approx(sums(model.weights))
+    for k in (0, 1, 7):  # the gradient and a row of the Hessian by differences
+        step = np.eye(d)[k] * 1e-5
+        up, down = sums(model.weights + step)[0], sums(model.weights - step)[0]
+        assert got[3 + k] == pytest.approx((up - down) / 2e-5, rel=1e-4, abs=1e-4)
+        side = [quality._risk(quality.Model(model.mean, model.scale, model.weights + t * step, 0.4))(z, positive)[3 : 3 + d] for t in (1, -1)]
+        assert np.allclose(got[3 + d :].reshape(d, d)[k], (side[0] - side[1]) / 2e-5, rtol=1e-4, atol=1e-4)
+
+    def risk(w, prior):
+        u, p_bad, p_good = sums(w)
+        return prior * p_good / n_p + max(0.0, u / n_u - prior * p_bad / n_p) + quality.RIDGE / 2 * sum(t * t for t in w), u / n_u - prior * p_bad / n_p
+
+    prior = quality._prior(rows, model, n_p, n_u)
+    scores = z @ model.weights
+    best = (math.inf, None)
+    for edge in np.linspace(-20, 20, quality.BINS + 1)[1:-1][::-1]:
+        u, p = (scores > edge).mean(), (scores[positive] > edge).mean()
+        if p >= 0.2:
+            best = min(best, ((u + 2 * math.sqrt(p * (1 - p) / n_p + u * (1 - u) / n_u)) / p, u / p))
+    assert prior == pytest.approx(min(0.999, max(n_p / n_u, best[1])), rel=0.02)
+    fitted = quality._fit(rows, np.zeros(d), np.ones(d), z[positive].mean(axis=0), n_p, n_u, 0.4)
+    least, negative = risk(fitted.weights, 0.4)
+    assert negative >= 0 and least < risk(np.zeros(d), 0.4)[0]
+    plain = quality._fit(rows, np.zeros(d), np.ones(d), z[positive].mean(axis=0), n_p, n_u, 0)  # without the bound
+    least = risk(plain.weights, n_p / n_u)[0]
+    for _ in range(30):  # no step nearby is better by more than the stopping rule allows
+        assert risk(plain.weights + rng.normal(size=d) * 0.05, n_p / n_u)[0] > least - 2e-4
+
+
 # --- secrets ----------------------------------------------------------------------------------------
 
 
