@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from corpusgraph.llm import bpe, decontaminate, language, line_dedup, minhash
-from corpusgraph.llm.common import materialize, read
+from corpusgraph.llm.common import materialize, read, unused
 
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -20,7 +20,8 @@ def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 def dedup_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Repeated lines stay in the first document that holds them; text and n_chars follow."""
     found = line_dedup.drop_repeated_lines(docs)
-    text = F.when(F.col("text").isNotNull(), F.decode("_kept", "UTF-8"))
+    kept = found.columns[-3]
+    text = F.when(F.col("text").isNotNull(), F.decode(kept, "UTF-8"))
     found = found.withColumn("text", text)
     if "n_chars" in docs.columns:
         found = found.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
@@ -29,8 +30,9 @@ def dedup_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def dedup_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near copies stays, the one with the smallest id."""
-    found = minhash.near_duplicates(docs)
-    return docs.join(found.filter("not kept").select(F.col("doc_id").alias("_gone")).distinct(), F.col("doc_id") == F.col("_gone"), "left_anti")
+    gone = unused(docs, "_gone")
+    found = minhash.near_duplicates(docs).filter("not kept").select(F.col("doc_id").alias(gone)).distinct()
+    return docs.join(found, F.col("doc_id") == F.col(gone), "left_anti")
 
 
 def drop_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
