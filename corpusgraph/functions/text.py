@@ -29,6 +29,9 @@ REWRITES = [
     (r"(?i)summarize (.+)", "$1"),
 ]
 
+# Names of months
+MONTHS = "january february march april may june july august september october november december".split()
+
 # Signal words of each intent and their weight
 INTENT_SIGNALS = {
     "emotional": (2, ["feel", "feeling", "tired", "frustrated", "happy", "sad", "angry", "anxious", "stressed", "burned", "burnout", "overwhelmed", "excited", "hopeful", "lost", "stuck"]),
@@ -43,6 +46,17 @@ def words(text: Column) -> Column:
     return F.filter(F.split(F.lower(text), "[^a-z0-9]+"), lambda w: w != "")
 
 
+def running_sums(sizes: Column, block: int = 256) -> Column:
+    """Sums of an array up to and including each element: within blocks first, then over the blocks."""
+    zero = F.lit(0).cast("long")
+    last = lambda a: F.coalesce(F.get(a, F.size(a) - 1), zero)
+    within = lambda part: F.aggregate(part, F.array().cast("array<bigint>"), lambda a, y: F.concat(a, F.array(last(a) + y)))
+    blocks = F.transform(F.sequence(F.lit(0), F.greatest(F.lit(0), F.floor((F.size(sizes) - 1) / block).cast("int"))), lambda k: within(F.slice(sizes, k * block + 1, F.lit(block))))
+    start = F.struct(zero.alias("at"), F.array().cast("array<array<bigint>>").alias("out"))
+    step = lambda a, b: F.struct((a["at"] + last(b)).alias("at"), F.concat(a["out"], F.array(F.transform(b, lambda x: x + a["at"]))).alias("out"))
+    return F.aggregate(blocks, start, step, lambda a: F.flatten(a["out"]))
+
+
 def fts_tokens(text: Column) -> Column:
     """Lower-case words after everything but letters, digits and white space became blanks."""
     plain = F.trim(F.regexp_replace(F.regexp_replace(text, r"[^a-zA-Z0-9\s]", " "), r"\s+", " "))

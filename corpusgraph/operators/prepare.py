@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -110,23 +110,21 @@ def detect_type(text: Column, path: Column) -> Column:
     )
 
 
-def split_molecules(df: DataFrame, key: str = "doc_id", text: str = "text", kind: str = "prose") -> DataFrame:
-    """(key, mol_id, seq, content, start_byte, end_byte): sentences of prose, or non-empty lines of data.
+def split_molecules(df: DataFrame, key: str = "doc_id", text: str = "text", kind: str = "prose", keep: Iterable[str] = ()) -> DataFrame:
+    """(key, *keep, mol_id, seq, content, start_byte, end_byte): sentences of prose, or non-empty lines of data.
 
     A sentence ends at . ! or ? before white space and an upper-case ASCII letter. Byte ranges are exact:
-    the slice of the UTF-8 text is the content. Control characters 1 and 2 must not occur in the text.
+    the slice of the UTF-8 text is the content. Texts are cut in place, without a shuffle.
     """
-    pattern = r"([.!?])(\s+)([A-Z])" if kind == "prose" else r"()(\n+)([^\n])"
-    marked = F.regexp_replace(text, pattern, "$1\u0001$2\u0002$3")
-    pieces = df.select(key, F.posexplode(F.split(marked, "\u0001")).alias("seq", "piece"))
-    cut = F.instr("piece", "\u0002")
-    pieces = pieces.select(key, "seq", F.expr(f"substring(piece, 1, {'instr(piece, chr(2))'} - 1)").alias("gap"), F.when(cut > 0, F.expr("substring(piece, instr(piece, chr(2)) + 1)")).otherwise(F.col("piece")).alias("content"))
-    pieces = pieces.withColumn("gap", F.when(F.col("seq") == 0, "").otherwise(F.col("gap")))
-    w = Window.partitionBy(key).orderBy("seq").rowsBetween(Window.unboundedPreceding, 0)
-    end = F.sum(F.octet_length("gap") + F.octet_length("content")).over(w)
-    out = pieces.withColumn("end_byte", end.cast("long")).withColumn("start_byte", (F.col("end_byte") - F.octet_length("content")).cast("long"))
-    out = out.filter(F.col("content").rlike(r"\S"))
-    return out.select(key, F.concat_ws(":", F.col(key).cast("string"), F.col("seq").cast("string")).alias("mol_id"), F.col("seq").cast("long").alias("seq"), "content", "start_byte", "end_byte")
+    border = r"(?<=[.!?])(?=\s+[A-Z])" if kind == "prose" else r"(?<!\n)(?=\n+[^\n])"
+    rows = df.select(key, *keep, F.split(text, border, -1).alias("piece"))
+    rows = rows.withColumn("end_byte", T.running_sums(F.transform("piece", lambda p: F.octet_length(p).cast("long"))))
+    rows = rows.select(key, *keep, F.posexplode(F.arrays_zip("piece", "end_byte")).alias("seq", "x")).select(key, *keep, F.col("seq").cast("long").alias("seq"), "x.piece", "x.end_byte")
+    stripped = F.regexp_replace("piece", r"^\s+" if kind == "prose" else "^\n+", "")
+    content = F.when(F.col("seq") == 0, F.col("piece")).otherwise(stripped) if kind == "prose" else stripped
+    out = rows.withColumn("content", content).filter(F.col("content").rlike(r"\S"))
+    start = (F.col("end_byte") - F.octet_length("content")).cast("long").alias("start_byte")
+    return out.select(key, *keep, F.concat_ws(":", F.col(key).cast("string"), F.col("seq").cast("string")).alias("mol_id"), "seq", "content", start, "end_byte")
 
 
 def split_code(df: DataFrame, key: str = "doc_id", text: str = "text", most_bytes: int = 1024) -> DataFrame:
@@ -191,21 +189,28 @@ def split_semantic(df: DataFrame, key: str = "doc_id", text: str = "text", most:
 def mine_keywords(df: DataFrame, text: str = "text", least: int = 3, most: int = 200) -> DataFrame:
     """(keyword, n): the most frequent words of 3 letters or more and pairs of neighbours, of the whole corpus."""
     fit = lambda c: (F.length(c) >= 3) & ~c.isin(T.STOP_WORDS)
-    tokens = df.select(T.words(F.col(text)).alias("w"))
-    single = tokens.select(F.explode("w").alias("keyword")).filter(fit(F.col("keyword")) & ~F.col("keyword").rlike("^[0-9]+$"))
-    single = single.groupBy("keyword").agg(F.count("*").alias("n")).filter(F.col("n") >= least).orderBy(F.col("n").desc(), "keyword").limit(most)
-    pairs = tokens.select(F.explode(F.arrays_zip(F.slice("w", 1, F.greatest(F.size("w") - 1, F.lit(0))).alias("a"), F.slice("w", 2, F.greatest(F.size("w"), F.lit(1))).alias("b"))).alias("p")).select("p.a", "p.b")
-    pairs = pairs.filter(fit(F.col("a")) & fit(F.col("b"))).groupBy(F.concat_ws("-", "a", "b").alias("keyword")).agg(F.count("*").alias("n"))
-    pairs = pairs.filter("n >= 2").orderBy(F.col("n").desc(), "keyword").limit(most // 2)
-    return single.unionByName(pairs)
-
-
-def tag_by_keywords(molecules: DataFrame, keywords: DataFrame, key: str = "mol_id", content: str = "content") -> DataFrame:
-    """(key, tag): single-word keywords by equality with tokens, and years 1900 to 2099 named in the text."""
-    tokens = molecules.select(key, F.explode(F.array_distinct(T.words(F.col(content)))).alias("keyword"))
-    words = tokens.join(keywords.select("keyword").distinct(), "keyword").select(key, F.concat(F.lit("#"), "keyword").alias("tag"))
-    years = molecules.select(key, F.explode(F.array_distinct(F.regexp_extract_all(content, F.lit(r"\b((?:19|20)[0-9]{2})\b"), F.lit(1)))).alias("y"))
-    return words.unionByName(years.select(key, F.concat(F.lit("#"), "y").alias("tag")))
+    a, b = F.col("p.w"), F.col("p.after")
+    rows = df.select(T.words(F.col(text)).alias("w")).select(F.explode(F.arrays_zip("w", F.slice("w", F.lit(2), F.greatest(F.size("w"), F.lit(1))).alias("after"))).alias("p"))
+    keyword = F.explode(F.array(F.when(fit(a) & ~a.rlike("^[0-9]+$"), a), F.when(fit(a) & fit(b), F.concat(a, F.lit("-"), b))))
+    counted = rows.select(keyword.alias("keyword")).filter("keyword is not null").groupBy("keyword").agg(F.count("*").alias("n"))
+    pair = F.contains(F.col("keyword"), F.lit("-"))
+    ranked = counted.filter((F.col("n") >= least) | pair & (F.col("n") >= 2)).withColumn("pair", pair)
+    ranked = ranked.withColumn("k", F.row_number().over(Window.partitionBy("pair").orderBy(F.col("n").desc(), "keyword")))
+    return ranked.filter(F.col("k") <= most).filter(~F.col("pair") | (F.col("k") <= most // 2)).select("keyword", "n")
+
+
+def tag_by_keywords(molecules: DataFrame, keywords: DataFrame, key: str = "mol_id", content: str = "content", keep: Iterable[str] = ()) -> DataFrame:
+    """(key, *keep, tag): keywords by equality with words, or pairs `a-b` with neighbouring words; years 1900 to 2099; months."""
+    w = F.col("w")
+    n = F.greatest(F.size(w) - 1, F.lit(0))
+    pairs = F.zip_with(F.slice(w, F.lit(1), n), F.slice(w, F.lit(2), n), lambda a, b: F.concat(a, F.lit("-"), b))
+    rows = molecules.select(key, *keep, content, T.words(F.col(content)).alias("w"))
+    tokens = rows.select(key, *keep, F.explode(F.array_distinct(F.concat(w, pairs))).alias("keyword"))
+    words = tokens.join(keywords.select("keyword").distinct(), "keyword").select(key, *keep, F.concat(F.lit("#"), "keyword").alias("tag"))
+    years = F.array_distinct(F.regexp_extract_all(content, F.lit(r"\b((?:19|20)[0-9]{2})\b"), F.lit(1)))
+    months = F.transform(F.array_intersect(w, F.array(*[F.lit(m) for m in T.MONTHS])), lambda m: F.initcap(m))
+    times = rows.select(key, *keep, F.explode(F.concat(years, months)).alias("time"))
+    return words.unionByName(times.select(key, *keep, F.concat(F.lit("#"), "time").alias("tag")))
 
 
 def scan_labels(molecules: DataFrame, key: str = "mol_id", content: str = "content") -> DataFrame:
@@ -215,8 +220,12 @@ def scan_labels(molecules: DataFrame, key: str = "mol_id", content: str = "conte
 
 
 def build_tag_tables(molecules: DataFrame, tagged: DataFrame, bucket: str = "bucket") -> dict[str, DataFrame]:
-    """labels, tags, edges and positions. molecules: mol_id, compound_id, bucket, start_byte, end_byte; tagged: mol_id, tag."""
-    joined = tagged.join(molecules.select("mol_id", "compound_id", bucket, "start_byte", "end_byte"), "mol_id")
+    """labels, tags, edges and positions. molecules: mol_id, compound_id, bucket, start_byte, end_byte; tagged: mol_id, tag.
+
+    If tagged has the columns of molecules too, they need not be joined again.
+    """
+    columns = ["compound_id", bucket, "start_byte", "end_byte"]
+    joined = tagged if set(columns) <= set(tagged.columns) else tagged.join(molecules.select("mol_id", *columns), "mol_id")
     labels = tagged.select("tag").distinct().select(F.concat(F.lit("atom_"), T.short_hash(F.col("tag"))).alias("label_id"), "tag")
     tags = joined.select(F.col("mol_id").alias("node_id"), "tag", F.col(bucket).alias("bucket")).distinct()
     edges = joined.select(F.col("compound_id").alias("source_id"), F.concat(F.lit("atom_"), T.short_hash(F.col("tag"))).alias("target_id")).distinct().withColumns({"relation": F.lit("has_tag"), "weight": F.lit(1.0)})
@@ -272,7 +281,7 @@ def entity_atoms(df: DataFrame, key: str = "doc_id", text: str = "text") -> Data
 def semantic_categories(df: DataFrame, rules: DataFrame, key: str = "doc_id", text: str = "text", least: int = 1) -> DataFrame:
     """(key, category, hits): categories with triggers in the text. rules: category, trigger (single words)."""
     tokens = df.select(key, F.explode(F.array_distinct(T.words(F.col(text)))).alias("trigger"))
-    return tokens.join(F.broadcast(rules.select("category", F.lower("trigger").alias("trigger")).distinct()), "trigger").groupBy(key, "category").agg(F.count("*").alias("hits")).filter(F.col("hits") >= least)
+    return tokens.join(rules.select("category", F.lower("trigger").alias("trigger")).distinct(), "trigger").groupBy(key, "category").agg(F.count("*").alias("hits")).filter(F.col("hits") >= least)
 
 
 def by_category(df: DataFrame, category: str, tags: str = "tags") -> DataFrame:

@@ -2,10 +2,16 @@
 
 from __future__ import annotations
 
+import bisect
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from ..functions import text as T
+
 # Fixed values: (type, pattern, group, least entropy), in order of priority
 PATTERNS = [
     ("EMAIL", r"[a-zA-Z0-9._%+-]+@[a-zA-Z0-9.-]+\.[a-zA-Z]{2,}", 0, 2.5),
@@ -30,49 +36,77 @@ def shannon_entropy(text: Column) -> Column:
     return F.coalesce(F.aggregate(F.array_distinct(F.split(text, "")), F.lit(0.0), lambda a, c: a - share(c) * F.log2(share(c))), F.lit(0.0))
 
 
-_EMPTY = "array<struct<type:string,priority:int,start:bigint,end:bigint,found:string>>"
+# Kinds whose pattern alone is worth .2 more
+SURE = ("EMAIL", "SSN")
+
+_EMPTY = "array<struct<type:string,priority:int,start:bigint,end:bigint,found:string,sure:boolean>>"
 
 
-def _with_hits(df: DataFrame, patterns, key: str, text: str) -> DataFrame:
-    """(key, hits): all pattern hits of enough entropy of a text as an array of structs, in one pass over the table.
+def _with_hits(df: DataFrame, patterns, key: str, text: str, low_entropy: bool) -> DataFrame:
+    """(key, hits): the pattern hits of a text as an array of structs, by priority and place, in one pass over the table.
 
-    The pieces between matches, by the same pattern, give the positions.
+    The pieces between matches, by the same pattern, give the positions; sums over them are made in blocks.
     """
+    rows = df.select(key, text)
+    has = {i: F.col(text).rlike(p) for i, (_, p, _, _) in enumerate(patterns)}
     columns = {}
     for i, (_, pattern, group, _) in enumerate(patterns):
-        has = F.col(text).rlike(pattern)
-        columns |= {f"p{i}": F.when(has, F.split(text, pattern, -1)), f"m{i}": F.when(has, F.regexp_extract_all(text, F.lit(pattern), F.lit(0))), f"g{i}": F.when(has, F.regexp_extract_all(text, F.lit(pattern), F.lit(group)))}
-    rows = df.select(key, text).withColumns(columns)
-    return rows.select(key, F.concat(*[_hits_of(i, kind, group, least) for i, (kind, _, group, least) in enumerate(patterns)]).alias("hits"))
+        columns |= {f"p{i}": F.when(has[i], F.split(text, pattern, -1)), f"m{i}": F.when(has[i], F.regexp_extract_all(text, F.lit(pattern), F.lit(0)))}
+        if group:
+            columns[f"g{i}"] = F.when(has[i], F.regexp_extract_all(text, F.lit(pattern), F.lit(group)))
+    rows = rows.withColumns(columns).drop(text)
+    return rows.select(key, F.concat(*[_hits_of(i, kind, group, least, low_entropy) for i, (kind, _, group, least) in enumerate(patterns)]).alias("hits"))
 
 
-def _hits_of(i: int, kind: str, group: int, least: float) -> Column:
-    length = lambda array, n: F.aggregate(F.slice(array, F.lit(1), n), F.lit(0), lambda a, x: a + F.length(x))
+def _hits_of(i: int, kind: str, group: int, least: float, low_entropy: bool) -> Column:
+    whole, pieces, found = F.col(f"m{i}"), F.col(f"p{i}"), F.col(f"g{i}" if group else f"m{i}")
+    steps = F.zip_with(F.slice(pieces, F.lit(1), F.size(whole)), whole, lambda a, b: (F.length(a) + F.length(b)).cast("long"))
+    placed = F.zip_with(T.running_sums(steps), F.arrays_zip(whole.alias("w"), found.alias("f")), lambda end, x: F.struct((end - F.length(x["w"])).alias("start"), x["w"].alias("w"), x["f"].alias("f")))
 
-    def hit(whole: Column, n: Column) -> Column:
-        found = F.get(f"g{i}", n)
-        inner = F.greatest(F.instr(whole, found) - 1, F.lit(0)) if group else F.lit(0)
-        start = (length(f"p{i}", n + 1) + length(f"m{i}", n) + inner).cast("long")
-        return F.struct(F.lit(kind).alias("type"), F.lit(i).alias("priority"), start.alias("start"), (start + F.length(found)).alias("end"), found.alias("found"))
+    def hit(x: Column) -> Column:
+        start = x["start"] + (F.greatest(F.instr(x["w"], x["f"]) - 1, F.lit(0)) if group else F.lit(0))
+        sure = shannon_entropy(x["f"]) >= least if least else F.lit(True)
+        return F.struct(F.lit(kind).alias("type"), F.lit(i).alias("priority"), start.alias("start"), (start + F.length(x["f"])).alias("end"), x["f"].alias("found"), sure.alias("sure"))
 
-    found = F.transform(f"m{i}", hit)
-    if least:
-        found = F.filter(found, lambda h: shannon_entropy(h["found"]) >= least)
-    return F.coalesce(found, F.array().cast(_EMPTY))
+    hits = F.transform(placed, hit)
+    return F.coalesce(F.when(F.size(whole) > 0, hits if low_entropy or not least else F.filter(hits, lambda h: h["sure"])), F.array().cast(_EMPTY))
 
 
 def matches(df: DataFrame, patterns=PATTERNS, key: str = "doc_id", text: str = "text") -> DataFrame:
     """(key, type, priority, start, end, found) of all pattern hits; positions in characters."""
-    return _with_hits(df, patterns, key, text).select(key, F.explode("hits").alias("h")).select(key, "h.*")
-
-
-def scan_sensitive(df: DataFrame, patterns=PATTERNS, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """(key, type, start, end, hash, confidence): hits that no hit of higher priority overlaps."""
-    beats = lambda y, x: (y["priority"] < x["priority"]) & (y["start"] < x["end"]) & (x["start"] < y["end"])
-    kept = _with_hits(df, patterns, key, text).select(key, F.filter("hits", lambda x: ~F.exists("hits", lambda y: beats(y, x))).alias("hits"))
-    rows = kept.select(key, F.explode("hits").alias("h")).select(key, "h.*")
-    confidence = F.when(F.col("type").isin("GENERIC_SECRET", "PASSWORD", "PHONE"), 0.7).otherwise(0.9)
-    return rows.select(key, "type", "start", "end", F.substring(F.sha2("found", 256), 1, 16).alias("hash"), confidence.alias("confidence"))
+    return _with_hits(df, patterns, key, text, False).select(key, F.explode("hits").alias("h")).select(key, "h.*").drop("sure")
+
+
+def _apart(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """For each row whether each of its hits, in their order, is clear of all hits taken before it."""
+    for batch in batches:
+        out = []
+        for starts, ends in zip(batch.column("starts").to_pylist(), batch.column("ends").to_pylist()):
+            taken, taken_ends, keep = [], [], []
+            for a, b in zip(starts, ends):
+                k = bisect.bisect_right(taken, a)
+                free = (k == 0 or taken_ends[k - 1] <= a) and (k == len(taken) or taken[k] >= b)
+                keep.append(free)
+                if free:
+                    taken.insert(k, a)
+                    taken_ends.insert(k, b)
+            out.append(keep)
+        yield pa.RecordBatch.from_arrays([*[c for n, c in zip(batch.schema.names, batch.columns) if n not in ("starts", "ends")], pa.array(out, pa.list_(pa.bool_()))], names=[*[n for n in batch.schema.names if n not in ("starts", "ends")], "keep"])
+
+
+def scan_sensitive(df: DataFrame, patterns=PATTERNS, key: str = "doc_id", text: str = "text", low_entropy: bool = False, least_confidence: float = 0.7) -> DataFrame:
+    """(key, type, start, end, hash, confidence): hits in the order of the patterns, then of place, unless one taken before overlaps.
+
+    Confidence is 1, halved below the least entropy (such hits only count with low_entropy), and .2 more for some kinds.
+    Which hits are taken depends on those before, one after the other, so that step runs in Arrow batches over texts with hits.
+    """
+    rows = _with_hits(df, patterns, key, text, low_entropy).filter(F.size("hits") > 0)
+    confidence = lambda h: F.least(F.lit(1.0), F.when(h["sure"], 1.0).otherwise(0.5) + F.when(h["type"].isin(*SURE), 0.2).otherwise(0.0))
+    rows = rows.withColumn("hits", F.filter("hits", lambda h: (F.length(h["found"]) > 0) & (confidence(h) >= least_confidence)))
+    rows = rows.withColumns({"starts": F.transform("hits", lambda h: h["start"]), "ends": F.transform("hits", lambda h: h["end"])})
+    kept = rows.mapInArrow(_apart, f"`{key}` {dict(df.dtypes)[key]}, hits {dict(rows.dtypes)['hits']}, keep array<boolean>")
+    found = kept.select(key, F.explode(F.arrays_zip("hits", "keep")).alias("x")).filter("x.keep").select(key, F.col("x.hits").alias("h"))
+    return found.select(key, "h.type", "h.start", "h.end", F.substring(F.sha2("h.found", 256), 1, 16).alias("hash"), confidence(F.col("h")).alias("confidence"))
 
 
 def sensitive_stats(found: DataFrame) -> DataFrame:

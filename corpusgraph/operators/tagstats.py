@@ -13,7 +13,7 @@ def density_map(tags: DataFrame, sources: DataFrame | None = None, most: int = 1
     """(tag, n, sources, pct): the most used tags with their share among the rows returned. sources: node_id, source."""
     rows = tags.join(sources, "node_id") if sources is not None else tags.withColumn("source", F.col("bucket"))
     top = rows.groupBy("tag").agg(F.count("*").alias("n"), F.count_distinct("source").alias("sources")).orderBy(F.col("n").desc(), "tag").limit(most)
-    return top.crossJoin(F.broadcast(top.agg(F.sum("n").alias("total")))).select("tag", "n", "sources", F.round(100 * F.col("n") / F.col("total"), 2).alias("pct"))  # one row of totals
+    return top.withColumn("pct", F.round(100 * F.col("n") / F.sum("n").over(Window.partitionBy(F.lit(1))), 2))  # over `most` rows
 
 
 def density_by_bucket(tags: DataFrame, most: int = 50) -> DataFrame:
@@ -28,7 +28,7 @@ def tier(n: Column) -> Column:
 def density_terms(terms: DataFrame, molecules: DataFrame, tags: DataFrame) -> DataFrame:
     """(term, molecules, tag_rows, tier, doc_limit) for a table of single-word terms. molecules: mol_id, content."""
     tokens = molecules.select("mol_id", F.explode(F.array_distinct(T.words(F.col("content")))).alias("term"))
-    hits = tokens.join(F.broadcast(terms.select("term").distinct()), "term").groupBy("term").agg(F.count("*").alias("molecules"))
+    hits = tokens.join(terms.select("term").distinct(), "term").groupBy("term").agg(F.count("*").alias("molecules"))
     uses = tags.withColumn("term", F.lower(F.regexp_replace("tag", "^#", ""))).groupBy("term").agg(F.count("*").alias("tag_rows"))
     zero = F.lit(0).cast("long")
     out = terms.select("term").distinct().join(hits, "term", "left").join(uses, "term", "left").select("term", F.coalesce("molecules", zero).alias("molecules"), F.coalesce("tag_rows", zero).alias("tag_rows"))

@@ -31,9 +31,11 @@ singles AS (
   WHERE length(a) >= 3 AND length(b) >= 3 AND NOT list_contains({STOP}, a) AND NOT list_contains({STOP}, b) GROUP BY 1 HAVING count(*) >= 2 ORDER BY n DESC, keyword LIMIT 100
 ), keywords AS (SELECT * FROM singles UNION ALL SELECT * FROM pairs_)"""
 
-TAGGED = f"""{MOLECULES}, {KEYWORDS}, mol_words AS (SELECT DISTINCT mol_id, unnest({WORDS.format('content')}) AS keyword FROM molecules),
+TAGGED = f"""{MOLECULES}, {KEYWORDS}, mol_lists AS (SELECT mol_id, {WORDS.format('content')} AS w FROM molecules), mol_words AS (SELECT DISTINCT mol_id, unnest(w) AS keyword FROM mol_lists),
+mol_pairs AS (SELECT DISTINCT mol_id, a || '-' || b AS keyword FROM (SELECT mol_id, unnest(w[1:len(w) - 1]) AS a, unnest(w[2:len(w)]) AS b FROM mol_lists WHERE len(w) > 1)),
 tagged AS (
-  SELECT mol_id, '#' || keyword AS tag FROM mol_words JOIN (SELECT DISTINCT keyword FROM keywords) USING (keyword)
+  SELECT mol_id, '#' || keyword AS tag FROM (SELECT * FROM mol_words UNION ALL SELECT * FROM mol_pairs) JOIN (SELECT DISTINCT keyword FROM keywords) USING (keyword)
+  UNION ALL SELECT mol_id, '#' || upper(keyword[1]) || keyword[2:] FROM mol_words WHERE keyword IN ({', '.join(f"'{m}'" for m in T.MONTHS)})
   UNION ALL SELECT DISTINCT mol_id, '#' || unnest(regexp_extract_all(content, '\\b((?:19|20)[0-9]{{2}})\\b', 1)) FROM molecules
 )""".replace("\\\\b", "\\b")
 
@@ -42,12 +44,11 @@ TAGS = f"{TAGGED}, tags AS (SELECT DISTINCT mol_id AS node_id, tag, source AS bu
 
 
 def molecules(t: Tables) -> DataFrame:
-    docs = t.documents.select("doc_id", "text", "source")
-    return prepare.split_molecules(docs).join(docs.select("doc_id", F.col("source").alias("bucket")), "doc_id").withColumn("compound_id", F.col("doc_id"))
+    return prepare.split_molecules(t.documents, keep=["source"]).withColumnRenamed("source", "bucket").withColumn("compound_id", F.col("doc_id"))
 
 
 def tagged(t: Tables, mols: DataFrame) -> DataFrame:
-    return prepare.tag_by_keywords(mols, prepare.mine_keywords(t.documents))
+    return prepare.tag_by_keywords(mols, prepare.mine_keywords(t.documents), keep=["compound_id", "bucket", "start_byte", "end_byte"])
 
 
 def tags(t: Tables) -> DataFrame:
@@ -134,10 +135,13 @@ def drop_transient(t: Tables) -> DataFrame:
     return prepare.drop_transient(t.documents).select("doc_id")
 
 
-@query(r"""SELECT doc_id, CASE WHEN length(text) >= 1048576 THEN 'data' WHEN starts_with(ltrim(text, ' ' || chr(9) || chr(10) || chr(13)), '|') THEN 'data'
-  WHEN contains(text, '```') OR contains(text, 'function ') OR contains(text, 'const ') OR contains(text, 'import ') THEN 'code' ELSE 'prose' END AS kind FROM documents""")
+_PATHS = "source || '/' || doc_id || CASE doc_id % 5 WHEN 0 THEN '.json' WHEN 1 THEN '.py' ELSE '.md' END"
+
+
+@query(rf"""SELECT doc_id, CASE WHEN regexp_matches(path, '\.(csv|json|ya?ml)$') THEN 'data' WHEN regexp_matches(path, '\.(ts|js|py|rs|go|cpp|h|c)$') THEN 'code' WHEN length(text) >= 1048576 THEN 'data' WHEN starts_with(ltrim(text, ' ' || chr(9) || chr(10) || chr(13)), '|') THEN 'data'
+  WHEN contains(text, '```') OR contains(text, 'function ') OR contains(text, 'const ') OR contains(text, 'import ') THEN 'code' ELSE 'prose' END AS kind FROM (SELECT *, {_PATHS} AS path FROM documents)""")
 def detect_type(t: Tables) -> DataFrame:
-    return t.documents.select("doc_id", prepare.detect_type(F.col("text"), F.lit("")).alias("kind"))
+    return t.documents.select("doc_id", prepare.detect_type(F.col("text"), F.expr(_PATHS)).alias("kind"))
 
 
 @query(f"WITH {KEYWORDS} SELECT keyword, n FROM keywords")
@@ -150,10 +154,11 @@ def tag_by_keywords(t: Tables) -> DataFrame:
     return tagged(t, molecules(t)).groupBy("tag").agg(F.count("*").alias("n"))
 
 
-@query(r"""SELECT DISTINCT doc_id, tag FROM (SELECT doc_id, unnest(regexp_extract_all(text, '#[A-Za-z][A-Za-z0-9_]{1,29}')) AS tag FROM documents)
+@query(r"""SELECT DISTINCT doc_id, tag FROM (SELECT doc_id, unnest(regexp_extract_all(text || ' #' || lang || '_text #' || source || ' #abc123 #_x', '#[A-Za-z][A-Za-z0-9_]{1,29}')) AS tag FROM documents)
   WHERE NOT (regexp_matches(tag, '^#[0-9a-fA-F]{3,8}$') OR length(tag) > 30)""")
 def scan_labels(t: Tables) -> DataFrame:
-    return prepare.scan_labels(t.documents, "doc_id", "text")
+    labelled = F.concat("text", F.lit(" #"), "lang", F.lit("_text #"), "source", F.lit(" #abc123 #_x"))  # the texts have none of their own
+    return prepare.scan_labels(t.documents.withColumn("text", labelled), "doc_id", "text")
 
 
 @query(f"WITH {TAGS} SELECT node_id, tag, bucket FROM tags")
