@@ -43,7 +43,7 @@ INTENT_SIGNALS = {
 
 def words(text: Column) -> Column:
     """Lower-case runs of ASCII letters and digits."""
-    return F.filter(F.split(F.lower(text), "[^a-z0-9]+"), lambda w: w != "")
+    return F.array_remove(F.split(F.lower(text), "[^a-z0-9]+"), "")
 
 
 def running_sums(sizes: Column, block: int = 256) -> Column:
@@ -60,7 +60,7 @@ def running_sums(sizes: Column, block: int = 256) -> Column:
 def fts_tokens(text: Column) -> Column:
     """Lower-case words after everything but letters, digits and white space became blanks."""
     plain = F.trim(F.regexp_replace(F.regexp_replace(text, r"[^a-zA-Z0-9\s]", " "), r"\s+", " "))
-    return F.filter(F.split(F.lower(plain), " "), lambda w: w != "")
+    return F.array_remove(F.split(F.lower(plain), " "), "")
 
 
 def content_terms(tokens: Column) -> Column:

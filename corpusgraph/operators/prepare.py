@@ -189,10 +189,11 @@ def split_semantic(df: DataFrame, key: str = "doc_id", text: str = "text", most:
 def mine_keywords(df: DataFrame, text: str = "text", least: int = 3, most: int = 200) -> DataFrame:
     """(keyword, n): the most frequent words of 3 letters or more and pairs of neighbours, of the whole corpus."""
     fit = lambda c: (F.length(c) >= 3) & ~c.isin(T.STOP_WORDS)
-    a, b = F.col("p.w"), F.col("p.after")
-    rows = df.select(T.words(F.col(text)).alias("w")).select(F.explode(F.arrays_zip("w", F.slice("w", F.lit(2), F.greatest(F.size("w"), F.lit(1))).alias("after"))).alias("p"))
-    keyword = F.explode(F.array(F.when(fit(a) & ~a.rlike("^[0-9]+$"), a), F.when(fit(a) & fit(b), F.concat(a, F.lit("-"), b))))
-    counted = rows.select(keyword.alias("keyword")).filter("keyword is not null").groupBy("keyword").agg(F.count("*").alias("n"))
+    rows = df.select(T.words(F.col(text)).alias("w")).select(F.explode(F.arrays_zip("w", F.slice("w", F.lit(2), F.greatest(F.size("w"), F.lit(1))).alias("after"))).alias("p")).select("p.*")
+    rows = rows.filter(fit(F.col("w"))).withColumn("after", F.when(fit(F.col("after")), F.col("after")))
+    both = rows.groupBy("w", "after").agg(F.count("*").alias("n"))  # words are counted from their pairs
+    keyword = F.explode(F.array(F.when(~F.col("w").rlike("^[0-9]+$"), F.col("w")), F.concat("w", F.lit("-"), "after")))
+    counted = both.select(keyword.alias("keyword"), "n").filter("keyword is not null").groupBy("keyword").agg(F.sum("n").alias("n"))
     pair = F.contains(F.col("keyword"), F.lit("-"))
     ranked = counted.filter((F.col("n") >= least) | pair & (F.col("n") >= 2)).withColumn("pair", pair)
     ranked = ranked.withColumn("k", F.row_number().over(Window.partitionBy("pair").orderBy(F.col("n").desc(), "keyword")))
@@ -201,14 +202,12 @@ def mine_keywords(df: DataFrame, text: str = "text", least: int = 3, most: int =
 
 def tag_by_keywords(molecules: DataFrame, keywords: DataFrame, key: str = "mol_id", content: str = "content", keep: Iterable[str] = ()) -> DataFrame:
     """(key, *keep, tag): keywords by equality with words, or pairs `a-b` with neighbouring words; years 1900 to 2099; months."""
-    w = F.col("w")
-    n = F.greatest(F.size(w) - 1, F.lit(0))
-    pairs = F.zip_with(F.slice(w, F.lit(1), n), F.slice(w, F.lit(2), n), lambda a, b: F.concat(a, F.lit("-"), b))
     rows = molecules.select(key, *keep, content, T.words(F.col(content)).alias("w"))
-    tokens = rows.select(key, *keep, F.explode(F.array_distinct(F.concat(w, pairs))).alias("keyword"))
-    words = tokens.join(keywords.select("keyword").distinct(), "keyword").select(key, *keep, F.concat(F.lit("#"), "keyword").alias("tag"))
+    neighbours = F.arrays_zip("w", F.slice("w", F.lit(2), F.greatest(F.size("w"), F.lit(1))).alias("after"))
+    tokens = rows.select(key, *keep, F.explode(neighbours).alias("p")).select(key, *keep, F.explode(F.array("p.w", F.concat("p.w", F.lit("-"), "p.after"))).alias("keyword"))
+    words = tokens.join(keywords.select("keyword").distinct(), "keyword").select(key, *keep, F.concat(F.lit("#"), "keyword").alias("tag")).distinct()
     years = F.array_distinct(F.regexp_extract_all(content, F.lit(r"\b((?:19|20)[0-9]{2})\b"), F.lit(1)))
-    months = F.transform(F.array_intersect(w, F.array(*[F.lit(m) for m in T.MONTHS])), lambda m: F.initcap(m))
+    months = F.transform(F.array_intersect("w", F.array(*[F.lit(m) for m in T.MONTHS])), lambda m: F.initcap(m))
     times = rows.select(key, *keep, F.explode(F.concat(years, months)).alias("time"))
     return words.unionByName(times.select(key, *keep, F.concat(F.lit("#"), "time").alias("tag")))
 

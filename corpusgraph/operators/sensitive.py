@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import bisect
 from collections.abc import Iterator
+from functools import reduce
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
@@ -36,6 +37,12 @@ def shannon_entropy(text: Column) -> Column:
     return F.coalesce(F.aggregate(F.array_distinct(F.split(text, "")), F.lit(0.0), lambda a, c: a - share(c) * F.log2(share(c))), F.lit(0.0))
 
 
+#: For each kind what every text with a match holds: any of some strings in lower case, or a plainer pattern.
+HINTS = {
+    "EMAIL": ["@"], "PHONE": r"[0-9]{3}\)?[-.\s]?[0-9]{3}[-.\s]?[0-9]{4}", "CREDIT_CARD": "[0-9]{13}", "API_KEY": ["api", "secret"], "PASSWORD": ["pass", "pwd"], "AWS_KEY": ["akia"], "GITHUB_TOKEN": ["ghp_", "gho_", "ghu_", "ghs_", "ghr_"],
+    "SSN": "[0-9]-[0-9]", "IP_ADDRESS": "[0-9][.][0-9]", "PRIVATE_KEY": ["-----begin"], "BEARER_TOKEN": ["bearer"], "GENERIC_SECRET": ["secret", "token", "auth", "credential"],
+}
+
 # Kinds whose pattern alone is worth .2 more
 SURE = ("EMAIL", "SSN")
 
@@ -47,14 +54,21 @@ def _with_hits(df: DataFrame, patterns, key: str, text: str, low_entropy: bool)
 
     The pieces between matches, by the same pattern, give the positions; sums over them are made in blocks.
     """
-    rows = df.select(key, text)
-    has = {i: F.col(text).rlike(p) for i, (_, p, _, _) in enumerate(patterns)}
+    rows = df.select(key, text, F.lower(text).alias("low"))
+
+    def likely(kind: str, pattern: str) -> Column:
+        hint = HINTS.get(kind) if any(kind == k and pattern == p for k, p, *_ in PATTERNS) else None
+        if hint is None:
+            return F.lit(True)
+        return F.col(text).rlike(hint) if isinstance(hint, str) else reduce(Column.__or__, [F.col("low").contains(h) for h in hint])
+
+    has = {i: likely(kind, pattern) & F.col(text).rlike(pattern) for i, (kind, pattern, *_) in enumerate(patterns)}
     columns = {}
     for i, (_, pattern, group, _) in enumerate(patterns):
         columns |= {f"p{i}": F.when(has[i], F.split(text, pattern, -1)), f"m{i}": F.when(has[i], F.regexp_extract_all(text, F.lit(pattern), F.lit(0)))}
         if group:
             columns[f"g{i}"] = F.when(has[i], F.regexp_extract_all(text, F.lit(pattern), F.lit(group)))
-    rows = rows.withColumns(columns).drop(text)
+    rows = rows.withColumns(columns).drop(text, "low")
     return rows.select(key, F.concat(*[_hits_of(i, kind, group, least, low_entropy) for i, (kind, _, group, least) in enumerate(patterns)]).alias("hits"))
 
 

@@ -121,7 +121,20 @@ def redact(t: Tables) -> DataFrame:
     return t.documents.select("doc_id", prepare.redact(F.col("text")).alias("text"))
 
 
-@query()
+def _sanitized(x: str) -> str:
+    """The fixed replacements, one after the other."""
+    x = rf"replace(replace(regexp_replace({x}, '^\x{{FEFF}}|\x00|\x{{FFFD}}', '', 'g'), '\r\n', chr(10)), chr(13) || chr(10), chr(10))"
+    for verb in ("Processing", "Loading", "Indexing", "Analyzing"):
+        x = rf"regexp_replace({x}, '(?:^|\s|\.\.\.\s*){verb} ''[^'']+''\.\.\.', chr(10), 'g')"
+    for pattern, to in [
+        (r"(?m)^\d{4}-\d{2}-\d{2} \d{2}:\d{2}:\d{2}(?:\.\d{3})?\s*(?:AM|PM)?\s*[-:>]", ""), (r"\[\d{4}-\d{2}-\d{2}.*?\]", ""), (prepare.EMAIL, "[EMAIL_REDACTED]"), (prepare.IPV4, "[IP_REDACTED]"), (prepare.API_KEY, "sk-[REDACTED]"),
+        (r"<\|(?:user|assistant|system)\|>", ""), (r"score:\s*\d+(?:\.\d+)?|(?:start|end)_byte:\s*\d+\s*,?|is_inflated:\s*(?:true|false)\s*,?|virtual_mem_[a-f0-9_]+", ""),
+    ]:
+        x = f"regexp_replace({x}, '{pattern}', '{to}', 'g')"
+    return rf"regexp_replace(regexp_replace({x}, '\n{{3,}}', chr(10) || chr(10), 'g'), '^\s+|\s+$', '', 'g')"
+
+
+@query(f"SELECT doc_id, {_sanitized('text')} AS text FROM documents")
 def sanitize_documents(t: Tables) -> DataFrame:
     return prepare.sanitize_documents(t.documents.select("doc_id", "text"))
 
@@ -238,7 +251,19 @@ def reassemble(t: Tables) -> DataFrame:
     return distill.reassemble(distill.distill_lines(t.documents))
 
 
-@query()
+def _shortened(x: str, n: int) -> str:
+    p, cut = f"substr({x}, 1, {n})", rf"regexp_extract(substr({x}, 1, {n}), '(?s)^(.*[.!?])', 1)"
+    word = rf"regexp_extract({p}, '(?s)^(.*)\s', 1)"
+    return f"CASE WHEN length({x}) <= {n} THEN {x} ELSE CASE WHEN length({cut}) > {n / 2} THEN {cut} WHEN length({word}) > 0 THEN {word} ELSE {p} END || '...' END"
+
+
+_INLINE = r"""trim(regexp_replace(regexp_replace(regexp_replace(regexp_replace({0}, '"#[A-Za-z0-9_:-]+"', '', 'g'), '##?[A-Za-z0-9_:-]+', '', 'g'), '(?: - )+', ' ', 'g'), ' {{2,}}', ' ', 'g'))"""
+_HEAD = rf"""trim(regexp_replace({_INLINE.format("string_split(clean, chr(10))[1]")}, '^[#*\-\s]+', ''))"""
+
+
+@query(rf"""WITH {LINES}, d AS (SELECT hash, arg_min(content, (doc_id, line_no)) AS content FROM lines GROUP BY hash), c AS (SELECT hash, content, {_INLINE.format('content')} AS clean FROM d)
+  SELECT hash, {_shortened('head', 80)} AS title, {_shortened('clean', 200)} AS summary, clean AS content, array_to_string(list_sort(list_distinct(regexp_extract_all(content, '#[A-Za-z][A-Za-z0-9_]+'))), ',') AS tags
+  FROM (SELECT *, {_HEAD} AS head FROM c) WHERE length(clean) >= 10""")
 def decision_records(t: Tables) -> DataFrame:
     return distill.decision_records(distill.distill_lines(t.documents)).withColumn("tags", F.array_join("tags", ","))
 

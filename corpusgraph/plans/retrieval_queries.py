@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text as T
 from ..operators import dedup, mining, prepare, retrieve
-from .corpus_queries import STOP, TAGS, WORDS, molecules, tagged, tags
+from .corpus_queries import KEYWORDS, MOLECULES, STOP, TAGS, WORDS, molecules, tagged, tags
 from .registry import Tables, query
 
 NOW = "2024-06-01 00:00:00"
@@ -26,6 +26,17 @@ INDEX = f"""index_ AS (SELECT token, node_id, count(*) AS tf, any_value(size) AS
   scored AS (SELECT query_id, node_id, count(*) AS hits, round(10 * sum(tf / size * idf), 6) AS score FROM terms JOIN idf USING (token) JOIN index_ USING (token) GROUP BY ALL)"""
 
 
+#: tagged(mol_id, tag), given MOLECULES
+KEYWORDED = TAGS[len(MOLECULES) + 2 : TAGS.index(", tags AS (")].replace("pairs_", "pairs__")
+INLINE = r"""trim(regexp_replace(regexp_replace(regexp_replace(regexp_replace({0}, '"#[A-Za-z0-9_:-]+"', '', 'g'), '##?[A-Za-z0-9_:-]+', '', 'g'), '(?: - )+', ' ', 'g'), ' {{2,}}', ' ', 'g'))"""
+ARTIFACTS = r"""trim(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(content, '```[a-zA-Z]*', '', 'g'), '(?m)^\s*//.*$', '', 'g'), '\{[^{}]*"original"[^{}]*\}', '', 'g'), '(?m)^\[[^\]]*\]\s*', '', 'g'), 'token_count=\d+', '', 'g'))"""
+
+#: Sentences found for each item
+HITS = f"""{MOLECULES}, {INDEX.replace('FROM (SELECT doc_id, ' + WORDS.format('text') + ' AS w FROM documents)', 'FROM (SELECT mol_id AS doc_id, ' + WORDS.format('content') + ' AS w FROM molecules)').replace('FROM documents) / count(*)', 'FROM molecules) / count(*)')},
+  hits AS (SELECT query_id, node_id, hits, score, content, source, doc_id AS compound_id, seq, start_byte, end_byte
+    FROM (SELECT * FROM scored QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY score DESC, node_id) <= 20) JOIN molecules ON mol_id = node_id)"""
+
+
 @query(f"SELECT token, count(*) AS n, sum(tf)::BIGINT AS uses FROM (WITH {INDEX} SELECT * FROM index_) GROUP BY token")
 def text_index(t: Tables) -> DataFrame:
     return retrieve.text_index(nodes(t)).groupBy("token").agg(F.count("*").alias("n"), F.sum("tf").alias("uses"))
@@ -69,7 +80,11 @@ def inflate_context(t: Tables) -> DataFrame:
     return retrieve.inflate_context(hits(t).select("query_id", "node_id", "compound_id", "start_byte", "end_byte"), t.documents)
 
 
-@query()
+@query(f"""WITH {HITS}, {KEYWORDED}, own AS (SELECT mol_id AS node_id, list_distinct(list(tag)) AS tags, any_value(source) AS bucket FROM tagged JOIN molecules USING (mol_id) GROUP BY 1),
+  n AS (SELECT mol_id AS node_id, content, doc_id % 1500 AS day, list_append(tags, 'bucket:' || bucket) AS labels FROM molecules JOIN own ON own.node_id = mol_id), h AS (SELECT query_id, node_id, score, content, labels FROM (SELECT query_id, node_id, score FROM hits) JOIN n USING (node_id)),
+  best AS (SELECT * FROM h WHERE query_id IN (SELECT query_id FROM h GROUP BY 1 HAVING 20000 - sum(length(content)) >= 1000) QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY score DESC, node_id) <= 5),
+  l AS (SELECT DISTINCT query_id, unnest(labels) AS label FROM best), m AS (SELECT DISTINCT query_id, node_id, day FROM l JOIN (SELECT node_id, day, unnest(labels) AS label FROM n) USING (label))
+  SELECT query_id, node_id FROM m WHERE (query_id, node_id) NOT IN (SELECT (query_id, node_id) FROM hits) QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY day DESC, node_id) <= 10""")
 def neighbour_context(t: Tables) -> DataFrame:
     own = tags(t).groupBy("node_id").agg(F.array_sort(F.collect_set("tag")).alias("tags"), F.collect_set("bucket").alias("buckets"))
     mols = molecules(t).select(F.col("mol_id").alias("node_id"), "content", F.timestamp_add("DAY", (F.col("doc_id") % 1500).cast("int"), F.lit("2020-01-01").cast("timestamp")).alias("ts")).join(own, "node_id")
@@ -137,23 +152,30 @@ def semantic_search(t: Tables) -> DataFrame:
     return retrieve.semantic_search(questions(t), retrieve.text_index(nodes(t)))
 
 
+_RING = f"""{MOLECULES}, rw AS (SELECT DISTINCT mol_id, w FROM (SELECT mol_id, unnest({WORDS.format('content')}) AS w FROM molecules) WHERE length(w) >= 5 AND NOT list_contains({STOP}, w)),
+  rp AS (SELECT a.w AS a, b.w AS b FROM rw a JOIN rw b ON a.mol_id = b.mol_id AND a.w < b.w GROUP BY ALL HAVING count(*) >= 20), ring AS (SELECT a AS term, b AS synonym FROM rp UNION ALL SELECT b, a FROM rp)"""
+
+
 def _ring(t: Tables) -> DataFrame:
-    words = t.part.select(F.explode(F.split("p_name", " ")).alias("term")).distinct()
-    return words.select("term", F.reverse("term").alias("synonym")).unionByName(t.nation.select(F.lit("the").alias("term"), F.lower("n_name").alias("synonym")))
+    """(term, synonym): words that stand together in 20 sentences or more."""
+    pairs = mining.synonyms_by_cooccurrence(molecules(t), 20)
+    return pairs.select(F.col("a").alias("term"), F.col("b").alias("synonym")).unionByName(pairs.select(F.col("b").alias("term"), F.col("a").alias("synonym")))
 
 
-@query(f"""WITH {INDEX}, c AS (SELECT query_id, unnest(l) AS token, generate_subscripts(l, 1) AS pos FROM (SELECT query_id, CASE WHEN len(list_filter(w, lambda x: NOT list_contains({STOP}, x))) > 0 THEN list_filter(w, lambda x: NOT list_contains({STOP}, x)) ELSE w END AS l FROM q0)),
-  f AS (SELECT query_id, token, min(pos) AS pos FROM c GROUP BY ALL), own AS (SELECT query_id, token, 7000.0 / count(*) OVER (PARTITION BY query_id) AS share FROM (SELECT * FROM f QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY pos) <= 5)),
-  met AS (SELECT query_id, node_id, share FROM own JOIN index_ USING (token))
+@query(f"""WITH {INDEX}, {_RING}, c AS (SELECT query_id, unnest(l) AS token, generate_subscripts(l, 1) AS pos FROM (SELECT query_id, CASE WHEN len(list_filter(w, lambda x: NOT list_contains({STOP}, x))) > 0 THEN list_filter(w, lambda x: NOT list_contains({STOP}, x)) ELSE w END AS l FROM q0)),
+  f AS (SELECT query_id, token, min(pos) AS pos FROM c GROUP BY ALL), own AS (SELECT query_id, token, 7000.0::DOUBLE / count(*) OVER (PARTITION BY query_id) AS share FROM (SELECT * FROM f QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY pos) <= 5)),
+  other AS (SELECT DISTINCT query_id, synonym AS token FROM own JOIN (SELECT * FROM ring QUALIFY row_number() OVER (PARTITION BY term ORDER BY synonym) <= 5) ON term = token WHERE (query_id, synonym) NOT IN (SELECT (query_id, token) FROM own)),
+  met AS (SELECT query_id, node_id, share FROM (SELECT * FROM own UNION ALL SELECT query_id, token, 3000.0::DOUBLE / count(*) OVER (PARTITION BY query_id) FROM other) JOIN index_ USING (token))
   SELECT * FROM (SELECT query_id, node_id, count(*) AS hits, round((max(share) + 0.2 * (sum(share) - max(share))) / 10000, 6)::DOUBLE AS score FROM met GROUP BY query_id, node_id) QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY score DESC, node_id) <= 10""")
 def distributed_search(t: Tables) -> DataFrame:
-    return retrieve.distributed_search(questions(t), retrieve.text_index(nodes(t)), _ring(t).filter("term = 'the'"))
+    return retrieve.distributed_search(questions(t), retrieve.text_index(nodes(t)), _ring(t))
 
 
-@query(f"""WITH {INDEX}, {TAGS.replace('pairs_', 'pairs__')}, e AS (SELECT query_id, tag AS term, 10 AS score, 'tag' AS kind FROM terms JOIN (SELECT DISTINCT tag FROM tags) ON lower(regexp_replace(tag, '^#', '')) = token)
+@query(f"""WITH {INDEX}, {_RING}, {KEYWORDED}, e AS (SELECT query_id, tag AS term, 10 AS score, 'tag' AS kind FROM terms JOIN (SELECT DISTINCT tag FROM tagged) ON lower(regexp_replace(tag, '^#', '')) = token
+    UNION SELECT query_id, synonym, 5, 'synonym' FROM terms JOIN ring ON term = token)
   SELECT * FROM e QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY score DESC, term) <= 10""")
 def expand_queries(t: Tables) -> DataFrame:
-    return retrieve.expand_queries(questions(t), _ring(t).filter("term = 'zzz'"), tags(t))
+    return retrieve.expand_queries(questions(t), _ring(t), tags(t))
 
 
 def synonym_table(t: Tables) -> DataFrame:
@@ -184,12 +206,16 @@ def _package(t: Tables) -> DataFrame:
     return hits(t).join(own, "node_id").withColumn("shared", F.col("hits"))
 
 
-@query()
+PACKAGE = f"""{HITS}, {KEYWORDED}, own AS (SELECT mol_id AS node_id, list_sort(list_distinct(list(tag))) AS tags FROM tagged GROUP BY 1), package AS (SELECT hits.*, tags FROM hits JOIN own USING (node_id))"""
+
+
+@query(f"""WITH {PACKAGE} SELECT query_id, max(score) AS best, count(*) AS nodes, round(avg(score), 6) AS avg_score, count(*) FILTER (WHERE hits >= 3) AS recurring, sum(ceil(length(content) / 4))::BIGINT AS tokens FROM package GROUP BY query_id""")
 def context_package(t: Tables) -> DataFrame:
     return retrieve.context_package(_package(t))[0]
 
 
-@query()
+@query(f"""WITH {PACKAGE}, n AS (SELECT query_id, source, count(*) AS n FROM package GROUP BY ALL), k AS (SELECT query_id, source, tag, count(*) AS k FROM (SELECT query_id, source, unnest(tags) AS tag FROM package) GROUP BY ALL)
+  SELECT query_id, source, tag, k, n FROM k JOIN n USING (query_id, source) WHERE k >= 0.5 * n""")
 def hoisted_tags(t: Tables) -> DataFrame:
     return retrieve.context_package(_package(t))[1]
 
@@ -199,7 +225,8 @@ def package_text(t: Tables) -> DataFrame:
     return retrieve.package_text(hits(t))
 
 
-@query()
+@query(rf"""WITH {HITS}, e AS (SELECT query_id, unnest(regexp_extract_all(content, '[A-Za-z0-9]+')) AS entity FROM hits)
+  SELECT query_id, entity, mentions, mentions < 3 AS gap FROM (SELECT query_id, entity, count(*) AS mentions FROM e WHERE regexp_matches(entity, '^[A-Z][a-z]{{3,}}$') GROUP BY ALL) QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY mentions DESC, entity) <= 20""")
 def result_entities(t: Tables) -> DataFrame:
     return retrieve.result_entities(hits(t))
 
@@ -210,12 +237,15 @@ def year_gaps(t: Tables) -> DataFrame:
     return retrieve.year_gaps(t.orders.select(F.col("o_custkey").alias("query_id"), F.col("o_orderdate").alias("ts")))
 
 
-@query()
+@query(f"""WITH {HITS}, e AS (SELECT *, {INLINE.format('content')} AS evidence FROM hits QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY score DESC, node_id) <= 10),
+  u AS (SELECT query_id, node_id, evidence, sum(ceil(length(evidence) / 4)) OVER (PARTITION BY query_id ORDER BY score DESC, node_id ROWS UNBOUNDED PRECEDING)::BIGINT AS used FROM e) SELECT * FROM u WHERE used <= 1000""")
 def memory_node(t: Tables) -> DataFrame:
     return retrieve.memory_node(hits(t))
 
 
-@query()
+@query(f"""WITH {HITS}, c AS (SELECT query_id, node_id, content, CASE WHEN clean = '' THEN '[REDACTED]' ELSE clean END AS clean FROM (SELECT *, {ARTIFACTS} AS clean FROM hits)),
+  g AS (SELECT *, length(clean) >= 40 AND clean <> '[REDACTED]' AS good FROM c), a AS (SELECT query_id, max(good::INT) AS n_good FROM g GROUP BY 1)
+  SELECT query_id, node_id, CASE WHEN n_good = 1 THEN clean ELSE content END AS content FROM g JOIN a USING (query_id) WHERE good OR n_good = 0""")
 def clean_mode(t: Tables) -> DataFrame:
     return retrieve.clean_mode(hits(t))
 

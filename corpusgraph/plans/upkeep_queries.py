@@ -22,12 +22,28 @@ def sensitive_counts(t: Tables) -> DataFrame:
     return sensitive.matches(t.documents, _PLAIN).groupBy("doc_id", "type").agg(F.count("*").alias("n"))
 
 
-@query()
+def _kind_hits(i: int) -> str:
+    """SQL for the hits of one kind with enough entropy: doc_id, type, s, e, found."""
+    kind, pattern, group, least = sensitive.PATTERNS[i]
+    pattern = pattern.replace("'", "''")
+    inner = "greatest(strpos(m, found) - 1, 0)" if group else "0"
+    enough = f"""WHERE list_sum(list_transform(list_distinct(string_split(found, '')), lambda c: -(list_count(list_filter(string_split(found, ''), lambda x: x = c)) / length(found)) * log2(list_count(list_filter(string_split(found, ''), lambda x: x = c)) / length(found)))) >= {least}""" if least else ""
+    return f"""SELECT doc_id, '{kind}' AS type, place + {inner} AS s, place + {inner} + length(found) AS e, found FROM (
+      SELECT doc_id, m, found, sum(length(piece) + length(m)) OVER (PARTITION BY doc_id ORDER BY k ROWS UNBOUNDED PRECEDING)::BIGINT - length(m) AS place FROM (
+        SELECT doc_id, unnest(ms) AS m, unnest(fs) AS found, unnest(ps[1:len(ms)]) AS piece, generate_subscripts(ms, 1) AS k FROM (
+          SELECT doc_id, regexp_extract_all(text, '{pattern}') AS ms, regexp_extract_all(text, '{pattern}', {group}) AS fs, regexp_split_to_array(text, '{pattern}') AS ps FROM documents WHERE regexp_matches(text, '{pattern}')))) {enough}"""
+
+
+_SENSITIVE = "t0 AS (" + _kind_hits(0) + ")" + "".join(f", t{i} AS (SELECT * FROM t{i - 1} UNION ALL SELECT * FROM ({_kind_hits(i)}) h WHERE NOT EXISTS (SELECT 1 FROM t{i - 1} t WHERE t.doc_id = h.doc_id AND t.s < h.e AND h.s < t.e))" for i in range(1, len(sensitive.PATTERNS)))
+_LAST = f"t{len(sensitive.PATTERNS) - 1}"
+
+
+@query(f"""WITH {_SENSITIVE} SELECT doc_id, type, s AS start, e AS "end", substr(sha256(found), 1, 16) AS hash, 1.0::DOUBLE AS confidence FROM {_LAST}""")
 def scan_sensitive(t: Tables) -> DataFrame:
     return sensitive.scan_sensitive(t.documents)
 
 
-@query()
+@query(f"WITH {_SENSITIVE} SELECT type, count(*) AS n, sum(e - s)::BIGINT AS chars, round(100 * count(*) / (SELECT count(*) FROM {_LAST}), 2) AS share FROM {_LAST} GROUP BY type")
 def sensitive_stats(t: Tables) -> DataFrame:
     return sensitive.sensitive_stats(sensitive.scan_sensitive(t.documents))
 
