@@ -229,7 +229,9 @@ def context_package(results: DataFrame) -> tuple[DataFrame, DataFrame]:
 
     results: query_id, node_id, source, score, shared, content, tags.
     """
-    top = results.groupBy("query_id").agg(F.max("score").alias("best"), F.count("*").alias("nodes"), F.round(F.avg("score"), 6).alias("avg_score"), F.sum((F.col("shared") >= 3).cast("long")).alias("recurring"), F.sum(T.token_count(F.col("content"))).cast("long").alias("tokens"))
+    millionths = F.sum(F.round(F.col("score") * 1e6).cast("long"))  # whole numbers: the mean doesn't depend on the order of partial sums
+    mean = (F.floor((2 * millionths + F.count("*")) / (2 * F.count("*"))) / 1e6).alias("avg_score")
+    top = results.groupBy("query_id").agg(F.max("score").alias("best"), F.count("*").alias("nodes"), mean, F.sum((F.col("shared") >= 3).cast("long")).alias("recurring"), F.sum(T.token_count(F.col("content"))).cast("long").alias("tokens"))
     sizes = results.groupBy("query_id", "source").agg(F.count("*").alias("n"))
     uses = results.select("query_id", "source", F.explode("tags").alias("tag")).groupBy("query_id", "source", "tag").agg(F.count("*").alias("k"))
     return top, uses.join(sizes, ["query_id", "source"]).filter("k >= 0.5 * n").select("query_id", "source", "tag", "k", "n")

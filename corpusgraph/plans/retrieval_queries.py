@@ -209,7 +209,7 @@ def _package(t: Tables) -> DataFrame:
 PACKAGE = f"""{HITS}, {KEYWORDED}, own AS (SELECT mol_id AS node_id, list_sort(list_distinct(list(tag))) AS tags FROM tagged GROUP BY 1), package AS (SELECT hits.*, tags FROM hits JOIN own USING (node_id))"""
 
 
-@query(f"""WITH {PACKAGE} SELECT query_id, max(score) AS best, count(*) AS nodes, round(avg(score), 6) AS avg_score, count(*) FILTER (WHERE hits >= 3) AS recurring, sum(ceil(length(content) / 4))::BIGINT AS tokens FROM package GROUP BY query_id""")
+@query(f"""WITH {PACKAGE} SELECT query_id, max(score) AS best, count(*) AS nodes, floor((2 * sum(round(score * 1e6)::BIGINT)::BIGINT + count(*)) / (2 * count(*))) / 1e6 AS avg_score, count(*) FILTER (WHERE hits >= 3) AS recurring, sum(ceil(length(content) / 4))::BIGINT AS tokens FROM package GROUP BY query_id""")
 def context_package(t: Tables) -> DataFrame:
     return retrieve.context_package(_package(t))[0]
 
