@@ -10,8 +10,10 @@ Minima of windows come from minima of blocks, those of a class from those of the
 Each candidate (document, item) is verified by exact containment of the item's 5-word shingles in the
 document's whole set: 100 * shared >= 75 * the item's count.
 
-The items' sketches go to every task if they are at most BROADCAST_BYTES by count; a larger benchmark
-is searched with the same code in groups of items below that size, one after the other.
+Tasks that read the benchmark sketch its items and write them to the shared folder as files of about
+INDEX_BYTES; the driver holds their paths only. A task that reads documents cuts each slice of them into
+shingles once and seeks it in one file after the other, so documents are read once and a task holds
+LOADED files at most, however large the benchmark is.
 
 Defined cases: null and empty texts hold nothing, and items without words are held by nothing; items
 or documents of fewer than five words have one shingle, the whole sequence; repeated rows and null ids
@@ -21,42 +23,55 @@ are searched like others.
 from __future__ import annotations
 
 from collections.abc import Iterable, Iterator
-from functools import reduce
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import distinct_by_row, hashed_words, mix, read, shingles, slices
+from .common import SLICE_BYTES, distinct_by_row, hashed_words, longs, mix, read, shared_dir, shingles, slices
+from .elias_fano import load, save
 
 WORDS, PERCENT, SAMPLES = 5, 75, 64
-BROADCAST_BYTES = 32 << 20
+INDEX_BYTES, LOADED = 32 << 20, 2
 
 _MULTIPLIERS = mix(np.arange(1, SAMPLES + 1, dtype=np.uint64) + np.uint64(1 << 40)) | np.uint64(1)
 
 
 class Index:
-    """Shingle sets of items by size class, and their MinHash values."""
+    """Shingle sets of some items by size class, and their MinHash values."""
 
-    def __init__(self, ids: list, texts: list[str | None], words: int):
-        w, first = hashed_words(pa.array(texts, pa.string()))
-        rows, hashes = distinct_by_row(*shingles(w, first, words)[:2])
-        n = np.bincount(rows, minlength=len(ids))
-        bounds = np.concatenate([[0], np.cumsum(n)])
-        self.ids, self.words = ids, words
-        self.sets = [hashes[a:b] for a, b in zip(bounds[:-1], bounds[1:])]
+    def __init__(self, arrays: dict[str, np.ndarray]):
+        self.ids, self.no_id, self.hashes, self.bounds = (arrays[k] for k in ("ids", "no_id", "hashes", "bounds"))
         self.classes: dict[int, list[tuple[np.ndarray, np.ndarray]]] = {}
-        members: dict[int, list[int]] = {}
-        for i, k in enumerate(n):
-            if k:
-                members.setdefault(int(np.ceil(np.log2(k))), []).append(i)
-        for c, own in members.items():
-            values = np.array([[_sample(self.sets[i], m).min() for m in _MULTIPLIERS] for i in own], np.uint64)
-            order = np.argsort(values, axis=0, kind="stable")
-            self.classes[c] = [(values[order[:, k], k], np.array(own)[order[:, k]]) for k in range(SAMPLES)]
+        for c in arrays["classes"].tolist():
+            values, items = (arrays[f"{k}{c}"].reshape(SAMPLES, -1) for k in ("values", "items"))
+            self.classes[c] = list(zip(values, items))
         self.marks = {c: [_marks(v) for v, _ in table] for c, table in self.classes.items()}
 
+    @staticmethod
+    def arrays(ids: pa.Array, texts: pa.Array) -> dict[str, np.ndarray]:
+        """What the file of an index holds."""
+        w, first = hashed_words(texts)
+        rows, hashes = distinct_by_row(*shingles(w, first, WORDS)[:2])
+        n = np.bincount(rows, minlength=len(ids))
+        bounds = np.concatenate([[0], np.cumsum(n)])
+        some = np.flatnonzero(n)
+        size_class = np.ceil(np.log2(n[some])).astype(np.int64)
+        out = {"ids": longs(ids), "no_id": ids.is_null().to_numpy(zero_copy_only=False), "hashes": hashes, "bounds": bounds, "classes": np.unique(size_class)}
+        if len(some):
+            values = np.array([np.minimum.reduceat(_sample(hashes, m), bounds[some]) for m in _MULTIPLIERS])
+        for c in out["classes"].tolist():
+            own = np.flatnonzero(size_class == c)
+            order = np.argsort(values[:, own], axis=1, kind="stable")
+            out |= {f"values{c}": np.take_along_axis(values[:, own], order, 1).ravel(), f"items{c}": some[own][order].ravel()}
+        return out
+
+    def set(self, item: int) -> np.ndarray:
+        return self.hashes[self.bounds[item] : self.bounds[item + 1]]
+
 
 def _marks(values: np.ndarray) -> np.ndarray:
     """A small table that says quickly that most values are not among these."""
@@ -112,68 +127,84 @@ def _candidates(index: Index, rows: np.ndarray, hashes: np.ndarray) -> set[tuple
     return found
 
 
-def _contained(index: Index, part: pa.RecordBatch) -> list[tuple[int, int, int, int]]:
-    """(row, item, shared, size) of the verified pairs of a slice."""
+def _contained(indexes: Iterable[Index], part: pa.RecordBatch) -> Iterator[tuple[Index, int, int, int, int]]:
+    """(index, row, item, shared, size) of the verified pairs of a slice."""
     words, first = hashed_words(part.column("text"))
-    rows, hashes, _ = shingles(words, first, index.words)
-    found = []
+    rows, hashes, _ = shingles(words, first, WORDS)
     bounds = np.searchsorted(rows, np.arange(part.num_rows + 1))
-    for row, item in sorted(_candidates(index, rows, hashes)):
-        shared = int(np.isin(index.sets[item], hashes[bounds[row] : bounds[row + 1]]).sum())
-        if 100 * shared >= PERCENT * len(index.sets[item]):
-            found.append((row, item, shared, len(index.sets[item])))
-    return found
+    for index in indexes:
+        for row, item in sorted(_candidates(index, rows, hashes)):
+            own = index.set(item)
+            shared = int(np.isin(own, hashes[bounds[row] : bounds[row + 1]]).sum())
+            if 100 * shared >= PERCENT * len(own):
+                yield index, row, item, shared, len(own)
+
 
+def _index_files(benchmark: DataFrame) -> list[str]:
+    """Paths of the indexes that tasks build from the items they read, each of about INDEX_BYTES of text and sketches."""
+    limit, folder = INDEX_BYTES, f"{shared_dir(benchmark.sparkSession).rstrip('/')}/items"
+    cost = lambda texts: pc.sum(pc.binary_length(texts)).as_py() or 0
 
-def _pairs(index_of):
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        index = index_of.value
-        for part in slices(batches, "text"):
-            found = _contained(index, part)
-            if found:
-                row, item, shared, size = zip(*found)
-                yield pa.record_batch([part.column("doc_id").take(pa.array(row)), pa.array([index.ids[i] for i in item], pa.int64()), pa.array(shared, pa.int64()), pa.array(size, pa.int64())], ["doc_id", "item_id", "n_shared", "n_item"])
+        held, size = [], 0
+
+        def saved() -> pa.RecordBatch:
+            items = pa.Table.from_batches(held).combine_chunks().to_batches()[0]
+            return pa.record_batch([pa.array([save(folder, Index.arrays(items.column("item_id"), items.column("text")))])], ["path"])
+
+        for part in slices(batches, "text", min(SLICE_BYTES, limit // 8)):
+            own = cost(part.column("text")) * 4 + part.num_rows * SAMPLES * 16
+            if held and size + own > limit:
+                yield saved()
+                held, size = [], 0
+            held.append(part)
+            size += own
+        if held:
+            yield saved()
+
+    size = benchmark.agg(F.sum(F.octet_length(F.coalesce("text", F.lit(""))) * 4 + SAMPLES * 16)).first()[0] or 0
+    return sorted(r.path for r in benchmark.coalesce(int(size // limit) + 1).mapInArrow(run, "path string").collect())
 
-    return run
 
+def _reader(paths: list[str]):
+    """Gives, in a task, the indexes one after the other."""
+    read_one = lru_cache(LOADED)(lambda path: Index(load(path)))
+    return lambda: map(read_one, paths)
 
-def _indexes(benchmark: DataFrame) -> list:
-    """Broadcast indexes of the items, each of at most BROADCAST_BYTES of text and sketches."""
-    spark = benchmark.sparkSession
-    size = benchmark.agg(F.sum(F.octet_length(F.coalesce("text", F.lit(""))) * 4 + SAMPLES * 16)).first()[0] or 0
-    groups = int(size // BROADCAST_BYTES) + 1
-    out = []
-    for g in range(groups):
-        own = benchmark if groups == 1 else benchmark.filter(F.pmod(F.xxhash64("item_id", "text"), F.lit(groups)) == g)
-        rows = own.select("item_id", "text").collect()
-        out.append(spark.sparkContext.broadcast(Index([r.item_id for r in rows], [r.text for r in rows], WORDS)))
-    return out
+
+def _items(benchmark: DataFrame) -> DataFrame:
+    return benchmark.select(F.col("item_id").cast("long").alias("item_id"), F.col("text").cast("string").alias("text"))
 
 
 def contained_items(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """(doc_id, item_id, n_shared, n_item): items of which a document holds 75 % of the shingles or more."""
+    paths = _index_files(_items(benchmark))
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        indexes = _reader(paths)
+        for part in slices(batches, "text"):
+            found = list(_contained(indexes(), part))
+            if found:
+                index, row, item, shared, size = zip(*found)
+                ids = pa.array([None if i.no_id[k] else int(i.ids[k]) for i, k in zip(index, item)], pa.int64())
+                yield pa.record_batch([part.column("doc_id").take(pa.array(row)), ids, pa.array(shared, pa.int64()), pa.array(size, pa.int64())], ["doc_id", "item_id", "n_shared", "n_item"])
+
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    benchmark = benchmark.select(F.col("item_id").cast("long").alias("item_id"), F.col("text").cast("string").alias("text"))
-    found = [docs.mapInArrow(_pairs(i), "doc_id long, item_id long, n_shared long, n_item long") for i in _indexes(benchmark)]
-    return reduce(DataFrame.union, found)
+    return docs.mapInArrow(run, "doc_id long, item_id long, n_shared long, n_item long")
 
 
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """The rows of docs that hold no item."""
-    benchmark = benchmark.select(F.col("item_id").cast("long").alias("item_id"), F.col("text").cast("string").alias("text"))
-
-    def clean(index_of):
-        def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for part in slices(batches, "text"):
-                keep = np.ones(part.num_rows, bool)
-                keep[[row for row, *_ in _contained(index_of.value, part)]] = False
-                yield part.filter(pa.array(keep))
+    paths = _index_files(_items(benchmark))
 
-        return run
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        indexes = _reader(paths)
+        for part in slices(batches, "text"):
+            keep = np.ones(part.num_rows, bool)
+            keep[[row for _, row, *_ in _contained(indexes(), part)]] = False
+            yield part.filter(pa.array(keep))
 
-    for index in _indexes(benchmark):
-        docs = docs.mapInArrow(clean(index), docs.schema)
-    return docs
+    return docs.mapInArrow(run, docs.schema)
 
 
 def op2_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:

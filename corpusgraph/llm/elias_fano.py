@@ -3,8 +3,6 @@
 from __future__ import annotations
 
 import json
-import os
-import tempfile
 import uuid
 
 import numpy as np
@@ -113,9 +111,7 @@ class EliasFano:
 
 def save(folder: str, arrays: dict[str, np.ndarray]) -> str:
     """Writes arrays as one file of a new name and gives its path."""
-    from pyarrow import fs
-
-    where, base = fs.FileSystem.from_uri(folder) if "://" in folder or folder.startswith("file:") else (fs.LocalFileSystem(), folder)
+    where, base = _located(folder)
     name = f"{uuid.uuid4().hex}.level"
     head, at, parts = {}, 0, []
     for k, v in arrays.items():
@@ -134,23 +130,27 @@ def save(folder: str, arrays: dict[str, np.ndarray]) -> str:
     return f"{folder}/{name}"
 
 
-def load(path: str) -> dict[str, np.ndarray]:
-    """Maps the arrays of a file; one that is not on a mounted path is copied to this machine first."""
+def _located(path: str):
+    from pyarrow import fs
+
+    return fs.FileSystem.from_uri(path) if "://" in path or path.startswith("file:") else (fs.LocalFileSystem(), path)
+
+
+def mounted(path: str) -> bool:
+    """Whether the path can be memory-mapped."""
     from pyarrow import fs
 
-    if "://" in path or path.startswith("file:"):
-        where, base = fs.FileSystem.from_uri(path)
-        if not isinstance(where, fs.LocalFileSystem):
-            local = f"{tempfile.gettempdir()}/{os.path.basename(base)}"
-            if not os.path.exists(local):
-                with where.open_input_stream(base) as f, open(f"{local}.{uuid.uuid4().hex}", "wb") as to:
-                    while part := f.read(1 << 22):
-                        to.write(part)
-                os.replace(to.name, local)
-            base = local
+    return isinstance(_located(path)[0], fs.LocalFileSystem)
+
+
+def load(path: str) -> dict[str, np.ndarray]:
+    """Maps the arrays of a file; one that is not on a mounted path is read into memory."""
+    where, base = _located(path)
+    if mounted(path):
+        whole = np.memmap(base, np.uint8, "r")
     else:
-        base = path
-    whole = np.memmap(base, np.uint8, "r")
+        with where.open_input_stream(base) as f:
+            whole = np.frombuffer(f.read(), np.uint8)
     size = int.from_bytes(whole[:8].tobytes(), "little")
     head = json.loads(whole[8 : 8 + size].tobytes())
     start = (8 + size + 63) // 64 * 64

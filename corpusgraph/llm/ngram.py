@@ -16,7 +16,8 @@ stored as logarithms quantised to 16 bits between a file's extremes.
 
 Level files are split by key ranges of about RANGE rows, so none is whole in one task or in the driver;
 the driver holds one small row for each file. A frequent context may span several files. A task asks its
-block's distinct keys in sorted order, file by file, and keeps MAPPED files of a level mapped at most.
+block's distinct keys in sorted order, file by file, and keeps MAPPED files of a level mapped at most;
+of a shared folder that isn't mounted it holds KEPT files in memory.
 
 Defined cases: null and empty texts are one end token; rows with a null id are scored but not trained
 on; an empty training fold gives every token the same probability; repeated rows count each time.
@@ -32,7 +33,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import hashed_words, materialize, read, shared_dir, slices
-from .elias_fano import EliasFano, load, save
+from .elias_fano import EliasFano, load, mounted, save
 
 END = np.uint64(0x7E0D5C1B3A29F84D)
 ALPHA = 0.1  # fixed by the contract
@@ -40,8 +41,8 @@ DISCOUNT, PAIR_LEAST = 0.75, 2
 RANGE = 1_000_000
 BLOCK_BYTES = 12 << 20
 LEVELS = 65535
-#: Files of a level that a task keeps mapped; word numbers take 32 bits of a pair's key.
-MAPPED, MOST_WORDS = 24, 1 << 31
+#: Files of a level that a task keeps mapped, or in memory where they can't be; word numbers take 32 bits of a pair's key.
+MAPPED, KEPT, MOST_WORDS = 24, 6, 1 << 31
 
 
 def _tokens(part: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
@@ -132,7 +133,7 @@ class Level:
     def arrays(self, f: int, make):
         found = self.loaded.pop(f, None) or make(load(self.files[f][0]))
         self.loaded[f] = found  # the last used is the last
-        if len(self.loaded) > MAPPED:
+        if len(self.loaded) > (MAPPED if mounted(self.files[f][0]) else KEPT):
             self.loaded.pop(next(iter(self.loaded)))
         return found
 

@@ -430,9 +430,9 @@ def shingle_set(text):
     return {tuple(words[i : i + 5]) for i in range(len(words) - 4)} if len(words) >= 5 else ({tuple(words)} if words else set())
 
 
-@pytest.mark.parametrize("limit", [decontaminate.BROADCAST_BYTES, 6000])
+@pytest.mark.parametrize("limit", [decontaminate.INDEX_BYTES, 6000])
 def test_decontamination(spark, monkeypatch, limit):
-    monkeypatch.setattr(decontaminate, "BROADCAST_BYTES", limit)
+    monkeypatch.setattr(decontaminate, "INDEX_BYTES", limit)
     rng = random.Random(7)
     vocabulary = ["".join(rng.choices("abcdefgh", k=5)) for _ in range(3000)]
     text = lambda n: " ".join(rng.choices(vocabulary, k=n))
@@ -451,3 +451,15 @@ def test_decontamination(spark, monkeypatch, limit):
     dirty = collections.Counter(str(d) for d, *_ in {(d, t) for d, t in docs if any(s and 100 * len(s & shingle_set(t)) >= 75 * len(s) for s in sets.values())})
     assert not {str(r.doc_id) for r in clean.collect()} & set(dirty)
     assert decontaminate.contained_items(frame(spark, docs), benchmark.limit(0)).count() == 0 and decontaminate.contained_items(frame(spark, docs).limit(0), benchmark).count() == 0
+
+
+def test_decontamination_repeated_items(spark, monkeypatch):
+    """Items without ids and repeated items are found once each, in whichever file they are."""
+    monkeypatch.setattr(decontaminate, "INDEX_BYTES", 3000)
+    words = "alpha beta gamma delta epsilon zeta eta theta"
+    benchmark = spark.createDataFrame([(None, words), (5, words), (5, words)] + [(i, f"{i} other words of item {i} here") for i in range(100, 120)], "item_id long, text string")
+    docs = frame(spark, [(1, f"so {words} it ends"), (2, "nothing at all of these"), (None, words)])
+    got = decontaminate.contained_items(docs, benchmark).collect()
+    assert sorted((str(r.doc_id), str(r.item_id), r.n_shared, r.n_item) for r in got) == sorted((d, i, 4, 4) for d in ("1", "None") for i in ("None", "5", "5"))
+    assert len(decontaminate._index_files(decontaminate._items(benchmark))) > 1
+    assert [r.doc_id for r in decontaminate.drop_contaminated(docs, benchmark).collect()] == [2]
