@@ -123,7 +123,7 @@ def dedup_word_overlap(rows: DataFrame, share: float = 0.6) -> DataFrame:
         taken: list[set] = []
         keep = []
         for text in group["content"]:
-            own = {w for w in re.findall("[a-z0-9]{5,}", text.lower()) if w not in T.STOP_WORDS}
+            own = {w for w in re.findall(r"\b[a-z]{5,}\b", text.lower()) if w not in T.STOP_WORDS}
             ok = not any(own and t and len(own & t) / min(len(own), len(t)) >= share for t in taken)
             keep.append(ok)
             if ok:

@@ -19,12 +19,15 @@ from .windows import top_k
 
 
 def _cut(df: DataFrame) -> DataFrame:
-    """Cuts lineage in the cluster's checkpoint folder; a folder of our own only where none is set."""
+    """Cuts lineage in the cluster's checkpoint folder; a folder of our own only where none is set, on one machine."""
     context = df.sparkSession.sparkContext
     if context._jsc.sc().getCheckpointDir().isEmpty():
         import tempfile
 
-        context.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="spark-"))
+        found = df.sparkSession.conf.get("spark.checkpoint.dir", None)
+        if not found and not context.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
+        context.setCheckpointDir(found or tempfile.mkdtemp(prefix="spark-"))
     return df.checkpoint()
 
 
@@ -129,6 +132,8 @@ PROFILES = {
 }
 
 PARTS = 16
+#: Rows of (anchor, tag), and of (query, anchor), up to which a walk's anchors go to every task; about 100 bytes each.
+ANCHOR_ROWS = 200_000
 
 
 def gravity(shared: Column, hop: Column, bonus: Column, hours: Column, bits: Column, gamma: float, rate: float) -> Column:
@@ -137,34 +142,54 @@ def gravity(shared: Column, hop: Column, bonus: Column, hours: Column, bits: Col
     return F.greatest(F.lit(0.0), F.least(F.lit(1.0), pull)) * F.exp(-rate * F.least(F.abs(hours), F.lit(700_000.0))) * (1 - bits / 64)
 
 
+def _met_by_node(asked: DataFrame, held: DataFrame, near: DataFrame, own: DataFrame) -> DataFrame:
+    """(node_id, anchor, shared, bonus): closeness counts as one more tag, so that one pass over the nodes' tags meets all."""
+    close = F.concat(F.lit("\0near "), F.col("anchor").cast("string"))
+    wanted = held.select("anchor", F.col("tag").cast("string").alias("tag"), F.lit(1).alias("shared"), F.lit(0).alias("bonus"))
+    wanted = wanted.unionByName(asked.select("anchor", close.alias("tag"), F.lit(0).alias("shared"), F.lit(1).alias("bonus")))
+    rows = own.select("node_id", F.col("tag").cast("string").alias("tag")).unionByName(near.select("node_id", close.alias("tag")))
+    rows = rows.repartition("node_id").dropDuplicates(["node_id", "tag"])
+    return rows.join(F.broadcast(wanted), "tag").groupBy("node_id", "anchor").agg(F.sum("shared").alias("shared"), F.max("bonus").alias("bonus"))
+
+
+def _met_by_tag(asked: DataFrame, held: DataFrame, near: DataFrame, own: DataFrame) -> DataFrame:
+    part = F.pmod(F.xxhash64("node_id"), F.lit(PARTS)).cast("int")
+    dealt = held.withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(PARTS - 1))))
+    shared = dealt.join(own.distinct().withColumn("part", part), ["tag", "part"]).select("anchor", "node_id", F.lit(1).alias("shared"), F.lit(0).alias("bonus"))
+    return shared.unionByName(near.select("anchor", "node_id", F.lit(0).alias("shared"), F.lit(1).alias("bonus"))).groupBy("anchor", "node_id").agg(F.sum("shared").alias("shared"), F.max("bonus").alias("bonus"))
+
+
 def gravity_walk(anchors: DataFrame, nodes: DataFrame, tags: DataFrame, profile: str = "standard", most_degree: int | None = None, **changed) -> DataFrame:
     """(query_id, node_id, score, best_anchor, hop, shared): the nodes that an anchor of the query pulls most.
 
     anchors: query_id, node_id; nodes: node_id, ts, simhash, compound_id, start_byte, end_byte.
     A node is scored against every anchor that shares a tag with it or lies near it in the text, and
     keeps its best. Nodes that are reached over further hops share no tag and score by closeness only.
-    Shared tags are counted once for an anchor, whatever number of queries has it, with the nodes of a tag dealt
-    out in PARTS; a pair that can't pass the threshold at its best goes before its query and its nodes are joined.
+    Shared tags are counted once for an anchor, whatever number of queries has it. Up to ANCHOR_ROWS the anchors'
+    tags go to every task and the tags are dealt by node, so that pairs are made, counted and scored where their
+    node is and only each task's best leave it. Beyond, anchors and nodes meet by tag, with the nodes of a tag dealt
+    out in PARTS. Either way a pair that can't pass the threshold at its best goes before its query is joined.
     """
     p = PROFILES[profile] | changed
-    own = without_hubs(tags.select("node_id", "tag").distinct(), most_degree)
-    starts = anchors.select("query_id", F.col("node_id").alias("anchor")).distinct()
+    own = without_hubs(tags.select("node_id", "tag").distinct(), most_degree) if most_degree is not None else tags.select("node_id", "tag")
+    starts = _cut(anchors.select("query_id", F.col("node_id").alias("anchor")).distinct())
     asked = starts.select("anchor").distinct()
-    part = F.pmod(F.xxhash64("node_id"), F.lit(PARTS)).cast("int")
-    held = asked.join(own.withColumnRenamed("node_id", "anchor"), "anchor").withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(PARTS - 1))))
-    shared = held.join(own.withColumn("part", part), ["tag", "part"]).select("anchor", "node_id", F.lit(1).alias("shared"), F.lit(0).alias("bonus"))
+    held = _cut(asked.join(own.distinct().withColumnRenamed("node_id", "anchor"), "anchor"))
+    few = held.count() <= ANCHOR_ROWS and starts.count() <= ANCHOR_ROWS
+    send = F.broadcast if few else (lambda df: df)
     place = nodes.select(F.col("node_id").alias("anchor"), F.col("compound_id").alias("c"), F.col("start_byte").alias("a"), F.col("end_byte").alias("b"))
-    near = asked.join(place, "anchor").join(nodes.select("node_id", F.col("compound_id").alias("c"), "start_byte", "end_byte"), "c")
-    near = near.filter((F.col("end_byte") >= F.col("a") - p["byte_radius"]) & (F.col("start_byte") <= F.col("b") + p["byte_radius"])).select("anchor", "node_id", F.lit(0).alias("shared"), F.lit(1).alias("bonus"))
-    met = shared.unionByName(near).groupBy("anchor", "node_id").agg(F.sum("shared").alias("shared"), F.max("bonus").alias("bonus"))
+    near = send(asked.join(place, "anchor")).join(nodes.select("node_id", F.col("compound_id").alias("c"), "start_byte", "end_byte"), "c")
+    near = near.filter((F.col("end_byte") >= F.col("a") - p["byte_radius"]) & (F.col("start_byte") <= F.col("b") + p["byte_radius"])).select("anchor", "node_id")
+    met = (_met_by_node if few else _met_by_tag)(asked, held, near, own)
     most = gravity(F.col("shared"), F.lit(1), F.col("bonus"), F.lit(0.0), F.lit(0), p["gamma"], p["rate"])  # no time apart, no differing bits
-    met = met.filter(F.round(most, 6) > p["threshold"]).join(starts, "anchor")
-    met = met.join(anchors.select("query_id", "node_id").distinct(), ["query_id", "node_id"], "left_anti")
+    met = met.filter(F.round(most, 6) > p["threshold"]).join(send(starts), "anchor")
+    met = met.join(send(starts.withColumnRenamed("anchor", "node_id")), ["query_id", "node_id"], "left_anti")
     if p["radius"] > 1:
         met = met.join(bfs_tags(anchors, tags, p["radius"], most_degree=most_degree), ["query_id", "node_id"], "left").withColumn("hop", F.coalesce("hop", F.lit(1)))
     else:
         met = met.withColumn("hop", F.lit(1))  # all that share a tag are one hop away, and what only lies near counts as that
-    met = met.join(nodes.select("node_id", "ts", "simhash"), "node_id").join(nodes.select(F.col("node_id").alias("anchor"), F.col("ts").alias("anchor_ts"), F.col("simhash").alias("anchor_bits")), "anchor")
+    of_anchor = asked.join(nodes.select(F.col("node_id").alias("anchor"), F.col("ts").alias("anchor_ts"), F.col("simhash").alias("anchor_bits")), "anchor")
+    met = met.join(nodes.select("node_id", "ts", "simhash"), "node_id").join(send(of_anchor), "anchor")
     hours = (F.unix_micros(F.col("ts").cast("timestamp")) - F.unix_micros(F.col("anchor_ts").cast("timestamp"))) / 3.6e9
     score = gravity(F.col("shared"), F.col("hop"), F.col("bonus"), hours, T.hamming(F.col("simhash"), F.col("anchor_bits")), p["gamma"], p["rate"])
     scored = met.withColumn("score", F.round(score, 6)).filter(F.col("score") > p["threshold"])

@@ -71,13 +71,24 @@ def tag_audit(tags: DataFrame, support: int = 2) -> DataFrame:
     return numbers.unionByName(orphans).unionByName(clusters)
 
 
-def suggest_tags(nodes: DataFrame, tags: DataFrame, k: int = 5, terms: int = 20) -> DataFrame:
-    """(node_id, tag, confidence): existing tags equal to one of the first content terms of a node that lacks them. nodes: node_id, content."""
+def suggest_tags(nodes: DataFrame, tags: DataFrame, k: int = 5, terms: int = 20, contained: bool = False) -> DataFrame:
+    """(node_id, tag, confidence): existing tags equal to one of the first content terms of a node that lacks them. nodes: node_id, content.
+
+    With `contained` also tags that a term is part of, at .3 behind the equal ones: tags are looked up by all their parts of 4 to 29 letters.
+    """
     fit = F.filter(F.array_distinct(T.words(F.col("content"))), lambda w: (F.length(w) >= 4) & (F.length(w) < 30) & ~w.isin(T.STOP_WORDS))
     words = nodes.select("node_id", F.posexplode(F.slice(fit, 1, terms)).alias("pos", "w"))
     known = tags.select("tag").distinct().withColumn("w", F.lower(F.regexp_replace("tag", "^#", "")))
-    found = words.join(known, "w").join(tags.select("node_id", "tag").distinct(), ["node_id", "tag"], "left_anti")
-    return top_k(found, ["node_id"], ["pos", "tag"], k).select("node_id", "tag", F.lit(0.8).alias("confidence"))
+    met = words.join(known, "w").withColumn("confidence", F.lit(0.8))
+    if contained:
+        size = F.length("w")
+        starts = known.filter(size > 4).select("tag", "w", F.explode(F.sequence(F.lit(1), size - 3)).alias("a"))
+        parts = starts.select("tag", F.col("w").alias("whole"), F.explode(F.transform(F.sequence(F.lit(4), F.least(F.lit(29), F.length("w") - F.col("a") + 1)), lambda n: F.substring(F.col("w"), F.col("a"), n))).alias("w"))
+        met = met.unionByName(words.join(parts.filter("w <> whole").select("tag", "w").distinct(), "w").withColumn("confidence", F.lit(0.3)))
+    found = met.join(tags.select("node_id", "tag").distinct(), ["node_id", "tag"], "left_anti")
+    order = [F.col("confidence").desc(), "pos", "tag"]
+    best = top_k(found, ["node_id", "tag"], order, 1) if contained else found
+    return top_k(best, ["node_id"], order, k).select("node_id", "tag", "confidence")
 
 
 def discover_tags(nodes: DataFrame, seeds: DataFrame, master: DataFrame, least: int = 2) -> DataFrame:

@@ -9,9 +9,10 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from ..functions import text as T
-from .windows import budget_prefix, rolling_context, top_k
+from .windows import _islands, budget_prefix, rolling_context, round_robin, top_k
 
 
 def text_index(nodes: DataFrame, content: str = "content") -> DataFrame:
@@ -104,29 +105,56 @@ def engram_lookup(queries: DataFrame, engrams: DataFrame) -> DataFrame:
     return keyed.join(engrams, "key").select("query_id", F.explode("ids").alias("node_id"), F.lit(1.0).alias("score"))
 
 
-def anchor_search(queries: DataFrame, index: DataFrame, nodes: DataFrame, positions: DataFrame, molecules: DataFrame, k: int = 10) -> DataFrame:
-    """(query_id, node_id, score): lexical and position hits together, rescored by share of terms and size of text."""
+def anchor_search(queries: DataFrame, index: DataFrame, nodes: DataFrame, positions: DataFrame, molecules: DataFrame, k: int = 10, tags: DataFrame | None = None) -> DataFrame:
+    """(query_id, node_id, score, and tags if given): lexical and position hits together, rescored by share of terms and size of text.
+
+    Of hits that overlap in a document or whose text another one holds the best stays; with `tags` a hit carries those
+    of its whole document. The greedy steps see at most 2 * k hits of a query at a time.
+    """
+    from .dedup import dedup_containment, merge_anchors, simhash64
+
     lexical = lexical_search(queries, index, nodes, k)
     at = position_lookup(queries, positions, molecules, k)
     n = terms_of(queries).groupBy("query_id").agg(F.count("*").alias("n_terms"))
     both = lexical.select("query_id", "node_id", "hits").unionByName(at.select("query_id", "node_id", F.lit(1).cast("long").alias("hits"))).groupBy("query_id", "node_id").agg(F.max("hits").alias("hits"))
     scored = both.join(n, "query_id").withColumn("score", F.round(T.lightweight_score(F.lit(0.5), F.col("hits") / F.col("n_terms"), F.col("hits") == F.col("n_terms"), F.lit(0), F.lit(30.0)), 6))
-    return top_k(scored, ["query_id"], [F.col("score").desc(), "node_id"], k).select("query_id", "node_id", "score")
+    place = molecules.select(F.col("mol_id").alias("node_id"), "compound_id", "start_byte", "end_byte", "content")
+    rows = merge_anchors(scored.select("query_id", "node_id", "score").join(place, "node_id"))
+    rows = rows.join(simhash64(rows.select("node_id", "content").distinct(), "node_id", "content"), "node_id")
+    best = top_k(dedup_containment(rows), ["query_id"], [F.col("score").desc(), "node_id"], k).select("query_id", "node_id", "score")
+    if tags is None:
+        return best
+    return best.join(enrich_tags(best.select("query_id", "node_id"), place.select("node_id", "compound_id"), tags), ["query_id", "node_id"])
 
 
-def star_search(queries: DataFrame, index: DataFrame, nodes: DataFrame, tags: DataFrame, engrams: DataFrame | None = None, k: int = 10, profile: str = "standard", most_degree: int | None = None) -> DataFrame:
-    """(query_id, node_id, score, via): engrams and lexical anchors, then the walk over shared tags from them.
+def star_search(queries: DataFrame, index: DataFrame, nodes: DataFrame, tags: DataFrame, engrams: DataFrame | None = None, k: int = 10, profile: str = "standard", most_degree: int | None = None, budget: int = 4096, start_from: int | None = None) -> DataFrame:
+    """(query_id, node_id, score, via): engrams and lexical anchors, then the walk over shared tags from them, best first.
 
-    nodes: node_id, content, ts, simhash, compound_id, start_byte, end_byte.
+    nodes: node_id, content, ts, simhash, compound_id, start_byte, end_byte. A query keeps max(200, budget / 200) rows.
+    `start_from` walks from that many anchors only, taken in turns from the documents they lie in.
     """
-    from .graph import gravity_walk
+    from .graph import _cut, gravity_walk
 
     anchors = lexical_search(queries, index, nodes, k).select("query_id", "node_id", "score", F.lit("anchor").alias("via"), F.lit(1).alias("o"))
     if engrams is not None:
         anchors = engram_lookup(queries, engrams).select("query_id", "node_id", "score", F.lit("engram").alias("via"), F.lit(0).alias("o")).unionByName(anchors)
-    anchors = top_k(anchors, ["query_id", "node_id"], ["o"], 1)
-    walked = gravity_walk(anchors.select("query_id", "node_id"), nodes, tags, profile, most_degree, k=k).select("query_id", "node_id", "score", F.lit("walk").alias("via"), F.lit(2).alias("o"))
-    return top_k(anchors.unionByName(walked), ["query_id"], ["o", F.col("score").desc(), "node_id"], 2 * k).drop("o")
+    anchors = _cut(top_k(anchors, ["query_id", "node_id"], ["o"], 1))
+    walked_from = anchors
+    if start_from is not None:
+        turns = round_robin(anchors.join(nodes.select("node_id", "compound_id"), "node_id"), ["query_id"], "compound_id", ["o", F.col("score").desc(), "node_id"])
+        walked_from = turns.filter(F.col("place") <= start_from)
+    walked = gravity_walk(walked_from.select("query_id", "node_id"), nodes, tags, profile, most_degree, k=k)
+    walked = walked.join(anchors.select("query_id", "node_id"), ["query_id", "node_id"], "left_anti").select("query_id", "node_id", "score", F.lit("walk").alias("via"), F.lit(2).alias("o"))
+    return top_k(anchors.unionByName(walked), ["query_id"], [F.col("score").desc(), "o", "node_id"], max(200, -(-budget // 200))).drop("o")
+
+
+def star_context(found: DataFrame, nodes: DataFrame, documents: DataFrame, now: Column, budget: int = 4096) -> DataFrame:
+    """format_results of what star_search found: beyond 16,000 characters near hits of a document are shown as one.
+
+    nodes: node_id, compound_id, start_byte, end_byte, content, source, ts.
+    """
+    rows = found.join(nodes.select("node_id", "compound_id", "start_byte", "end_byte", "content", "source", "ts"), "node_id")
+    return format_results(rows, now, budget, documents, budget > 16_000, 800 if budget > 100_000 else 500)
 
 
 def _regrouped(found: DataFrame, k: int) -> DataFrame:
@@ -210,18 +238,64 @@ def expand_queries(queries: DataFrame, synonyms: DataFrame, tags: DataFrame, k:
     return top_k(named.unionByName(ring).distinct(), ["query_id"], [F.col("score").desc(), "term"], k)
 
 
-def format_results(results: DataFrame, now: Column, budget: int = 4096) -> DataFrame:
-    """(query_id, place, snippet): results weighted by age, without inline tags, in time order, within a character budget.
+def snippets(results: DataFrame, documents: DataFrame | None = None, threshold: int = 500, most: int = 50, most_tags: int = 15) -> DataFrame:
+    """(query_id, compound_id, start_byte, end_byte, score, ts, source, tags, node_ids, n_atoms, content): near hits of a document as one.
 
-    results: query_id, node_id, content, source, ts, score.
+    results: query_id, node_id, compound_id, start_byte, end_byte, source, content, ts, score, and tags if there are any. A hit
+    joins those before it if it starts at most `threshold` bytes past their furthest end. A document gives at most
+    max(3, min(8, most / 15)) snippets and a query `most`, best first. The content is the document's text between the
+    ends, or the first hit's own where no documents are given. Merged lists are bounded by a query's hits.
     """
-    hours = (F.unix_micros(now) - F.unix_micros(F.col("ts").cast("timestamp"))) / 3.6e9
-    rows = results.withColumn("weighted", F.round(F.col("score") * T.temporal_weight(hours), 6)).withColumn("clean", T.strip_inline_tags(F.col("content")))
-    kept = budget_prefix(rows, ["query_id"], [F.col("weighted").desc(), "node_id"], F.length("clean"), budget)
-    shown = F.format_string("[%s | %s] %s", F.col("source"), F.date_format("ts", "yyyy-MM-dd"), F.col("clean"))
-    from pyspark.sql.window import Window
+    rows = results if "tags" in results.columns else results.withColumn("tags", F.array().cast("array<string>"))
+    keys, order = ["query_id", "compound_id"], ["start_byte", "end_byte", "node_id"]
+    reached = F.max("end_byte").over(Window.partitionBy(*keys).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1))
+    rows = _islands(rows.withColumn("_reached", reached), F.coalesce(F.col("start_byte") - F.col("_reached") > threshold, F.lit(True)), keys, order)
+    merged = rows.groupBy(*keys, "island").agg(
+        F.min("start_byte").alias("start_byte"), F.max("end_byte").alias("end_byte"), F.max("score").alias("score"), F.min("ts").alias("ts"), F.min("source").alias("source"),
+        F.slice(F.array_distinct(F.flatten(F.transform(F.sort_array(F.collect_list(F.struct(*order, "tags"))), lambda x: x["tags"]))), 1, most_tags).alias("tags"),
+        F.transform(F.sort_array(F.collect_list(F.struct(*order))), lambda x: x["node_id"]).alias("node_ids"), F.count("*").alias("n_atoms"),
+        F.min_by("content", F.struct(*order)).alias("content"),
+    )
+    best = top_k(merged, keys, [F.col("score").desc(), "start_byte"], max(3, min(8, -(-most // 15))))
+    best = top_k(best, ["query_id"], [F.col("score").desc(), "compound_id", "start_byte"], most).drop("island")
+    if documents is None:
+        return best
+    whole = best.join(documents.select(F.col("doc_id").alias("compound_id"), "text"), "compound_id", "left")
+    cut = byte_slice(F.col("text"), F.col("start_byte"), F.least(F.col("end_byte"), F.octet_length("text").cast("long")))
+    return whole.withColumn("content", F.coalesce(F.when(cut != "", cut), "content")).drop("text")
+
+
+def format_results(results: DataFrame, now: Column, budget: int = 4096, documents: DataFrame | None = None, coalesce: bool = True, threshold: int = 500) -> DataFrame:
+    """(query_id, place, compound_id, start_byte, end_byte, node_ids, n_atoms, weighted, chars, snippet), in time order.
+
+    results as for snippets(). Scores fade with age, inline tags go, and a snippet goes that shares 60 % of its words with a
+    better one of the query. A query shows at most max(50, budget / 500) coalesced snippets, or all its results.
+    """
+    from .dedup import dedup_word_overlap
 
-    return kept.select("query_id", "node_id", F.row_number().over(Window.partitionBy("query_id").orderBy("ts", "node_id")).cast("long").alias("place"), shown.alias("snippet"))
+    if coalesce:
+        rows = snippets(results, documents, threshold, max(50, -(-budget // 500)))
+    else:
+        rows = results if "tags" in results.columns else results.withColumn("tags", F.array().cast("array<string>"))
+        rows = rows.select("query_id", "compound_id", "start_byte", "end_byte", "score", "ts", "source", F.slice("tags", 1, 10).alias("tags"), F.array("node_id").alias("node_ids"), F.lit(1).cast("long").alias("n_atoms"), "content")
+    hours = (F.unix_micros(now) - F.unix_micros(F.col("ts").cast("timestamp"))) / 3.6e9
+    rows = rows.withColumn("score", F.round(F.col("score") * T.temporal_weight(hours), 3)).withColumn("content", T.strip_inline_tags(F.coalesce("content", F.lit("")))).withColumn("node_id", F.element_at("node_ids", 1))
+    kept = dedup_word_overlap(rows)
+    place = F.row_number().over(Window.partitionBy("query_id").orderBy("ts", "compound_id", "start_byte", "node_id")).cast("long")
+    kept = kept.withColumn("place", place).withColumn("chars", F.length("content").cast("long"))
+    time = F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss.SSS'Z'")
+    # Fixed value: the form of a snippet
+    form = '[GROUP:%d] [File:%s] [Range: 0x%04X-0x%04X] [Time: %s] [Atoms: %d] [Chars: %d]\n<atom id="%s" relevance="%.3f" timestamp="%s" persona="%s" source="%s">\n%s\n</atom>'
+    ids = F.array_join(F.transform("node_ids", lambda x: F.substring(x.cast("string"), 1, 8)), ",")
+    file = F.element_at(F.split(F.col("source"), "/"), -1)
+    shown = F.format_string(form, "place", file, "start_byte", "end_byte", time, "n_atoms", "chars", ids, "score", time, F.coalesce(F.get("tags", F.lit(0)), F.lit("internal")), "source", "content")
+    return kept.select("query_id", "place", "compound_id", "start_byte", "end_byte", "node_ids", "n_atoms", F.col("score").alias("weighted"), "chars", shown.alias("snippet"))
+
+
+def budget_stats(formatted: DataFrame, budget: int = 4096) -> DataFrame:
+    """(query_id, snippets, atoms, content_chars, overhead_chars, total_chars, used_percent) of each query's formatted results."""
+    own = formatted.groupBy("query_id").agg(F.count("*").alias("snippets"), F.sum("n_atoms").alias("atoms"), F.sum("chars").alias("content_chars"), (F.sum(F.length("snippet")) + 2 * (F.count("*") - 1)).alias("total_chars"))
+    return own.withColumn("overhead_chars", F.col("total_chars") - F.col("content_chars")).withColumn("used_percent", F.round(F.col("total_chars") * 100 / budget, 1))
 
 
 def context_package(results: DataFrame) -> tuple[DataFrame, DataFrame]:

@@ -345,6 +345,18 @@ def suggest_tags(t: Tables) -> DataFrame:
     return mining.suggest_tags(nodes, lacking)
 
 
+@query(f"""WITH {TAGS}, f AS (SELECT mol_id, unnest(l) AS w, generate_subscripts(l, 1) AS pos FROM (SELECT mol_id, list_filter({WORDS.format('content')}, lambda w: length(w) >= 4 AND length(w) < 30 AND NOT list_contains([{', '.join(f"'{x}'" for x in T.STOP_WORDS)}], w)) AS l FROM molecules)),
+  g AS (SELECT mol_id, w, min(pos) AS pos FROM f GROUP BY ALL), h AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY mol_id ORDER BY pos) AS r FROM g) WHERE r <= 20), own AS (SELECT DISTINCT node_id, tag FROM tags WHERE length(tag) % 2 = 0),
+  k AS (SELECT DISTINCT tag, lower(regexp_replace(tag, '^#', '')) AS w FROM tags), c AS (SELECT h.w, tag, CASE WHEN h.w = k.w THEN 0.8 ELSE 0.3 END::DOUBLE AS confidence FROM (SELECT DISTINCT w FROM h) h JOIN k ON contains(k.w, h.w)),
+  m AS (SELECT mol_id, tag, confidence, r FROM h JOIN c USING (w) WHERE NOT EXISTS (SELECT 1 FROM own WHERE own.node_id = h.mol_id AND own.tag = c.tag) QUALIFY row_number() OVER (PARTITION BY mol_id, tag ORDER BY confidence DESC, r) = 1)
+  SELECT mol_id AS node_id, tag, confidence FROM m QUALIFY row_number() OVER (PARTITION BY mol_id ORDER BY confidence DESC, r, tag) <= 5""")
+def suggest_tags_contained(t: Tables) -> DataFrame:
+    every = tags(t)
+    nodes = molecules(t).select(F.col("mol_id").alias("node_id"), "content")
+    lacking = every.filter("length(tag) % 2 = 0").select("node_id", "tag").unionByName(every.select(F.lit("").alias("node_id"), "tag"))
+    return mining.suggest_tags(nodes, lacking, contained=True)
+
+
 @query(f"""WITH held AS (SELECT DISTINCT doc_id FROM (SELECT doc_id, unnest({WORDS.format('text')}) AS w FROM documents) WHERE w IN ('license', 'apache')),
   f AS (SELECT '#' || lower(w) AS tag FROM (SELECT unnest(regexp_extract_all(text, '[A-Za-z0-9]+')) AS w FROM documents JOIN held USING (doc_id)) WHERE regexp_matches(w, '^[A-Z][a-z]{{3,}}$'))
   SELECT tag, count(*) AS n FROM f WHERE tag NOT IN ('#license', '#apache') GROUP BY tag HAVING count(*) >= 2""")

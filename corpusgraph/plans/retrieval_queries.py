@@ -112,15 +112,26 @@ def engram_lookup(t: Tables) -> DataFrame:
 def anchor_search(t: Tables) -> DataFrame:
     mols = molecules(t)
     n = mols.withColumnRenamed("mol_id", "node_id")
-    return retrieve.anchor_search(questions(t), retrieve.text_index(n), n, prepare.build_tag_tables(mols, tagged(t, mols))["positions"], mols)
+    found = retrieve.anchor_search(questions(t), retrieve.text_index(n), n, prepare.build_tag_tables(mols, tagged(t, mols))["positions"], mols, tags=tags(t))
+    return found.withColumn("tags", F.array_join("tags", ","))
+
+
+def _star_nodes(t: Tables) -> DataFrame:
+    mols = molecules(t).withColumnRenamed("mol_id", "node_id")
+    prints = dedup.simhash64(mols, "node_id", "content")
+    return mols.join(prints, "node_id").withColumn("ts", F.timestamp_add("DAY", (F.col("doc_id") % 1500).cast("int"), F.lit("2020-01-01").cast("timestamp")))
 
 
 @query()
 def star_search(t: Tables) -> DataFrame:
     mols = molecules(t).withColumnRenamed("mol_id", "node_id")
-    prints = dedup.simhash64(mols, "node_id", "content")
-    n = mols.join(prints, "node_id").withColumn("ts", F.timestamp_add("DAY", (F.col("doc_id") % 1500).cast("int"), F.lit("2020-01-01").cast("timestamp")))
-    return retrieve.star_search(questions(t), retrieve.text_index(mols), n, tags(t))
+    return retrieve.star_search(questions(t), retrieve.text_index(mols), _star_nodes(t), tags(t))
+
+
+@query()
+def star_context(t: Tables) -> DataFrame:
+    shown = retrieve.star_context(star_search(t), _star_nodes(t).withColumn("source", F.col("bucket")), t.documents, F.lit(NOW).cast("timestamp"), 20_000)
+    return shown.withColumn("node_ids", F.array_join("node_ids", ","))
 
 
 @query()
@@ -198,7 +209,12 @@ def expand_queries_synonyms(t: Tables) -> DataFrame:
 
 @query()
 def format_results(t: Tables) -> DataFrame:
-    return retrieve.format_results(dated_hits(t), F.lit(NOW).cast("timestamp"))
+    return retrieve.format_results(dated_hits(t), F.lit(NOW).cast("timestamp"), documents=t.documents).withColumn("node_ids", F.array_join("node_ids", ","))
+
+
+@query()
+def budget_stats(t: Tables) -> DataFrame:
+    return retrieve.budget_stats(retrieve.format_results(dated_hits(t), F.lit(NOW).cast("timestamp"), documents=t.documents))
 
 
 def _package(t: Tables) -> DataFrame:

@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from corpusgraph.functions import text as T
-from corpusgraph.operators import dedup, distill, frame, graph, lifecycle, prepare, retrieve, sensitive, tagstats, windows
+from corpusgraph.operators import dedup, distill, frame, graph, lifecycle, mining, prepare, retrieve, sensitive, tagstats, windows
 from corpusgraph.sources import corpus, sinks
 
 
@@ -97,12 +97,15 @@ def test_walk_over_hubs(spark):
     assert len([r for r in rows if r.via == "walk"]) == 10
 
 
-def test_walk_counts(spark):
+@pytest.mark.parametrize("rows", [graph.ANCHOR_ROWS, 0])
+def test_walk_counts(spark, monkeypatch, rows):
     import random
 
+    monkeypatch.setattr(graph, "ANCHOR_ROWS", rows)
     rng = random.Random(3)
     own = {f"n{i}": {t for t in range(8) if rng.random() < 0.9 / (t + 1) + 0.1} for i in range(120)}
-    tags = spark.createDataFrame([(n, str(t)) for n, ts in own.items() for t in ts], "node_id string, tag string")
+    own["n5"] = set()  # only near others
+    tags = spark.createDataFrame([(n, str(t)) for n, ts in own.items() for t in ts for _ in range(1 + t % 2)], "node_id string, tag string")
     nodes = spark.createDataFrame([(n, dt.datetime(2024, 1, 1), 0, n[:2], i * 300, i * 300 + 5) for i, n in enumerate(own)], "node_id string, ts timestamp, simhash long, compound_id string, start_byte long, end_byte long")
     starts = [(q, f"n{rng.randrange(120)}") for q in range(4) for _ in range(3)] + [(9, "n5"), (8, "n5")]
     anchors = spark.createDataFrame(starts, "query_id int, node_id string")
@@ -121,6 +124,47 @@ def test_walk_counts(spark):
         assert {(r.query_id, r.node_id): (pytest.approx(r.score), r.best_anchor, r.shared) for r in got.collect()} == want
 
 
+def _hit(node, compound, a, b, text, score, day=1, query=1):
+    return query, node, compound, a, b, f"src/{compound}.md", text, dt.datetime(2024, 1, day), score
+
+
+HIT = "query_id int, node_id string, compound_id string, start_byte long, end_byte long, source string, content string, ts timestamp, score double"
+
+
+def test_format_results(spark):
+    first, second = "alpha words gather slowly here", "alpha words gather slowly again"
+    rows = [
+        _hit("aaaaaaaaaa", "d1", 0, 10, "one", 0.5, 3), _hit("b", "d1", 400, 410, "two", 0.9, 2), _hit("c", "d1", 911, 920, first + " #tag", 0.4, 4),
+        _hit("d", "d2", 0, 30, second, 0.3, 1), _hit("e", "d2", 0, 30, "", 0.2, 1, query=2),
+    ]
+    documents = spark.createDataFrame([("d1", "x" * 911 + "other text"), ("d2", second)], "doc_id string, text string")
+    now = F.lit("2024-01-04 00:00:00").cast("timestamp")
+    shown = retrieve.format_results(spark.createDataFrame(rows, HIT), now, documents=documents).orderBy("query_id", "place").collect()
+    assert len(shown) == 4
+    own = [r for r in shown if r.query_id == 1]
+    assert [(r.place, r.start_byte, r.end_byte, r.n_atoms) for r in own] == [(1, 0, 30, 1), (2, 0, 410, 2), (3, 911, 920, 1)]
+    assert own[1].snippet.startswith('[GROUP:2] [File:d1.md] [Range: 0x0000-0x019A] [Time: 2024-01-02T00:00:00.000Z] [Atoms: 2] [Chars: 410]\n<atom id="aaaaaaaa,b" relevance="0.900" ')
+    plain = retrieve.format_results(spark.createDataFrame(rows, HIT), now, coalesce=False)
+    assert sorted(r.node_ids[0] for r in plain.collect() if r.query_id == 1) == ["aaaaaaaaaa", "b", "c"]  # d shares its words with c
+    stats = {r.query_id: r for r in retrieve.budget_stats(plain, 100).collect()}
+    assert stats[1].content_chars == 3 + 3 + len(first) and stats[1].total_chars == stats[1].content_chars + stats[1].overhead_chars and stats[2].content_chars == 0
+    assert retrieve.format_results(spark.createDataFrame([], HIT), now).count() == 0
+
+
+def test_snippets_caps(spark):
+    rows = [_hit(f"n{i}", "d1", i * 1000, i * 1000 + 10, f"t{i}", i / 10) for i in range(6)] + [_hit("m", "d2", 0, 5, "m", 0.01)]
+    got = retrieve.snippets(spark.createDataFrame(rows, HIT), most=30).collect()
+    assert sorted(r.node_ids[0] for r in got) == ["m", "n3", "n4", "n5"]  # three of a document
+    assert sorted(r.node_ids[0] for r in retrieve.snippets(spark.createDataFrame(rows, HIT), most=2).collect()) == ["n4", "n5"]
+
+
+def test_suggest_contained_tags(spark):
+    nodes = spark.createDataFrame([(1, "Memory graphs keep notes"), (2, "nothing fits"), (3, None)], "node_id int, content string")
+    tags = spark.createDataFrame([(9, "#memory"), (9, "#knowledge-graphs"), (1, "#notes"), (9, "#notes"), (9, "#keepsake")], "node_id int, tag string")
+    got = {(r.node_id, r.tag, r.confidence) for r in mining.suggest_tags(nodes, tags, contained=True).collect()}
+    assert got == {(1, "#memory", 0.8), (1, "#knowledge-graphs", 0.3), (1, "#keepsake", 0.3)}
+
+
 def test_distill(spark):
     docs = spark.createDataFrame([(1, "User: Hi\n\nbye", "s"), (2, "hi", "t"), (3, " HI ", "u")], "doc_id long, text string, source string")
     rows = {r.content: r.n for r in distill.distill_lines(docs).collect()}
