@@ -7,8 +7,10 @@ from .embedding_dedup import OP1_SQL, op1_embedding_dedup
 from .language import op5_language
 from .line_dedup import OP10_SQL, op10_line_dedup
 from .minhash import op9_minhash
+from .mixing import OP11_SQL, op11_mixing
 from .ngram import op6_ngram
 from .quality import op3_quality
+from .repair import op13_repair
 from .secrets import op4_secrets
 
 QUERIES = {
@@ -22,5 +24,7 @@ QUERIES = {
     "op8_bpe": op8_bpe,
     "op9_minhash": op9_minhash,
     "op10_line_dedup": op10_line_dedup,
+    "op11_mixing": op11_mixing,
+    "op13_repair": op13_repair,
 }
-ORACLE = {"op1_embedding_dedup": OP1_SQL, "op2_decontaminate": OP2_SQL, "op10_line_dedup": OP10_SQL}
+ORACLE = {"op1_embedding_dedup": OP1_SQL, "op2_decontaminate": OP2_SQL, "op10_line_dedup": OP10_SQL, "op11_mixing": OP11_SQL}
