@@ -208,9 +208,9 @@ def span_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.nd
     return Spans(data).of(starts, ends)
 
 
-def word_spans(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(starts, ends, first): byte spans of the words of all rows; row i has words first[i] to first[i + 1]."""
-    word = ~_SPACE[data]
+def word_spans(data: np.ndarray, offsets: np.ndarray, breaks: np.ndarray = _SPACE) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(starts, ends, first): byte spans of the words of all rows; row i has words first[i] to first[i + 1]. breaks: by byte."""
+    word = ~breaks[data]
     edge = np.zeros(len(data) + 1, dtype=bool)
     edge[offsets] = True
     before = np.empty_like(word)
@@ -222,11 +222,11 @@ def word_spans(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.nd
     return starts, ends, np.searchsorted(starts, offsets)
 
 
-def hashed_words(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-    """(hash of each lower-cased word, first word of each row and the end)."""
+def hashed_words(column: pa.Array, breaks: np.ndarray = _SPACE) -> tuple[np.ndarray, np.ndarray]:
+    """(hash of each lower-cased word, first word of each row and the end). breaks: bytes that end words."""
     data, offsets = text_bytes(column)
     data = _LOWER[data]
-    starts, ends, first = word_spans(data, offsets)
+    starts, ends, first = word_spans(data, offsets, breaks)
     return span_hashes(data, starts, ends), first
 
 

@@ -5,6 +5,7 @@ from .chat import op7_chat
 from .decontaminate import OP2_SQL, op2_decontaminate
 from .embedding_dedup import OP1_SQL, op1_embedding_dedup
 from .language import op5_language
+from .lexical import OP12_SQL, op12_search
 from .line_dedup import OP10_SQL, op10_line_dedup
 from .minhash import op9_minhash
 from .mixing import OP11_SQL, op11_mixing
@@ -25,6 +26,7 @@ QUERIES = {
     "op9_minhash": op9_minhash,
     "op10_line_dedup": op10_line_dedup,
     "op11_mixing": op11_mixing,
+    "op12_search": op12_search,
     "op13_repair": op13_repair,
 }
-ORACLE = {"op1_embedding_dedup": OP1_SQL, "op2_decontaminate": OP2_SQL, "op10_line_dedup": OP10_SQL, "op11_mixing": OP11_SQL}
+ORACLE = {"op1_embedding_dedup": OP1_SQL, "op2_decontaminate": OP2_SQL, "op10_line_dedup": OP10_SQL, "op11_mixing": OP11_SQL, "op12_search": OP12_SQL}
