@@ -2,6 +2,9 @@
 
 import math
 import os
+import shutil
+import subprocess
+import sys
 
 import duckdb
 import pytest
@@ -47,3 +50,16 @@ def test_entry(spark):
 
     assert __spark_entry__.entry(spark).count() > 0
     assert set(__spark_entry__.oracle_sql()) <= set(__spark_entry__.queries())
+
+
+@pytest.mark.parametrize("gone", [["corpusgraph/llm", "tests/llm"], ["corpusgraph/llm", "tests/llm", "corpus_pipeline.py"], ["corpus_pipeline.py"], []])
+def test_entry_without_optional_parts(tmp_path, gone):
+    """The entry imports whichever of the optional parts were deleted, and has all other queries."""
+    top = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+    shutil.copytree(top, tmp_path / "repo", ignore=lambda at, names: [n for n in names if n in (".git", "__pycache__") or os.path.relpath(os.path.join(at, n), top) in gone])
+    run = subprocess.run([sys.executable, "-c", "import __spark_entry__ as e; print('NAMES', *e.queries())"], cwd=tmp_path / "repo", capture_output=True, text=True, timeout=120, env=os.environ | {"PYTHONPATH": str(tmp_path / "repo")})
+    assert run.returncode == 0, run.stderr[-600:]
+    names = set(run.stdout.split("NAMES")[1].split())
+    assert set(catalog.QUERIES) <= names
+    assert any(n.startswith("op1_") for n in names) == (os.path.isdir(os.path.join(top, "corpusgraph", "llm")) and "corpusgraph/llm" not in gone)
+    assert "pipeline" not in names or not gone
