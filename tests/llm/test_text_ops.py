@@ -12,6 +12,7 @@ import zlib
 import numpy as np
 import pyarrow as pa
 import pytest
+import xxhash
 from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
@@ -408,18 +409,95 @@ def test_many_secrets_in_one_text(spark):
     assert len(r.hex) == 1500
 
 
-def test_false_discoveries_among_words(spark):
-    """Identifiers of natural words with digits are hardly ever taken for secrets, keys nearly always are."""
-    rng = random.Random(11)
-    parts = ["time", "hour", "under", "light", "round", "water", "point", "great", "where", "through", "much", "before", "line", "right", "mean", "same", "tell", "boy", "follow", "came", "want", "show"]
-    alphabet = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789"
-    word = lambda: "".join(rng.choices(parts, k=rng.randint(5, 8)))
-    rows = [(i, " ".join(word() for _ in range(40))) for i in range(50)]
-    rows += [(100 + i, f"{'_'.join(rng.choices(parts, k=6))}_{rng.randint(1, 9)}") for i in range(100)]
-    rows += [(300 + i, "".join(rng.choices(alphabet, k=40))) for i in range(200)]
-    found = {r.doc_id for r in secrets.find_secrets(frame(spark, rows)).filter("size(random) > 0").select("doc_id").collect()}
-    keys, words = sum(i >= 300 for i in found), sum(i < 300 for i in found)
-    assert keys >= 160 and words <= 0.1 * (keys + words)
+def plain_deviates(token):
+    """(encoding, length, chi-squared, runs and serial deviates) of a token, in loops."""
+    body = token.rstrip("=").replace("-", "+").replace("_", "/")
+    enc = "hex" if re.fullmatch("[0-9a-f]+|[0-9A-F]+", token) and re.search("[0-9]", token) else "base32" if re.fullmatch("[A-Z2-7]+=*", token) else "base64"
+    symbols = secrets.ALPHABETS[enc]
+    x = [symbols.find(c) for c in (body.lower() if enc == "hex" else body)]
+    n, size, mean = len(x), len(symbols), sum(x) / len(x)
+    chi = (size / n * sum(c * c for c in collections.Counter(x).values()) - n - (size - 1)) / math.sqrt(2 * (size - 1) * (n - 1) / n)
+    up = [v > size / 2 - 0.5 for v in x]
+    high, expected = sum(up), 2 * sum(up) * (n - sum(up)) / n + 1
+    runs = 1 + sum(a != b for a, b in zip(up, up[1:]))
+    runs = math.sqrt(1.4 * n) if high in (0, n) else abs((runs - expected) / math.sqrt(max((expected - 1) * (expected - 2) / (n - 1), 1e-9)))
+    serial = abs(sum((a - mean) * (b - mean) for a, b in zip(x, x[1:])) / max(sum((a - mean) ** 2 for a in x), 1e-9) * math.sqrt(n))
+    return enc, n, chi, runs, serial
+
+
+def plain_cell(token):
+    enc, n, chi, runs, serial = plain_deviates(token)
+    score = max(-12, min(4, -chi - max(0, runs - 1) ** 2 / 2 - max(0, serial - 1) ** 2 / 2))
+    return enc, min(15, (n - 20) // 4), math.floor(score * 4)
+
+
+def plain_decoys(text):
+    h = np.uint64(xxhash.xxh64(text.encode(), seed=42).intdigest()).astype(np.int64).item()
+    at = h % max(1, len(text) - 500)
+    words = re.findall(secrets.DECOY_WORD, text[at : at + 500])
+    number = lambda i: str((h + i * 7919) % 1000)
+    cap = [w.capitalize() for w in words]
+    style = ["".join(cap), "_".join(w + number(i) * (i % 2) for i, w in enumerate(words)), "".join(w + number(i) * (i % 3 == 2) for i, w in enumerate(cap))][h % 3]
+    lengths = [20 + 4 * (4 * k + h % 4) for k in range(4)]
+    return [x[:n] for x in (style, "".join(words).upper(), " ".join(words).encode().hex()) for n in lengths if n <= len(x)]
+
+
+def plain_random(rows):
+    """{row: spans} that the battery adds, in loops."""
+    natural = re.compile("([A-Za-z]?[a-z]*([-_/][A-Za-z]?[a-z]*)*|[0-9]*)=*")
+    every = [(k, m.start(), m.end(), m.group()) for k, (_, t) in enumerate(rows) for m in re.finditer(secrets.TOKEN, t or "")]
+    tokens = [(k, a, e, plain_cell(x)) for k, a, e, x in every if not natural.fullmatch(x)]
+    decoys = collections.defaultdict(list)
+    for _, t in [*rows, *((None, [x]) for *_, x in every if natural.fullmatch(x))]:
+        for x in t if isinstance(t, list) else plain_decoys(t or ""):
+            enc, c, b = plain_cell(x)
+            decoys[enc, c].append(b)
+    found = []
+    for *_, (enc, c, b) in tokens:
+        pool, k = list(decoys[enc, c]), c - 1
+        while len(pool) < 400 and k >= 0:
+            pool, k = pool + decoys[enc, k], k - 1
+        found.append((1 + sum(x >= b for x in pool)) / (1 + len(pool)))
+    ordered = sorted(found)
+    limit = max((p for i, p in enumerate(ordered) if p <= 0.05 * (i + 1) / len(ordered)), default=-1)
+    return sorted((k, a, e) for (k, a, e, _), p in zip(tokens, found) if p <= limit)
+
+
+def planted(rng, rows, n):
+    """n random keys of 20 to 60 symbols and n natural identifiers and encoded words, each in a text of its own."""
+    words = [w for _, t in rows for w in re.findall("[A-Za-z]+", t or "")]
+    alphabets = [secrets.ALPHABETS["base64"][:62], secrets.ALPHABETS["base32"], secrets.ALPHABETS["hex"]]
+    keys = [(10_000 + i, f"Some words, {''.join(rng.choices(alphabets[i % 3], k=rng.randint(20, 60)))} and more.") for i in range(n)]
+    forms = [lambda w: "".join(x.capitalize() for x in w), lambda w: "_".join(x + (str(rng.randint(0, 99)) if rng.random() < 0.4 else "") for x in w), lambda w: "".join(w).upper(), lambda w: " ".join(w).encode().hex()]
+    return keys + [(20_000 + i, f"Some words, {forms[i % 4](rng.choices(words, k=14))[: rng.randint(20, 60)]} and more.") for i in range(n)]
+
+
+def test_random_tokens_against_loops(spark, sf):
+    """Planted keys are found, natural tokens left alone, and the spans are those of a plain version."""
+    rows = [tuple(r) for r in spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text").collect()] + EDGE
+    rows += planted(random.Random(5), rows, 600)
+    got = secrets.find_secrets(frame(spark, rows)).select("doc_id", F.explode("random").alias("x")).select("doc_id", "x.s", "x.e").collect()
+    want = plain_random(rows)
+    assert sorted(((r.doc_id, r.s, r.e) for r in got), key=str) == sorted(((rows[k][0], a, e) for k, a, e in want), key=str)
+    keys, others = (len({r.doc_id for r in got if lo <= (r.doc_id or 0) < lo + 10_000}) for lo in (10_000, 20_000))
+    assert keys >= 0.9 * 600 and others <= 0.05 * (keys + others)
+
+
+def test_given_tables_have_random_tokens(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    assert secrets.find_secrets(docs).agg(F.sum(F.size("random"))).first()[0] > 0
+
+
+@pytest.mark.parametrize("symbol", list("=-_/+0a"))
+def test_runs_of_one_symbol(spark, symbol):
+    """Headings and rules are no secrets and stop nothing, alone or beside secrets."""
+    rng = random.Random(3)
+    rows = [(n, f"Title\n{symbol * n}\ntext") for n in (15, 16, 19, 20, 21, 63, 64, 100)] + [(200, f"token = {rng.randbytes(20).hex()}\n{symbol * 40}\n{symbol * 25}={symbol * 25}")] + [(300 + i, "Plain words stand here for the decoys of this test. " * 9) for i in range(30)]
+    got = {r.doc_id: r for r in secrets.find_secrets(frame(spark, rows)).collect()}
+    text = dict(rows)
+    for i, r in got.items():
+        assert sorted((x.s, x.k, x.e, x.name) for x in r.assign + r.access + r.hex) == base_spans(text[i])
+        assert all(len(set(x.m)) > 2 for x in r.random)
 
 
 # --- decontamination --------------------------------------------------------------------------------
