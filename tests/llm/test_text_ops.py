@@ -472,15 +472,16 @@ def planted(rng, rows, n):
     return keys + [(20_000 + i, f"Some words, {forms[i % 4](rng.choices(words, k=14))[: rng.randint(20, 60)]} and more.") for i in range(n)]
 
 
-def test_random_tokens_against_loops(spark, sf):
-    """Planted keys are found, natural tokens left alone, and the spans are those of a plain version."""
-    rows = [tuple(r) for r in spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text").collect()] + EDGE
+@pytest.mark.parametrize("table, least", [("sf0.001", 0.8), ("sf0.01", 0.9)])
+def test_random_tokens_against_loops(spark, table, least):
+    """Planted keys are found (the fewer documents, the fewer decoys), natural tokens left alone, and the spans are those of a plain version."""
+    rows = [tuple(r) for r in spark.read.parquet(f"/root/testdata/{table}/documents.parquet").select("doc_id", "text").collect()] + EDGE
     rows += planted(random.Random(5), rows, 600)
     got = secrets.find_secrets(frame(spark, rows)).select("doc_id", F.explode("random").alias("x")).select("doc_id", "x.s", "x.e").collect()
     want = plain_random(rows)
     assert sorted(((r.doc_id, r.s, r.e) for r in got), key=str) == sorted(((rows[k][0], a, e) for k, a, e in want), key=str)
     keys, others = (len({r.doc_id for r in got if lo <= (r.doc_id or 0) < lo + 10_000}) for lo in (10_000, 20_000))
-    assert keys >= 0.9 * 600 and others <= 0.05 * (keys + others)
+    assert keys >= least * 600 and others <= 0.05 * (keys + others)
 
 
 def test_given_tables_have_random_tokens(spark):
