@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import itertools
-
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -45,25 +43,54 @@ def simhash64(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataF
     return sums.select(key, packed.alias("simhash"))
 
 
+def hamming_blocks(distance: int) -> tuple[int, int]:
+    """(blocks, radius): of so many blocks of a 64-bit print one differs in `radius` bits at most, if the prints differ in `distance`."""
+    blocks = max(2, -(-(distance + 1) // 3)) if distance else 1
+    return blocks, distance // blocks
+
+
+def _blocks_of_bits(blocks: int) -> list[tuple[range, Column]]:
+    """The bits of each block of a 64-bit print, and their mask."""
+    ends = [64 * i // blocks for i in range(blocks + 1)]
+    masks = [sum(1 << b for b in range(lo, hi)) for lo, hi in zip(ends, ends[1:])]
+    return [(range(lo, hi), F.lit(m - (1 << 64) if m >> 63 else m).cast("long")) for lo, hi, m in zip(ends, ends[1:], masks)]
+
+
+def hamming_keys(prints: DataFrame, blocks: int, flip: bool, bit: str) -> DataFrame:
+    """prints with block, key and `bit`: the print's own bits of each block (bit -1) and, with `flip`, those with one bit flipped."""
+    def block(i: int, bits: range, mask: Column) -> list[Column]:
+        own = F.col("simhash").bitwiseAND(mask)
+        row = lambda key, at: F.struct(F.lit(i).alias("block"), key.alias("key"), at.alias(bit))
+        flipped = F.transform(F.sequence(F.lit(bits[0]), F.lit(bits[-1])), lambda b: row(own.bitwiseXOR(F.call_function("shiftleft", F.lit(1).cast("long"), b)), b))
+        return [F.array(row(own, F.lit(-1))), flipped][: 1 + flip]
+
+    options = [x for i, (bits, mask) in enumerate(_blocks_of_bits(blocks)) for x in block(i, bits, mask)]
+    return prints.select("*", F.explode(F.concat(*options)).alias("k")).select(*prints.columns, "k.*")
+
+
 def near_duplicates(prints: DataFrame, distance: int = 3, key: str = "doc_id") -> tuple[DataFrame, DataFrame]:
-    """(pairs, members): pairs of distinct fingerprints within the distance, by their smallest ids, and who has each.
+    """(pairs, members): pairs of distinct fingerprints within the distance (0 to 8), by their smallest ids, and who has each.
 
-    Fingerprints are cut into distance + 1 blocks of even width: two within the distance agree in one of them, so
-    nothing is lost. Over a distance of 4 a block would say too little: of distance + 2 blocks they agree in two.
-    Equal fingerprints are one class, so a group of copies gives no pairs.
+    Prints are cut into blocks, one of which differs in two bits at most: two blocks of 32 bits up to a distance of 5, three of 21 or 22
+    bits beyond. Each side flips at most one bit of a block, so prints meet by equality of wide keys, and a print has at most 67
+    of them. A pair counts in its first near block, where the left side flips the one bit or the lower of two that differ,
+    so it comes once. Equal fingerprints are one class, so a group of copies gives no pairs.
     """
+    if not 0 <= distance <= 8:
+        raise ValueError("distance is 0 to 8")
     classes = prints.groupBy("simhash").agg(F.min(key).alias("rep"))
     members = prints.join(classes, "simhash").select(key, "rep")
-    agree = 1 if distance <= 4 else 2
-    n = distance + agree
-    ends = [64 * i // n for i in range(n + 1)]
-    blocks = [sum(1 << b for b in range(ends[i], ends[i + 1])) for i in range(n)]
-    masks = [sum(m) for m in itertools.combinations(blocks, agree)]
-    band = F.array(*[F.col("simhash").bitwiseAND(F.lit(m - (1 << 64) if m >> 63 else m).cast("long")) for m in masks])
-    banded = classes.select("rep", "simhash", F.posexplode(band).alias("band", "part"))
-    left, right = banded.select("band", "part", F.col("rep").alias("a"), F.col("simhash").alias("x")), banded.select("band", "part", F.col("rep").alias("b"), F.col("simhash").alias("y"))
-    pairs = left.join(right, ["band", "part"]).filter("a < b").withColumn("distance", T.hamming(F.col("x"), F.col("y"))).filter(F.col("distance") <= distance)
-    return pairs.select("a", "b", "distance").distinct(), members
+    blocks, radius = hamming_blocks(distance)
+    left = hamming_keys(classes.withColumnRenamed("rep", "a"), blocks, radius >= 1, "bit").withColumnRenamed("simhash", "x")
+    right = hamming_keys(classes.withColumnRenamed("rep", "b"), blocks, radius >= 2, "other").withColumnRenamed("simhash", "y")
+    differ = F.col("x").bitwiseXOR(F.col("y"))
+    apart = [F.bit_count(differ.bitwiseAND(mask)) for _, mask in _blocks_of_bits(blocks)]
+    nearer = F.element_at(F.array(*apart), F.col("block") + 1) == (F.col("bit") >= 0).cast("int") + (F.col("other") >= 0).cast("int")
+    once = (F.col("other") < 0) | (F.col("bit") >= 0) & (F.col("bit") < F.col("other"))
+    for i, n in enumerate(apart[:-1]):
+        once = once & ((F.col("block") <= i) | (n > radius))
+    met = left.join(right, ["block", "key"]).filter((F.col("a") < F.col("b")) & (F.bit_count(differ) <= distance) & nearer & once)
+    return met.select("a", "b", T.hamming(F.col("x"), F.col("y")).alias("distance")), members
 
 
 def dedup_geometric(rows: DataFrame, share: float = 0.5, adjacency: int = 500) -> DataFrame:

@@ -15,10 +15,13 @@ from ..functions import text as T
 from .windows import _islands, budget_prefix, rolling_context, round_robin, top_k
 
 
-def text_index(nodes: DataFrame, content: str = "content") -> DataFrame:
-    """(token, node_id, tf, size)."""
+def text_index(nodes: DataFrame, content: str = "content", terms: DataFrame | None = None) -> DataFrame:
+    """(token, node_id, tf, size); with `terms` (token) of these tokens only, which go before anything is shuffled."""
     words = nodes.select("node_id", T.words(F.col(content)).alias("w")).withColumn("size", F.size("w").cast("long"))
-    return words.select("node_id", "size", F.explode("w").alias("token")).groupBy("token", "node_id").agg(F.count("*").alias("tf"), F.first("size").alias("size"))
+    each = words.select("node_id", "size", F.explode("w").alias("token"))
+    if terms is not None:
+        each = each.join(terms.select("token").distinct(), "token", "left_semi")
+    return each.groupBy("token", "node_id").agg(F.count("*").alias("tf"), F.first("size").alias("size"))
 
 
 def terms_of(queries: DataFrame) -> DataFrame:

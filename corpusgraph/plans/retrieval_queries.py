@@ -19,6 +19,11 @@ def nodes(t: Tables) -> DataFrame:
     return t.documents.select(F.col("doc_id").alias("node_id"), F.col("text").alias("content"), "source")
 
 
+def _asked_index(t: Tables, n: DataFrame) -> DataFrame:
+    """The index of the words that the items ask for."""
+    return retrieve.text_index(n, terms=retrieve.terms_of(questions(t)))
+
+
 INDEX = f"""index_ AS (SELECT token, node_id, count(*) AS tf, any_value(size) AS size FROM (SELECT doc_id AS node_id, unnest(w) AS token, len(w) AS size FROM (SELECT doc_id, {WORDS.format('text')} AS w FROM documents)) GROUP BY token, node_id),
   q0 AS (SELECT item_id AS query_id, {WORDS.format('text')} AS w FROM benchmark),
   terms AS (SELECT DISTINCT query_id, unnest(CASE WHEN len(list_filter(w, lambda x: NOT list_contains({STOP}, x))) > 0 THEN list_filter(w, lambda x: NOT list_contains({STOP}, x)) ELSE w END) AS token FROM q0),
@@ -45,13 +50,13 @@ def text_index(t: Tables) -> DataFrame:
 @query(f"WITH {INDEX} SELECT * FROM scored QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY score DESC, node_id) <= 10")
 def lexical_search(t: Tables) -> DataFrame:
     n = nodes(t)
-    return retrieve.lexical_search(questions(t), retrieve.text_index(n), n)
+    return retrieve.lexical_search(questions(t), _asked_index(t, n), n)
 
 
 @query(f"WITH {INDEX} SELECT scored.* FROM scored JOIN (SELECT query_id, count(*) AS n FROM terms GROUP BY 1) USING (query_id) WHERE hits = n QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY score DESC, node_id) <= 10")
 def traditional_search(t: Tables) -> DataFrame:
     n = nodes(t)
-    return retrieve.traditional_search(questions(t), retrieve.text_index(n), n).drop("n")
+    return retrieve.traditional_search(questions(t), _asked_index(t, n), n).drop("n")
 
 
 @query(f"""WITH {INDEX.replace('documents', 'documents')}, {TAGS.replace('pairs_', 'pairs__')}, positions AS (SELECT DISTINCT doc_id, tag, floor((start_byte + end_byte) / 2)::BIGINT AS x FROM tagged JOIN molecules USING (mol_id)),
@@ -65,7 +70,7 @@ def position_lookup(t: Tables) -> DataFrame:
 def hits(t: Tables) -> DataFrame:
     """Sentences found for each item: query_id, node_id, content, source, compound_id, seq, byte range, score."""
     mols = molecules(t).withColumnRenamed("mol_id", "node_id")
-    found = retrieve.lexical_search(questions(t), retrieve.text_index(mols), mols, 20)
+    found = retrieve.lexical_search(questions(t), _asked_index(t, mols), mols, 20)
     return found.join(mols.select("node_id", "content", F.col("bucket").alias("source"), "compound_id", "seq", "start_byte", "end_byte"), "node_id")
 
 
@@ -96,7 +101,7 @@ def neighbour_context(t: Tables) -> DataFrame:
   b AS (SELECT * FROM k QUALIFY row_number() OVER (PARTITION BY query_id, w ORDER BY node_id) <= 20) SELECT DISTINCT query_id, node_id, 0.8::DOUBLE AS score FROM b""")
 def tag_fallback(t: Tables) -> DataFrame:
     n = nodes(t)
-    found = retrieve.traditional_search(questions(t), retrieve.text_index(n), n, 1000)
+    found = retrieve.traditional_search(questions(t), _asked_index(t, n), n, 1000)
     return retrieve.tag_fallback(questions(t), found, tags(t))
 
 

@@ -279,6 +279,21 @@ def test_near_duplicates_far(spark):
     assert len(want) >= 20 and {(r.a, r.b) for r in pairs.collect()} == want
 
 
+@pytest.mark.parametrize("distance", range(9))
+def test_near_duplicates_every_distance(spark, distance):
+    """Every pair once: random prints, prints that differ in few bits of one block or of all, the sign bit, copies."""
+    import random
+
+    rng = random.Random(distance)
+    base = [rng.getrandbits(64) for _ in range(25)] + [0, (1 << 64) - 1, 1 << 63]
+    prints = base + [b ^ sum(1 << i for i in rng.sample(range(*rng.choice([(0, 64), (0, 21), (32, 64), (50, 64)])), rng.randrange(0, 10))) for b in base for _ in range(6)]
+    signed = [p - (1 << 64) if p >> 63 else p for p in prints]
+    found = [(r.a, r.b, r.distance) for r in dedup.near_duplicates(spark.createDataFrame(list(enumerate(signed)), "doc_id long, simhash long"), distance)[0].collect()]
+    rep = {p: i for i, p in reversed(list(enumerate(prints)))}
+    want = {(min(a, b), max(a, b), (x ^ y).bit_count()) for x, a in rep.items() for y, b in rep.items() if a < b and (x ^ y).bit_count() <= distance}
+    assert len(found) == len(set(found)) and set(found) == want
+
+
 def test_simhash_synonyms_brute_force(spark):
     import collections
     import random
