@@ -145,6 +145,11 @@ def row_count(df: DataFrame) -> DataFrame:
     return df.agg(F.count("*").alias("n"))
 
 
+def column_names(df: DataFrame) -> DataFrame:
+    """(position, name, type) of the columns."""
+    return df.sparkSession.createDataFrame([(i, f.name, f.dataType.simpleString()) for i, f in enumerate(df.schema)], "position int, name string, type string")
+
+
 # --- predicates -------------------------------------------------------------------------------------
 
 

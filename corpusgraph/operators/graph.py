@@ -126,9 +126,9 @@ def illuminate(tags: DataFrame, molecules: DataFrame, hubs: int = 20, budget: in
 
 #: Parameter sets of the walk
 PROFILES = {
-    "standard": {"radius": 1, "gamma": 0.85, "rate": 1e-5, "threshold": 0.1, "k": 50, "byte_radius": 1000},
-    "high_budget": {"radius": 2, "gamma": 0.85, "rate": 1e-5, "threshold": 0.05, "k": 150, "byte_radius": 1000},
-    "max_recall": {"radius": 3, "gamma": 1.0, "rate": 0.0, "threshold": 0.0, "k": 1000, "byte_radius": 1000},
+    "standard": {"gamma": 0.85, "rate": 1e-5, "threshold": 0.1, "k": 50, "byte_radius": 1000},
+    "high_budget": {"gamma": 0.85, "rate": 1e-5, "threshold": 0.05, "k": 150, "byte_radius": 1000},
+    "max_recall": {"gamma": 1.0, "rate": 0.0, "threshold": 0.0, "k": 1000, "byte_radius": 1000},
 }
 
 PARTS = 16
@@ -164,7 +164,7 @@ def gravity_walk(anchors: DataFrame, nodes: DataFrame, tags: DataFrame, profile:
 
     anchors: query_id, node_id; nodes: node_id, ts, simhash, compound_id, start_byte, end_byte.
     A node is scored against every anchor that shares a tag with it or lies near it in the text, and
-    keeps its best. Nodes that are reached over further hops share no tag and score by closeness only.
+    keeps its best. Both are one hop away, so profiles differ by damping, threshold and number, not by hops.
     Shared tags are counted once for an anchor, whatever number of queries has it. Up to ANCHOR_ROWS the anchors'
     tags go to every task and the tags are dealt by node, so that pairs are made, counted and scored where their
     node is and only each task's best leave it. Beyond, anchors and nodes meet by tag, with the nodes of a tag dealt
@@ -184,10 +184,7 @@ def gravity_walk(anchors: DataFrame, nodes: DataFrame, tags: DataFrame, profile:
     most = gravity(F.col("shared"), F.lit(1), F.col("bonus"), F.lit(0.0), F.lit(0), p["gamma"], p["rate"])  # no time apart, no differing bits
     met = met.filter(F.round(most, 6) > p["threshold"]).join(send(starts), "anchor")
     met = met.join(send(starts.withColumnRenamed("anchor", "node_id")), ["query_id", "node_id"], "left_anti")
-    if p["radius"] > 1:
-        met = met.join(bfs_tags(anchors, tags, p["radius"], most_degree=most_degree), ["query_id", "node_id"], "left").withColumn("hop", F.coalesce("hop", F.lit(1)))
-    else:
-        met = met.withColumn("hop", F.lit(1))  # all that share a tag are one hop away, and what only lies near counts as that
+    met = met.withColumn("hop", F.lit(1))  # all that share a tag are one hop away, and what only lies near counts as that
     of_anchor = asked.join(nodes.select(F.col("node_id").alias("anchor"), F.col("ts").alias("anchor_ts"), F.col("simhash").alias("anchor_bits")), "anchor")
     met = met.join(nodes.select("node_id", "ts", "simhash"), "node_id").join(send(of_anchor), "anchor")
     hours = (F.unix_micros(F.col("ts").cast("timestamp")) - F.unix_micros(F.col("anchor_ts").cast("timestamp"))) / 3.6e9

@@ -101,3 +101,8 @@ def graph_report(tags: DataFrame, documents: DataFrame, most: int = 50) -> DataF
 def report_markdown(report: DataFrame) -> DataFrame:
     """The report as lines of Markdown, in order."""
     return report.orderBy("section", "rank").select(F.format_string("- %s %d: %s (%d)", "section", "rank", "key", "value").alias("value"))
+
+
+def global_tags(rows: DataFrame, column: str = "tags", k: int = 50) -> DataFrame:
+    """(tag): the first k distinct non-empty tags of the arrays, by name."""
+    return rows.select(F.explode(column).alias("tag")).filter("tag <> ''").distinct().orderBy("tag").limit(k)

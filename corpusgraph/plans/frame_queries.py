@@ -69,6 +69,11 @@ def agg_all(t: Tables) -> DataFrame:
     return frame.agg_all(t.lineitem, aggregates, ["l_returnflag"]).filter("n > 10")
 
 
+@query("SELECT (row_number() OVER () - 1)::INTEGER AS position, column_name AS name, lower(replace(replace(column_type, 'VARCHAR', 'string'), 'INTEGER', 'int')) AS type FROM (DESCRIBE SELECT * FROM documents)")
+def column_names(t: Tables) -> DataFrame:
+    return frame.column_names(t.documents)
+
+
 @query("SELECT count(*) AS n FROM lineitem")
 def row_count(t: Tables) -> DataFrame:
     return frame.row_count(t.lineitem)

@@ -78,6 +78,11 @@ def list_tags(t: Tables) -> DataFrame:
     return tagstats.list_values(tags(t), "tag", bucket="src1")
 
 
+@query(f"WITH {TAGS} SELECT DISTINCT tag FROM tags WHERE tag <> '' ORDER BY tag LIMIT 50")
+def global_tags(t: Tables) -> DataFrame:
+    return tagstats.global_tags(tags(t).groupBy("node_id").agg(F.collect_set("tag").alias("tags")))
+
+
 @query("SELECT DISTINCT source AS value FROM documents ORDER BY value LIMIT 5000")
 def list_buckets(t: Tables) -> DataFrame:
     return tagstats.list_values(t.documents, "source")

@@ -5,9 +5,9 @@ import tempfile
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..operators import lifecycle, sensitive
+from ..operators import buckets, lifecycle, sensitive
 from ..sources import corpus, sinks
-from ..streaming import jobs
+from ..streaming import jobs, stateful
 from .corpus_queries import NORM, TAGS, molecules
 from .registry import Tables, query
 
@@ -195,6 +195,26 @@ def backup_restore(t: Tables) -> DataFrame:
     return first.unionByName(second)
 
 
+def _bucketed(t: Tables, rows: DataFrame, *keys: str) -> buckets.Bucketed:
+    return buckets.Bucketed(t.spark, _folder(t), rows.schema, keys).create(rows)
+
+
+@query("SELECT o_orderkey, o_totalprice FROM orders WHERE o_orderkey % 3 <> 0 UNION ALL SELECT o_orderkey, o_totalprice + 1 FROM orders WHERE o_orderkey % 3 = 0")
+def bucketed_upsert(t: Tables) -> DataFrame:
+    rows = t.orders.select("o_orderkey", "o_totalprice")
+    table = _bucketed(t, rows, "o_orderkey")
+    table.upsert(rows.filter("o_orderkey % 3 = 0").withColumn("o_totalprice", F.col("o_totalprice") + 1))
+    return table.read()
+
+
+@query("SELECT doc_id, source FROM documents WHERE source <> 'src1'")
+def bucketed_purge(t: Tables) -> DataFrame:
+    rows = t.documents.select("doc_id", "source")
+    table = _bucketed(t, rows, "source")
+    table.remove(rows.filter("source = 'src1'").select("source").distinct())
+    return table.read()
+
+
 @query()
 def yaml_lines(t: Tables) -> DataFrame:
     return t.orders.select(sinks.yaml_line(t.orders))
@@ -204,10 +224,13 @@ def yaml_lines(t: Tables) -> DataFrame:
 
 
 def _folder(t: Tables) -> str:
-    """A folder for a stream's tables: the cluster's shared one, or a temporary one where none is set."""
+    """A folder for a query's own tables: in the cluster's shared one, or a temporary one where none is set, on one machine."""
     import uuid
 
-    return f"{t.spark.conf.get('spark.checkpoint.dir', None) or tempfile.mkdtemp(prefix='spark-')}/stream-{uuid.uuid4().hex}"
+    shared = t.spark.conf.get("spark.checkpoint.dir", None)
+    if not shared and not t.spark.sparkContext.master.startswith("local"):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
+    return f"{shared or tempfile.mkdtemp(prefix='spark-')}/own-{uuid.uuid4().hex}"
 
 
 @query("SELECT hash FROM (SELECT DISTINCT sha256(text) AS hash FROM documents WHERE trim(text) <> '')")
@@ -226,6 +249,21 @@ def stream_distill(t: Tables) -> DataFrame:
     return jobs.distilled(t.spark, f"{folder}/table").select("hash", "n")
 
 
+@query("SELECT hash FROM (SELECT DISTINCT sha256(text) AS hash FROM documents WHERE trim(text) <> '')")
+def stream_unseen(t: Tables) -> DataFrame:
+    rows = jobs.read_stream(t.spark, f"{t.sf_dir}/documents.parquet*", t.documents.schema)
+    return _collected(t, stateful.unseen(rows)).select("hash")
+
+
+@query("""WITH l AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS content FROM documents), n AS (SELECT """ + NORM + """ AS norm FROM l) SELECT sha256(norm) AS hash, count(*) AS n FROM n WHERE norm <> '' GROUP BY 1""")
+def stream_line_counts(t: Tables) -> DataFrame:
+    folder = _folder(t)
+    rows = jobs.read_stream(t.spark, f"{t.sf_dir}/documents.parquet*", t.documents.schema)
+    store = lambda batch, epoch: batch.write.mode("overwrite").parquet(f"{folder}/out/epoch={epoch}")
+    stateful.distill(rows).writeStream.outputMode("update").foreachBatch(store).option("checkpointLocation", f"{folder}/state").trigger(availableNow=True).start().awaitTermination()
+    return t.spark.read.schema("hash string, content string, n long").parquet(f"{folder}/out").groupBy("hash").agg(F.max("n").alias("n"))
+
+
 def _collected(t: Tables, stream: DataFrame) -> DataFrame:
     folder = _folder(t)
     stream.writeStream.format("parquet").outputMode("append").option("path", f"{folder}/out").option("checkpointLocation", f"{folder}/state").trigger(availableNow=True).start().awaitTermination()
