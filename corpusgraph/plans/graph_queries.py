@@ -250,6 +250,16 @@ def gravity_walk(t: Tables) -> DataFrame:
     return graph.gravity_walk(anchors(t), order_nodes(t), part_tags(t), threshold=0.05)
 
 
+@query(f"{_GRAVITY} SELECT query_id, node_id, score, anchor AS best_anchor, 1::INTEGER AS hop, shared FROM top WHERE k <= 150")
+def gravity_walk_high_budget(t: Tables) -> DataFrame:
+    return graph.gravity_walk(anchors(t), order_nodes(t), part_tags(t), "high_budget")
+
+
+@query(f"{_GRAVITY.replace('/ 10 * 0.85', '/ 10 * 1.0').replace('exp(-1e-5 *', 'exp(0 *').replace('score > 0.05', 'score > 0')} SELECT query_id, node_id, score, anchor AS best_anchor, 1::INTEGER AS hop, shared FROM top WHERE k <= 1000")
+def gravity_walk_max_recall(t: Tables) -> DataFrame:
+    return graph.gravity_walk(anchors(t), order_nodes(t), part_tags(t), "max_recall")
+
+
 @query(f"{_GRAVITY} SELECT query_id, node_id, CASE WHEN score > 0.8 AND shared > 2 THEN 'strong bond' WHEN shared >= 3 THEN 'recurring' ELSE 'association' END AS label, shared || ' shared tags, 1 hops' AS reason FROM top WHERE k <= 50")
 def link_labels(t: Tables) -> DataFrame:
     return graph.link_labels(graph.gravity_walk(anchors(t), order_nodes(t), part_tags(t), threshold=0.05)).select("query_id", "node_id", "label", "reason")

@@ -85,6 +85,15 @@ def test_walk_leaves_out_anchors(spark):
     assert graph.gravity_walk(anchors.limit(0), nodes, tags).count() == 0
 
 
+@pytest.mark.parametrize("profile", sorted(graph.PROFILES))
+def test_near_nodes_are_one_hop_away(spark, profile):
+    """A node that lies near the anchor and shares no tag is as far away as one that shares a tag, in every profile."""
+    tags = spark.createDataFrame([("a", "t"), ("b", "t"), ("b", "u"), ("c", "u")], "node_id string, tag string")
+    nodes = spark.createDataFrame([(n, dt.datetime(2024, 1, 1), 0, n if n == "b" else "x", 0, 5) for n in "abc"], "node_id string, ts timestamp, simhash long, compound_id string, start_byte long, end_byte long")
+    rows = graph.gravity_walk(spark.createDataFrame([(1, "a")], "query_id int, node_id string"), nodes, tags, profile, threshold=0.0).collect()
+    assert {(r.node_id, r.hop) for r in rows} == {("b", 1), ("c", 1)}
+
+
 def test_walk_over_hubs(spark):
     from types import SimpleNamespace
 
