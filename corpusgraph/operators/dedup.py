@@ -197,3 +197,37 @@ def merge_windows(rows: DataFrame, radius: int, gap: int = 500, most: int = 4000
 
     kind = dict(rows.dtypes)["compound_id"]
     return rows.groupBy("compound_id").applyInPandas(merged, f"compound_id {kind}, start_byte long, end_byte long")
+
+
+def near_blocks(docs: DataFrame, distance: int = 3, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """(key, root): the smallest key reachable over fingerprints within the distance; itself for texts without words."""
+    pairs, members = near_duplicates(simhash64(docs, key, text), distance, key)
+    roots = components(pairs)
+    named = members.join(roots.withColumnRenamed("node", "rep"), "rep", "left").select(key, F.coalesce("root", "rep").alias("root"))
+    return docs.select(key).distinct().join(named, key, "left").select(key, F.coalesce("root", key).alias("root"))
+
+
+def components(pairs: DataFrame, rounds: int = 100) -> DataFrame:
+    """(node, root): the smallest node reachable over pairs (a, b), for the nodes of pairs.
+
+    Each round every node steps to the first of itself and its neighbours in an order by hash that changes with the round, and
+    once more from there; then steps are contracted, so what is left shrinks by a constant share whatever the shape (an ordered
+    chain, too). Hubs are minima by partial aggregates; rounds are cut by checkpoint(), and only whether pairs are left
+    reaches the driver. A graph that isn't done after `rounds` raises.
+    """
+    from .graph import _cut
+
+    left = _cut(pairs.filter("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
+    names = _cut(left.select("a").union(left.select("b")).distinct().select(F.col("a").alias("node"), F.col("a").alias("at")))
+    for i in range(rounds):
+        if left.isEmpty():
+            roots = names.groupBy("at").agg(F.min("node").alias("root"))
+            return names.join(roots, "at").select("node", "root")
+        both = left.union(left.select("b", "a")).union(left.select("a", "a")).union(left.select("b", "b")).toDF("x", "y")
+        step = both.groupBy("x").agg(F.min(F.struct(F.xxhash64(F.lit(i), "y").alias("h"), "y"))["y"].alias("y"))
+        further = step.select(F.col("x").alias("y"), F.col("y").alias("z"))
+        step = _cut(step.join(further, "y").select("x", "z"))
+        names = _cut(names.join(step.withColumnRenamed("x", "at"), "at", "left").select("node", F.coalesce("z", "at").alias("at")))
+        moved = left.join(step.toDF("a", "to_a"), "a").join(step.toDF("b", "to_b"), "b").filter("to_a <> to_b")
+        left = _cut(moved.select(F.least("to_a", "to_b").alias("a"), F.greatest("to_a", "to_b").alias("b")).distinct())
+    raise RuntimeError("components did not settle; allow more rounds")

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import text as T
+from .dedup import near_blocks
 from .windows import top_k
 
 
@@ -23,8 +24,12 @@ def collect_for_distill(molecules: DataFrame, compounds: list | None = None, buc
 
 def lines(blocks: DataFrame, strict: bool = True) -> DataFrame:
     """(doc_id, source, line_no, content, hash) of the non-blank lines of distinct blocks."""
-    first = top_k(blocks.withColumn("_h", F.sha2("text", 256)), ["_h"], ["doc_id"], 1)
-    rows = first.select("doc_id", "source", F.posexplode(F.split("text", "\n")).alias("line_no", "content"))
+    return lines_of(top_k(blocks.withColumn("_h", F.sha2("text", 256)), ["_h"], ["doc_id"], 1), strict)
+
+
+def lines_of(blocks: DataFrame, strict: bool = True) -> DataFrame:
+    """The same of all blocks, equal ones too."""
+    rows = blocks.select("doc_id", "source", F.posexplode(F.split("text", "\n")).alias("line_no", "content"))
     rows = rows.withColumn("norm", T.normalize_line(F.col("content"), strict)).filter("norm <> ''")
     return rows.withColumn("hash", F.sha2("norm", 256))
 
@@ -55,6 +60,22 @@ def distill_by_tag(blocks: DataFrame, tags: DataFrame) -> DataFrame:
     return rows.groupBy("tag").agg(F.sum("n").alias("total"), F.count("*").alias("unique_lines"))
 
 
+def distill_tags_near(blocks: DataFrame, tags: DataFrame, distance: int = 3) -> DataFrame:
+    """(tag, blocks, kept, total, unique_lines): each class of near-duplicate blocks is one block with the tags of all its members.
+
+    Classes are made over all tags at once, so a text is read and cut once, for the smallest id of its class; then each tag has
+    the lines of its classes. tags: doc_id, tag.
+    """
+    roots = near_blocks(blocks, distance)
+    named = tags.select("doc_id", "tag").distinct().join(roots, "doc_id")
+    sizes = named.groupBy("tag").agg(F.count_distinct("doc_id").alias("blocks"), F.count_distinct("root").alias("kept"))
+    first = blocks.join(roots.select(F.col("root").alias("doc_id")).distinct(), "doc_id", "left_semi")
+    counted = lines_of(first).groupBy("doc_id", "hash").agg(F.count("*").alias("n"))
+    held = counted.join(named.select(F.col("root").alias("doc_id"), "tag").distinct(), "doc_id").groupBy("tag", "hash").agg(F.sum("n").alias("n"))
+    per = held.groupBy("tag").agg(F.sum("n").alias("total"), F.count("*").alias("unique_lines"))
+    return sizes.join(per, "tag", "left").fillna(0, ["total", "unique_lines"])
+
+
 def reassemble(distilled: DataFrame, lines_per_chunk: int = 1000, parts: int = 200) -> DataFrame:
     """(chunk, place, content) in order of first appearance.
 

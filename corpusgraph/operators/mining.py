@@ -103,3 +103,35 @@ def cleanup_tags(tags: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(kept rows, removed tags with counts)."""
     noise = T.is_noise_tag(F.col("tag"))
     return tags.filter(~noise), tags.filter(noise).groupBy("tag").agg(F.count("*").alias("removed"))
+
+
+def named_tags(queries: DataFrame, tags: DataFrame) -> DataFrame:
+    """(query_id, tag): tags whose name is a word of the query."""
+    words = queries.select("query_id", F.explode(F.array_distinct(T.words(F.col("query")))).alias("token"))
+    return words.join(tags.select("tag").distinct().withColumn("token", F.lower(F.regexp_replace("tag", "^#", ""))), "token").select("query_id", "tag").distinct()
+
+
+def related_tags(tags: DataFrame, asked: DataFrame | None = None, support: int = 2, k: int = 5) -> DataFrame:
+    """(tag, other, n, pmi): the k tags that stand with a tag most beyond chance, in `support` nodes or more.
+
+    Only tags of `support` nodes or more can be in a pair, and only `asked` ones (tag) on its left, so both sides are cut before
+    they meet by node. pmi is ln(n * nodes / (uses * other's uses)), above zero; ties go by name.
+    """
+    own = tags.select("node_id", "tag").distinct()
+    uses = own.groupBy("tag").agg(F.count("*").alias("uses"))
+    nodes = own.agg(F.count_distinct("node_id").alias("nodes"))
+    fit = own.join(uses.filter(F.col("uses") >= support).select("tag"), "tag", "left_semi")
+    left = fit.join(asked.select("tag").distinct(), "tag", "left_semi") if asked is not None else fit
+    met = left.join(fit.withColumnRenamed("tag", "other"), "node_id").filter("tag <> other").groupBy("tag", "other").agg(F.count("*").alias("n")).filter(F.col("n") >= support)
+    scored = met.join(uses.withColumnRenamed("uses", "x"), "tag").join(uses.select(F.col("tag").alias("other"), F.col("uses").alias("y")), "other").crossJoin(F.broadcast(nodes))  # one row
+    lift = F.col("n").cast("double") * F.col("nodes") / (F.col("x").cast("double") * F.col("y"))
+    best = top_k(scored.withColumn("lift", lift).filter("lift > 1"), ["tag"], [F.col("lift").desc(), "other"], k)
+    return best.select("tag", "other", "n", F.round(F.log("lift"), 6).alias("pmi"))
+
+
+def expand_related(asked: DataFrame, tags: DataFrame, support: int = 2, k: int = 5, points: int = 5) -> DataFrame:
+    """(query_id, term, score): related tags of the tags that a query names, without those; the k furthest beyond chance. asked: query_id, tag."""
+    related = related_tags(tags, asked, support, k)
+    met = asked.join(related, "tag").select("query_id", F.col("other").alias("term"), "pmi")
+    new = met.join(asked.withColumnRenamed("tag", "term"), ["query_id", "term"], "left_anti").groupBy("query_id", "term").agg(F.max("pmi").alias("pmi"))
+    return top_k(new, ["query_id"], [F.col("pmi").desc(), "term"], k).select("query_id", "term", F.lit(points).alias("score"))

@@ -93,8 +93,11 @@ class RangedReader(DataSourceReader):
             def cut(k: int, before: bytes) -> int:
                 return size if k * w >= size else 0 if k == 0 else cut_before(k * w, w, before, (k - 1) * w, border)
 
-            before = window(part.first - 1) if part.first else b""
-            start, left = cut(part.first, before), before[max(0, cut(part.first, before) - (part.first - 1) * w) : w] if part.first else b""
+            start, left = 0, b""
+            if part.first:
+                before = window(part.first - 1)
+                start = cut(part.first, before)
+                left = before[start - (part.first - 1) * w : w]
             for k in range(part.first, part.last):
                 held = window(k)
                 end = cut(k + 1, held)
