@@ -7,9 +7,10 @@ chi-squared uniformity over the alphabet, runs about the alphabet's middle, and
 correlation. The score of a token is minus the chi-squared deviate (in standard deviations, small is uniform), minus half the squares of
 what the deviates of runs and correlation exceed one.
 Natural text looks random now and then, too, the more so the shorter it is. So scores are turned into
-p-values under "natural text of that length in that encoding" by decoys: every document gives the words at one place of its text
-(chosen by its hash) as identifiers with capitals or numbers (base 64), in capitals (base 32) and as the hex digits of
-their bytes, each in every DECOY_EVERY-th length class. A token's p-value is the share of decoys of its encoding and class that score
+p-values under "natural text of that length in that encoding" by decoys: all words of all texts as identifiers with capitals or numbers
+(base 64, three forms), in capitals (base 32) and as the hex digits of their bytes, each string cut without a gap into pieces of every length
+class in turn. (Without whole=True, find_secrets takes one place of each text, chosen by its hash, one form and every DECOY_EVERY-th length
+class only; the query doesn't.) A token's p-value is the share of decoys of its encoding and class that score
 as high, with the next smaller classes until there are ENOUGH; Benjamini-Hochberg at RATE over all tokens then decides. Tokens that
 are nothing but words or nothing but digits are decoys, too, and no candidates.
 What crosses the driver is one count for each (encoding, length class, score bin), a fixed number.
@@ -51,6 +52,14 @@ ALPHABETS = {
 DECOY_WORD, DECOY_PIECE = r"(?<![A-Za-z0-9])[A-Za-z][a-z]{0,14}(?![A-Za-z0-9])", 500
 DECOY_EVERY = 4
 
+#: Decoys of whole texts: lone runs of letters (longer ones are tokens themselves) in blocks of about WORDS characters, the rest of a text with
+#: the last block; each block's strings are cut into pieces of every length class in turn.
+WORD = rf"(?<![A-Za-z0-9])[A-Za-z][a-z]{{0,{LEAST - 2}}}(?![A-Za-z0-9])"
+WORDS = 800
+WORD_BLOCK = rf"[A-Za-z][A-Za-z ]{{0,{WORDS + 2 * LEAST - 1}}}$|[A-Za-z][A-Za-z ]{{0,{WORDS - 1}}}(?![A-Za-z])"
+#: Symbols of a piece as numbers of BITS bits, LANES of them in each of LONGS longs.
+BITS, LANES, LONGS = 6, 10, 10
+
 
 def _matches(text: str, pattern: str, name: str, group: int | None = None) -> dict[str, Column]:
     has = F.col(text).rlike(pattern)
@@ -112,9 +121,9 @@ def _tested(v: str) -> str:
     return f"named_struct('enc', {v}.enc, 'n', {v}.n, 'natural', {v}.natural, 'size', {v}.size, 'squares', {v}.squares, 'high', {high}, 'runs', {runs}, 'mean', {mean}, 'x', {v}.x)"
 
 
-def _cell(v: str) -> str:
-    """SQL for the normal deviates of the three tests."""
-    serial = f"""(aggregate({v}.x, named_struct('sum', 0D, 'last', 0D), (a, y) -> named_struct('sum', a.sum + a.last * (y - {v}.mean), 'last', y - {v}.mean), a -> a.sum)
+def _cell(v: str, serial: str | None = None) -> str:
+    """SQL for the normal deviates of the three tests; serial: SQL of the correlation's, where {v} has no numbers x."""
+    serial = serial or f"""(aggregate({v}.x, named_struct('sum', 0D, 'last', 0D), (a, y) -> named_struct('sum', a.sum + a.last * (y - {v}.mean), 'last', y - {v}.mean), a -> a.sum)
       / greatest(aggregate({v}.x, 0D, (a, y) -> a + (y - {v}.mean) * (y - {v}.mean)), 1e-9) * sqrt({v}.n))"""
     chi = f"(({v}.size / {v}.n * {v}.squares - {v}.n - ({v}.size - 1)) / sqrt(2 * ({v}.size - 1) * ({v}.n - 1) / {v}.n))"
     expected = f"(2 * {v}.high * ({v}.n - {v}.high) / {v}.n + 1)"
@@ -144,15 +153,86 @@ def _decoys(text: str) -> Column:
     return F.expr(f"transform(array({words}), ws -> transform(array(xxhash64({text})), h -> {long_enough})[0])[0]")
 
 
+def _cuts() -> str:
+    """SQL of the places a and lengths n at which strings are cut, for each length class to start with; enough for a block's longest string."""
+    rows = []
+    for first in range(LENGTH_CLASSES):
+        lengths = [LEAST + LENGTH_STEP * ((first + i) % LENGTH_CLASSES) for i in range(3 * LENGTH_CLASSES)]
+        rows.append(", ".join(f"named_struct('a', {1 + sum(lengths[:i])}, 'n', {n})" for i, n in enumerate(lengths)))
+    return f"array({', '.join(f'array({row})' for row in rows)})"
+
+
+def _pieces(docs: DataFrame) -> DataFrame:
+    """(form, m): all words of all texts (column t) in each form of base 64 and each other encoding, cut into pieces; what is left below LEAST goes with the last piece."""
+    words = F.array_join(F.regexp_extract_all("t", F.lit(WORD), F.lit(0)), " ")
+    blocks = docs.select(F.explode(F.regexp_extract_all(words, F.lit(WORD_BLOCK), F.lit(0))).alias("b"))
+    blocks = blocks.selectExpr("b", "xxhash64(b) h", "split(b, ' ') ws", "split(initcap(b), ' ') caps")
+    number = "cast(pmod(h + i * 7919, 1000) as string)"
+    forms = f"""map('caps', array_join(caps, ''), 'snake', array_join(transform(ws, (w, i) -> if(i % 2 = 1, concat(w, {number}), w)), '_'),
+      'numbers', array_join(transform(caps, (w, i) -> if(i % 3 = 2, concat(w, {number}), w)), ''), 'base32', upper(array_join(ws, '')), 'hex', lower(hex(b)))"""
+    strings = blocks.select("h", F.explode(F.expr(forms)).alias("form", "x")).selectExpr("form", "x", "length(x) size", f"element_at({_cuts()}, cast(pmod(h, {LENGTH_CLASSES}) + 1 as int)) cuts")
+    left = "size - c.a + 1"
+    return strings.select("form", "x", "size", F.explode("cuts").alias("c")).filter(f"{left} >= {LEAST}").selectExpr("form", f"substring(x, c.a, if({left} < c.n + {LEAST}, {left}, c.n)) m")
+
+
+def _piece_bins(pieces: DataFrame) -> DataFrame:
+    """(v): what _tests gives, of pieces of up to LANES * LONGS - 1 symbols.
+
+    Symbols are packed into longs, and everything that the tests need are counts of set bits: a symbol's count from the planes of its bits, sums of
+    products of neighbours from pairs of planes, the second one moved by a symbol. Rows stay wide (over 100 columns), so that Spark compiles each step by itself.
+    """
+    symbols, every = ALPHABETS["base64"], sum(1 << BITS * i for i in range(LANES))
+    longs, bits, counts = range(LONGS), range(BITS), range(1 << BITS)
+    groups = {"f": longs[:BITS], "g": longs[BITS:]}  # so many longs share one, each moved by another number of bits
+    full = {w: sum(every << j for j in range(len(ks))) for w, ks in groups.items()}
+    encoded = "CASE WHEN form IN ('hex', 'base32') THEN form WHEN m rlike '^([0-9a-f]+|[0-9A-F]+)$' AND m rlike '[0-9]' THEN 'hex' WHEN m rlike '^[A-Z2-7]+$' THEN 'base32' ELSE 'base64' END"
+    p = pieces.selectExpr("m", f"{encoded} enc")
+    p = p.selectExpr("enc", "length(m) n", f"CASE enc WHEN 'hex' THEN translate(lower(m), '{ALPHABETS['hex']}', '{symbols[:16]}') WHEN 'base32' THEN translate(m, '{ALPHABETS['base32'][26:]}', '{symbols[26:32]}') ELSE replace(m, '_', '/') END s")
+    digits = BITS * LANES // 4
+    # a lambda gives the digits a name, so that they are worked out once
+    packed = f"transform(array(hex(unbase64(rpad(s, {LANES * LONGS}, 'A')))), w -> transform(sequence(0, cast((n - 1) / {LANES} as int)), k -> cast(conv(substring(w, 1 + {digits} * k, {digits}), 16, 10) as bigint)))[0]"
+    p = p.selectExpr("enc", "n", f"instr('{symbols}', right(s, 1)) - 1 last", f"{packed} xs")
+    p = p.selectExpr("enc", "n", "last", "xs", f"zip_with(xs, array_prepend(xs, 0L), (x, before) -> shiftright(coalesce(x, 0L), {BITS}) | shiftleft(before & {(1 << BITS) - 1}L, {BITS * (LANES - 1)})) ys")
+    p = p.selectExpr("enc", "n", "last", f"cast(coalesce(aggregate(slice(xs, 1, 1), 0L, (a, x) -> shiftright(x, {BITS * (LANES - 1)})), 0L) as int) first", *[f"shiftright(coalesce(get({v}s, {k}), 0L), {b}) & {every}L {v}{k}_{b}" for v in "xy" for k in longs for b in bits])
+    fold = lambda v, ks, b: " | ".join(f"shiftleft({v}{k}_{b}, {j})" for j, k in enumerate(ks))
+    p = p.selectExpr("enc", "n", "first", "last", *[f"{fold(v, ks, b)} {w}{v}{b}" for v in "xy" for w, ks in groups.items() for b in bits])
+    top = lambda c: f"CASE enc WHEN 'hex' THEN {c}3 WHEN 'base32' THEN {c}4 ELSE {c}5 END t{c}"
+    half = lambda w, part, v: " & ".join(f"{w}x{b}" if v >> i & 1 else f"~{w}x{b}" for i, b in enumerate(part))
+    halves = {"l": bits[:3], "u": bits[3:]}
+    p = p.selectExpr(
+        "enc", "n", "first", "last", *map(top, ("fx", "fy", "gx", "gy")), *[f"bit_count({w}x{b} & {w}y{c}) {w}p{b}{c}" for w in groups for b in bits for c in bits],
+        *[f"({half(w, part, v)}) & {full[w]}L {w}{side}{v}" for w in groups for side, part in halves.items() for v in range(8)],
+    )
+    p = p.selectExpr(
+        "enc", "n", "first", "last", "CASE enc WHEN 'hex' THEN 16 WHEN 'base32' THEN 32 ELSE 64 END size", "bit_count(tfx) + bit_count(tgx) high", "1 + bit_count(tfx ^ tfy) + bit_count(tgx ^ tgy) turns",
+        " + ".join(f"{1 << b + c} * (fp{b}{c} + gp{b}{c})" for b in bits for c in bits) + " pairs",
+        *[f"bit_count({w}l{v & 7} & {w}u{v >> 3})" + (f" - ({LANES * LONGS} - n)" if (w, v) == ("g", 0) else "") + f" {w}{v}" for v in counts for w in groups],
+    )
+    summed = lambda f: "cast(" + " + ".join(f(v) for v in counts) + " as double)"
+    # the padding is low and numbered 0: it makes a turn after a high symbol, as the start does before one
+    p = p.selectExpr(
+        "enc", "cast(n as double) n", "cast(size as double) size", "cast(high as double) high", "cast(turns - if(first >= size / 2, 1, 0) - if(last >= size / 2, 1, 0) as double) runs",
+        "cast(first + last as double) ends", "cast(pairs as double) pairs", "true natural", summed(lambda v: f"(f{v} + g{v}) * (f{v} + g{v})") + " squares",
+        summed(lambda v: f"{v} * (f{v} + g{v})") + " total", summed(lambda v: f"{v * v} * (f{v} + g{v})") + " power",
+    )
+    serial = "((d.pairs * d.n * d.n - d.total * d.n * (2 * d.total - d.ends) + (d.n - 1) * d.total * d.total) / (d.n * d.n) / greatest((d.n * d.power - d.total * d.total) / d.n, 1e-9D) * sqrt(d.n))"
+    return p.alias("d").select(F.expr(_cell("d", serial)).alias("v")).select(_binned(F.col("v")).alias("v"))
+
+
 def _tests(tokens: str) -> list[tuple[str, Column]]:
     """Steps that turn a column of strings into one of cells and bins, each under the column's name."""
     steps = [F.expr(f"transform({tokens}, tok -> {step('tok')})") for step in (_numbered, _tested, _cell)]
     return [(tokens, step) for step in (F.transform(tokens, _score), *steps, F.transform(tokens, _binned))]
 
 
-def _prepared(docs: DataFrame) -> DataFrame:
-    t = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("t"))
-    t = t.withColumns(_matches("t", ASSIGN, "a", 2) | _matches("t", ACCESS, "k") | _matches("t", HEX, "h") | _matches("t", TOKEN, "r") | {"decoys": _decoys("t")}).drop("t")
+def _texts(docs: DataFrame) -> DataFrame:
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("t"))
+
+
+def _prepared(docs: DataFrame, whole: bool) -> DataFrame:
+    t = _texts(docs)
+    decoys = F.expr("cast(array() as array<string>)") if whole else _decoys("t")
+    t = t.withColumns(_matches("t", ASSIGN, "a", 2) | _matches("t", ACCESS, "k") | _matches("t", HEX, "h") | _matches("t", TOKEN, "r") | {"decoys": decoys}).drop("t")
     t = t.select(
         "doc_id",
         _spans("a", "assign", 0, f"length(a_g[i]) >= {ASSIGN_LEAST}").alias("assign"),
@@ -167,10 +247,13 @@ def _prepared(docs: DataFrame) -> DataFrame:
     return t
 
 
-def _least_bins(prepared: DataFrame) -> dict[tuple[str, int], int]:
-    """The smallest score bin that counts as random, by encoding and length class."""
+def _least_bins(prepared: DataFrame, docs: DataFrame | None = None) -> dict[tuple[str, int], int]:
+    """The smallest score bin that counts as random, by encoding and length class; docs: whole texts that give decoys, too."""
     both = F.concat(F.transform("v", lambda x: F.struct(x.alias("v"), x["natural"].cast("int").alias("decoy"))), F.transform("decoys", lambda x: F.struct(x.alias("v"), F.lit(1).alias("decoy"))))
-    counts = prepared.select(F.explode(both).alias("x")).groupBy("x.v.enc", "x.v.class", "x.v.bin").agg(F.sum("x.decoy").alias("decoys"), F.sum(1 - F.col("x.decoy")).alias("others"))
+    scored = prepared.select(F.explode(both).alias("x"))
+    if docs is not None:
+        scored = scored.union(_piece_bins(_pieces(_texts(docs))).select(F.struct("v", F.lit(1).alias("decoy"))))
+    counts = scored.groupBy("x.v.enc", "x.v.class", "x.v.bin").agg(F.sum("x.decoy").alias("decoys"), F.sum(1 - F.col("x.decoy")).alias("others"))
     cells = [(r.enc, r["class"], r.bin, r.decoys, r.others) for r in counts.collect()]  # at most 3 * LENGTH_CLASSES * bins rows
     return thresholds(cells)
 
@@ -204,10 +287,13 @@ def thresholds(cells: list[tuple[str, int, int, int, int]]) -> dict[tuple[str, i
     return out
 
 
-def find_secrets(docs: DataFrame) -> DataFrame:
-    """(doc_id, assign, access, hex, random): arrays of structs of start s, kind order k, end e, name and text m."""
-    prepared = materialize(_prepared(docs), "secrets")  # spans and bins; texts are scanned once
-    least = _least_bins(prepared)
+def find_secrets(docs: DataFrame, whole: bool = False) -> DataFrame:
+    """(doc_id, assign, access, hex, random): arrays of structs of start s, kind order k, end e, name and text m.
+
+    whole: decoys of all words of all texts, as the query takes them, in place of one decoy text of each document.
+    """
+    prepared = materialize(_prepared(docs, whole), "secrets")  # spans and bins of tokens
+    least = _least_bins(prepared, docs if whole else None)
     if least:
         table = F.create_map(*[x for (enc, c), b in sorted(least.items()) for x in (F.lit(f"{enc}{c}"), F.lit(b))])
         flagged = F.transform("v", lambda y: F.coalesce(y["bin"] >= F.element_at(table, F.concat(y["enc"], y["class"].cast("string"))), F.lit(False)) & ~y["natural"])
@@ -217,7 +303,7 @@ def find_secrets(docs: DataFrame) -> DataFrame:
 
 
 def op4_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = find_secrets(read(spark, sf_dir, "documents"))
+    found = find_secrets(read(spark, sf_dir, "documents"), whole=True)
     shown = lambda spans: F.array_join(F.transform(F.array_sort(spans), lambda x: F.format_string("%s:%d:%d", x["name"], x["s"], x["e"])), ",")
     count = lambda c: F.size(c).cast("long").alias(f"n_{c}")
     return found.select("doc_id", count("assign"), count("access"), count("hex"), F.sha2(shown(F.concat("assign", "access", "hex")), 256).alias("base_sha256"), shown(F.concat("assign", "access", "hex", "random")).alias("spans"))
