@@ -178,43 +178,50 @@ def _pieces(docs: DataFrame) -> DataFrame:
 def _piece_bins(pieces: DataFrame) -> DataFrame:
     """(v): what _tests gives, of pieces of up to LANES * LONGS - 1 symbols.
 
-    Symbols are packed into longs, and everything that the tests need are counts of set bits: a symbol's count from the planes of its bits, sums of
-    products of neighbours from pairs of planes, the second one moved by a symbol. Rows stay wide (over 100 columns), so that Spark compiles each step by itself.
+    Symbols are packed into longs by their base 64 numbers and sorted into planes, one for each bit; hex and base 32 are renumbered there. All that the
+    tests need are counts of set bits: a symbol's count from the planes, sums of products from pairs of planes, those of neighbours with the second one
+    moved by a symbol. Everything is a column of its own that is never null, no array; steps have over 100 columns where their code is long, so that
+    Spark compiles them by themselves.
     """
-    symbols, every = ALPHABETS["base64"], sum(1 << BITS * i for i in range(LANES))
-    longs, bits, counts = range(LONGS), range(BITS), range(1 << BITS)
-    groups = {"f": longs[:BITS], "g": longs[BITS:]}  # so many longs share one, each moved by another number of bits
+    every = sum(1 << BITS * i for i in range(LANES))
+    bits, halves = range(BITS), {"l": (0, 1, 2), "u": (3, 4, 5)}
+    groups = {"f": range(BITS), "g": range(BITS, LONGS)}  # so many longs share one, each moved by another number of bits
     full = {w: sum(every << j for j in range(len(ks))) for w, ks in groups.items()}
     encoded = "CASE WHEN form IN ('hex', 'base32') THEN form WHEN m rlike '^([0-9a-f]+|[0-9A-F]+)$' AND m rlike '[0-9]' THEN 'hex' WHEN m rlike '^[A-Z2-7]+$' THEN 'base32' ELSE 'base64' END"
+    digits, top = BITS * LANES // 4, BITS * (LANES - 1)
     p = pieces.selectExpr("m", f"{encoded} enc")
-    p = p.selectExpr("enc", "length(m) n", f"CASE enc WHEN 'hex' THEN translate(lower(m), '{ALPHABETS['hex']}', '{symbols[:16]}') WHEN 'base32' THEN translate(m, '{ALPHABETS['base32'][26:]}', '{symbols[26:32]}') ELSE replace(m, '_', '/') END s")
-    digits = BITS * LANES // 4
-    # a lambda gives the digits a name, so that they are worked out once
-    packed = f"transform(array(hex(unbase64(rpad(s, {LANES * LONGS}, 'A')))), w -> transform(sequence(0, cast((n - 1) / {LANES} as int)), k -> cast(conv(substring(w, 1 + {digits} * k, {digits}), 16, 10) as bigint)))[0]"
-    p = p.selectExpr("enc", "n", f"instr('{symbols}', right(s, 1)) - 1 last", f"{packed} xs")
-    p = p.selectExpr("enc", "n", "last", "xs", f"zip_with(xs, array_prepend(xs, 0L), (x, before) -> shiftright(coalesce(x, 0L), {BITS}) | shiftleft(before & {(1 << BITS) - 1}L, {BITS * (LANES - 1)})) ys")
-    p = p.selectExpr("enc", "n", "last", f"cast(coalesce(aggregate(slice(xs, 1, 1), 0L, (a, x) -> shiftright(x, {BITS * (LANES - 1)})), 0L) as int) first", *[f"shiftright(coalesce(get({v}s, {k}), 0L), {b}) & {every}L {v}{k}_{b}" for v in "xy" for k in longs for b in bits])
-    fold = lambda v, ks, b: " | ".join(f"shiftleft({v}{k}_{b}, {j})" for j, k in enumerate(ks))
-    p = p.selectExpr("enc", "n", "first", "last", *[f"{fold(v, ks, b)} {w}{v}{b}" for v in "xy" for w, ks in groups.items() for b in bits])
-    top = lambda c: f"CASE enc WHEN 'hex' THEN {c}3 WHEN 'base32' THEN {c}4 ELSE {c}5 END t{c}"
+    p = p.selectExpr("enc", "coalesce(length(m), 0) n", f"hex(unbase64(rpad(if(enc = 'hex', lower(m), replace(m, '_', '/')), {LANES * LONGS}, 'A'))) w")
+    p = p.selectExpr("enc", "n", *[f"if(n > {LANES * k}, coalesce(cast(conv(substring(w, {1 + digits * k}, {digits}), 16, 10) as bigint), 0L), 0L) x{k}" for k in range(LONGS)])
+    fold = lambda ks, b: " | ".join(f"shiftleft(shiftright(x{k}, {b}) & {every}L, {j})" for j, k in enumerate(ks))
+    p = p.selectExpr("enc", "n", "if(enc = 'hex', -1L, 0L) hexed", "if(enc = 'base64', 0L, -1L) fewer", *[f"{fold(ks, b)} {w}{b}" for w, ks in groups.items() for b in bits])
+    # digits are 52 to 61 in base 64: less 52 is the low four bits less 4 (hex), less 28 is the low five bits plus 4 (base 32); a to f are 26 to 31 there
+    number = lambda w: [f"{w}0 {w}x0", f"{w}1 {w}x1", f"{w}2 ^ ({w}5 & fewer) {w}x2", f"{w}3 ^ ({w}5 & fewer & ({w}2 ^ hexed)) {w}x3", f"{w}4 & ~hexed {w}x4", f"{w}5 & ~fewer {w}x5"]
+    p = p.selectExpr("enc", "n", *number("f"), *number("g"))
+    before = {"f": "shiftright(fx{b}, {s}) | shiftleft(fx{b} & 31, {t})", "g": "shiftright(gx{b}, {s}) | shiftleft(gx{b} & 7, {t}) | shiftleft(shiftright(fx{b}, 5) & 1L, {t} - 1)"}
+    moved = lambda w, b: f"({before[w].format(b=b, s=BITS, t=top + 1)})"
     half = lambda w, part, v: " & ".join(f"{w}x{b}" if v >> i & 1 else f"~{w}x{b}" for i, b in enumerate(part))
-    halves = {"l": bits[:3], "u": bits[3:]}
+    high = lambda of: f"CASE enc WHEN 'hex' THEN {of(3)} WHEN 'base32' THEN {of(4)} ELSE {of(5)} END"
+    ups, turns = ([f(w) for w in groups] for f in (lambda w: high(lambda b: f"{w}x{b}"), lambda w: high(lambda b: f"{w}x{b} ^ {moved(w, b)}")))
+    first = " + ".join(f"{1 << b} * cast(shiftright(fx{b}, {top}) & 1L as int)" for b in bits)
+    last = " + ".join(f"{1 << b} * cast(shiftright(if(n > {LANES * BITS}, gx{b}, fx{b}), {top} - {BITS} * ((n - 1) % {LANES}) + cast((n - 1) / {LANES} as int) % {BITS}) & 1L as int)" for b in bits)
     p = p.selectExpr(
-        "enc", "n", "first", "last", *map(top, ("fx", "fy", "gx", "gy")), *[f"bit_count({w}x{b} & {w}y{c}) {w}p{b}{c}" for w in groups for b in bits for c in bits],
+        "enc", "n", f"{first} first", f"{last} last", f"bit_count({ups[0]}) + bit_count({ups[1]}) high", f"1 + bit_count({turns[0]}) + bit_count({turns[1]}) turns",
+        *[f"bit_count({w}x{b} & {moved(w, c)}) {w}p{b}{c}" for w in groups for b in bits for c in bits], *[f"bit_count({w}x{b} & {w}x{c}) {w}q{b}{c}" for w in groups for b in bits for c in bits if b <= c],
         *[f"({half(w, part, v)}) & {full[w]}L {w}{side}{v}" for w in groups for side, part in halves.items() for v in range(8)],
     )
+    # doubles hold these numbers exactly, and their sums are not checked for overflow one by one
+    summed = lambda name, weights: " + ".join(f"{weight}D * (cast(f{name}{k} as double) + cast(g{name}{k} as double))" for k, weight in weights.items())
     p = p.selectExpr(
-        "enc", "n", "first", "last", "CASE enc WHEN 'hex' THEN 16 WHEN 'base32' THEN 32 ELSE 64 END size", "bit_count(tfx) + bit_count(tgx) high", "1 + bit_count(tfx ^ tfy) + bit_count(tgx ^ tgy) turns",
-        " + ".join(f"{1 << b + c} * (fp{b}{c} + gp{b}{c})" for b in bits for c in bits) + " pairs",
-        *[f"bit_count({w}l{v & 7} & {w}u{v >> 3})" + (f" - ({LANES * LONGS} - n)" if (w, v) == ("g", 0) else "") + f" {w}{v}" for v in counts for w in groups],
+        "enc", "cast(n as double) n", "first", "last", "high", "turns", summed("p", {f"{b}{c}": 1 << b + c for b in bits for c in bits}) + " pairs",
+        summed("q", {f"{b}{b}": 1 << b for b in bits}) + " total", summed("q", {f"{b}{c}": 1 << b + c + (b < c) for b in bits for c in bits if b <= c}) + " power",
+        *[f"cast(bit_count(fl{v & 7} & fu{v >> 3}) as double) + cast(bit_count(gl{v & 7} & gu{v >> 3}) as double)" + (f" - ({LANES * LONGS} - n)" if v == 0 else "") + f" c{v}" for v in range(1 << BITS)],
     )
-    summed = lambda f: "cast(" + " + ".join(f(v) for v in counts) + " as double)"
     # the padding is low and numbered 0: it makes a turn after a high symbol, as the start does before one
     p = p.selectExpr(
-        "enc", "cast(n as double) n", "cast(size as double) size", "cast(high as double) high", "cast(turns - if(first >= size / 2, 1, 0) - if(last >= size / 2, 1, 0) as double) runs",
-        "cast(first + last as double) ends", "cast(pairs as double) pairs", "true natural", summed(lambda v: f"(f{v} + g{v}) * (f{v} + g{v})") + " squares",
-        summed(lambda v: f"{v} * (f{v} + g{v})") + " total", summed(lambda v: f"{v * v} * (f{v} + g{v})") + " power",
+        "enc", "n", "CASE enc WHEN 'hex' THEN 16D WHEN 'base32' THEN 32D ELSE 64D END size", "cast(high as double) high", "first", "last", "turns",
+        "cast(first + last as double) ends", "pairs", "true natural", " + ".join(f"c{v} * c{v}" for v in range(1 << BITS)) + " squares", "total", "power",
     )
+    p = p.withColumn("runs", F.expr("cast(turns - if(first >= size / 2, 1, 0) - if(last >= size / 2, 1, 0) as double)"))
     serial = "((d.pairs * d.n * d.n - d.total * d.n * (2 * d.total - d.ends) + (d.n - 1) * d.total * d.total) / (d.n * d.n) / greatest((d.n * d.power - d.total * d.total) / d.n, 1e-9D) * sqrt(d.n))"
     return p.alias("d").select(F.expr(_cell("d", serial)).alias("v")).select(_binned(F.col("v")).alias("v"))
 
