@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text as T
 from .dedup import near_blocks
+from .positions import stored
 from .windows import top_k
 
 
@@ -79,10 +80,11 @@ def distill_tags_near(blocks: DataFrame, tags: DataFrame, distance: int = 3) ->
 def reassemble(distilled: DataFrame, lines_per_chunk: int = 1000, parts: int = 200) -> DataFrame:
     """(chunk, place, content) in order of first appearance.
 
-    Places come from ordered range partitions and their sizes, so no task holds more than its range.
+    Places come from ordered range partitions and their sizes, so no task holds more than its range. The ranges come from
+    samples and would differ between two readings, so sizes and rows are taken from one that is written.
     """
     ordered = distilled.repartitionByRange(parts, "first_doc", "first_line").sortWithinPartitions("first_doc", "first_line", "hash")
-    held = ordered.select(F.spark_partition_id().alias("p"), F.monotonically_increasing_id().alias("i"), "content")
+    held = stored(ordered.select(F.spark_partition_id().alias("p"), F.monotonically_increasing_id().alias("i"), "content"), "ordered")
     sizes = held.groupBy("p").agg(F.count("*").alias("size"), F.min("i").alias("low"))
     from pyspark.sql.window import Window
 
